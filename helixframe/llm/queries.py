@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.packing import pack
+from helixframe.llm.tokencount import count_tokens
+from helixframe.llm.urlfilter import PATTERNS, filter_urls, listed_rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +27,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: The rules that op5 is given.
+OP5_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), [*(listed_rule(*r) for r in OP5_RULES), *PATTERNS])
+
+
+ORACLES["op5_url_filter"] = f"""
+WITH cut AS (
+  SELECT row_number() OVER () AS k, page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+parts AS (
+  SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM cut),
+pages_cut AS (SELECT k, page_id, host, regexp_extract(tail, '^[^?#]*') AS path, host || tail AS target FROM parts),
+rules(action, rule) AS (VALUES {", ".join(f"('{a}', '{r}')" for a, r in OP5_RULES)}),
+split AS (SELECT action, rule, split_part(rule, '/', 1) AS rhost, substr(rule, instr(rule, '/')) AS rpath FROM rules),
+best AS (
+  SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM pages_cut JOIN split ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(action, CASE
+  WHEN {" OR ".join(f"regexp_matches(target, '{p.pattern}')" for p in PATTERNS if p.action == "allow")} THEN 'allow'
+  WHEN {" OR ".join(f"regexp_matches(target, '{p.pattern}')" for p in PATTERNS if p.action == "block")} THEN 'block'
+  ELSE 'allow' END) AS verdict
+FROM pages_cut LEFT JOIN best USING (k)
+"""
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
