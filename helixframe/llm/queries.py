@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.decontaminate import contaminated
+from helixframe.llm.media import media_digests
 from helixframe.llm.neardup import near_duplicates
 from helixframe.llm.packing import pack
 from helixframe.llm.tokencount import count_tokens
@@ -74,3 +75,8 @@ def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
