@@ -11,6 +11,7 @@ from helixframe.llm.decontaminate import contaminated
 from helixframe.llm.media import media_digests
 from helixframe.llm.neardup import near_duplicates
 from helixframe.llm.packing import pack
+from helixframe.llm.pii import find_personal_data
 from helixframe.llm.secrets import find_secrets
 from helixframe.llm.tokencount import count_tokens
 from helixframe.llm.urlfilter import PATTERNS, filter_urls, listed_rule
@@ -86,3 +87,8 @@ def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
