@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.decontaminate import contaminated
+from helixframe.llm.langid import identify_languages
 from helixframe.llm.media import media_digests
 from helixframe.llm.neardup import near_duplicates
 from helixframe.llm.packing import pack
 from helixframe.llm.pii import find_personal_data
+from helixframe.llm.quality import score_quality
 from helixframe.llm.secrets import find_secrets
 from helixframe.llm.tokencount import count_tokens
 from helixframe.llm.urlfilter import PATTERNS, filter_urls, listed_rule
@@ -92,3 +94,13 @@ def op2_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
