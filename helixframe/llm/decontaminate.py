@@ -7,18 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.shingles import mix
 
 #: Items that are searched for in one pass over the documents.
-BLOCK = 4096
+BLOCK = 1024
+#: A word is rare if so many items of a block hold it at most.
+RARE = 4
 #: Random walks, keys sampled from each, and embedded positions in a key. For windows within the default rate
 #: of an item, tests measure a recall above 0.95; windows equal to an item always meet it.
 WALKS, KEYS, SAMPLED = 8, 8, 3
 #: Words shorter items have in common with anything.
 LEAST_WORDS = 8
+#: Bytes of text that are looked through at once.
+CHUNK = 1 << 23
 _EDGE = re.compile(r"^[\W_]+|[\W_]+\Z")
 _MEMO = 300_000
 #: Code points that stand for words when word sequences are compared as strings.
@@ -76,85 +81,142 @@ def table_keys(seqs: np.ndarray, walks: int = WALKS, keys: int = KEYS, sampled:
 
 
 class Items:
-    """A block of items by their number of words, with their table keys."""
+    """A block of items by their number of words, with their table keys and an index of their rare words.
+
+    A window within d word edits of an item holds all but d of the item's
+    distinct rare words; ``least`` says how many those are.
+    """
 
     def __init__(self, items: list[tuple[int, list[str]]], rate: float):
         self.known: dict[str, int] = {}
-        by_size: dict[int, list[tuple[int, list[int]]]] = {}
-        for item, w in items:
-            by_size.setdefault(len(w), []).append((item, [self.known.setdefault(x, len(self.known)) for x in w]))
+        items = sorted(items, key=lambda x: (len(x[1]), x[0]))
+        own = [np.array([self.known.setdefault(x, len(self.known)) for x in w], np.int64) for _, w in items]
         if len(self.known) > 0x10FFFF - _FIRST_CODE:
             raise ValueError("too many different words in a block of items")
-        self.groups = []
-        for n, own in sorted(by_size.items()):
-            seqs = np.array([ids for _, ids in own], np.int64)
-            tables = []
-            for key in table_keys(seqs):
-                order = np.argsort(key, kind="stable")
-                tables.append((key[order], order))
-            self.groups.append((n, int(rate * n), np.array([i for i, _ in own], np.int64), ["".join(map(code, ids)) for _, ids in own], tables))
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.size = np.array([len(w) for w in own], np.int64)
+        self.allowed = (rate * self.size).astype(np.int64)
+        self.codes = ["".join(map(code, w)) for w in own]
+        self.tables = {}
+        for n in np.unique(self.size):
+            at = np.flatnonzero(self.size == n)
+            keys = np.array(list(table_keys(np.array([own[i] for i in at]))))
+            order = np.argsort(keys, axis=1, kind="stable")
+            self.tables[int(n)] = (np.take_along_axis(keys, order, 1), at[order])
+        # rare words: for word w the items holders[first[w]:first[w + 1]]
+        pairs = [(w, i) for i, ws in enumerate(own) for w in np.unique(ws).tolist()]
+        df = np.bincount([w for w, _ in pairs], minlength=len(self.known) + 2)
+        pairs = sorted(x for x in pairs if df[x[0]] <= RARE)
+        self.holders = np.array([i for _, i in pairs], np.int64)
+        # ids -1 and -2 index the two empty places at the end
+        self.count = np.bincount([w for w, _ in pairs], minlength=len(self.known) + 2)
+        self.first = np.cumsum(self.count) - self.count
+        self.least = np.bincount(self.holders, minlength=len(items)) - self.allowed
 
 
 def code(word: int) -> str:
     return chr(_FIRST_CODE + word) if word >= 0 else _OTHER
 
 
-def _windows(ids: list[np.ndarray], n: int, allowed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document numbers, starts and words of the windows of n words with at most ``allowed`` words of no item.
+def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges low..high (inclusive), and which range each is from."""
+    size = np.maximum(0, high - low + 1)
+    which = np.repeat(np.arange(len(low)), size)
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum()), which
+
+
+def _windows(block: Items, ids: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By number of words: document numbers, starts and words of the windows that may be close to an item.
 
-    A window farther from all items than that cannot be within ``allowed``
-    word edits of one, so nothing is lost. Windows may reach past the end by
-    ``allowed`` words.
+    Such a window has at most the allowed number of words of no item, and holds
+    enough of one item's rare words. Both follow from the edit distance, so
+    nothing is lost. Windows may reach past the end of a document.
     """
-    docs, starts, found = [], [], []
-    pad = np.full(allowed, -1, np.int64)
-    for d, own in enumerate(ids):
-        if len(own) + allowed < n:
-            continue
-        padded = np.concatenate([own, pad])
-        odd = np.cumsum(np.concatenate([[0], padded < 0]))
-        at = np.flatnonzero(odd[n:] - odd[:-n] <= allowed)
-        if len(at):
-            docs.append(np.full(len(at), d))
-            starts.append(at)
-            found.append(padded[at[:, None] + np.arange(n)])
-    if not docs:
-        return np.empty(0, int), np.empty(0, int), np.empty((0, n), np.int64)
-    return np.concatenate(docs), np.concatenate(starts), np.concatenate(found)
+    reach = int(block.size.max(initial=0))
+    pad = np.full(reach, -1, np.int64)
+    flat = np.concatenate([x for own in ids for x in (own, pad)])
+    length = np.array([len(own) for own in ids])
+    base = np.cumsum(length + reach) - length - reach
+    doc_of = np.repeat(np.arange(len(ids)), length + reach)
+    # each rare word in place, with each of its items
+    at = np.flatnonzero(block.count[flat])
+    many = block.count[flat[at]]
+    item = block.holders[np.repeat(block.first[flat[at]] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    at = np.repeat(at, many)
+    key = doc_of[at] * len(block.ids) + item
+    # (document, item) pairs with enough distinct rare words
+    distinct = np.unique(key * (len(block.known) + 1) + flat[at])
+    pair, n = np.unique(distinct // (len(block.known) + 1), return_counts=True)
+    pair = pair[n >= np.maximum(1, block.least[pair % len(block.ids)])]
+    keep = np.isin(key, pair)
+    order = np.lexsort((at[keep], key[keep]))
+    at, key = at[keep][order], key[keep][order]
+    # from each occurrence on, the one with which the window holds enough
+    item = key % len(block.ids)
+    last = np.arange(len(at)) + np.maximum(1, block.least[item]) - 1
+    fits = last < len(at)
+    fits[fits] = key[last[fits]] == key[fits]
+    low = at[last[fits]] - block.size[item[fits]] + 1
+    high, item, doc = at[fits], item[fits], doc_of[at[fits]]
+    low = np.maximum(low, base[doc])
+    start, which = _runs(low, high)
+    size, doc, allowed = block.size[item[which]], doc[which], block.allowed[item[which]]
+    # items with few rare words may be anywhere
+    for i in np.flatnonzero(block.least < 1):
+        own, w = _runs(base, base + length - 1)
+        start, doc = np.concatenate([start, own]), np.concatenate([doc, w])
+        size, allowed = np.concatenate([size, np.full(len(own), block.size[i])]), np.concatenate([allowed, np.full(len(own), block.allowed[i])])
+    odd = np.cumsum(np.concatenate([[0], flat < 0]))
+    near = np.flatnonzero((start + size < len(odd)) & (odd[np.minimum(start + size, len(odd) - 1)] - odd[start] <= allowed))
+    out = {}
+    for n in np.unique(size[near]):
+        own = np.unique(start[near][size[near] == n])
+        out[int(n)] = (doc_of[own], own - base[doc_of[own]], flat[own[:, None] + np.arange(n)])
+    return out
 
 
 _NAMES = ["doc_id", "item_id", "start_word", "allowed", "window", "item"]
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
 
 
-def _candidates(items: list[tuple[int, list[str]]], rate: float):
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about CHUNK bytes of text."""
+    lo = total = 0
+    for k, n in enumerate(pc.binary_length(b.column(1)).to_pylist()):
+        if k > lo and total + n > CHUNK:
+            yield b.slice(lo, k - lo)
+            lo, total = k, 0
+        total += n
+    if lo < b.num_rows:
+        yield b.slice(lo)
+
+
+def _candidates(block: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(items, rate)
         memo = _Ids(block.known)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in _parts(b):
                 names, ids = part.column(0).to_pylist(), []
                 for text in part.column(1):
                     own = np.array([memo[w] for w in (text.as_py() or "").lower().split()], np.int64)
                     ids.append(own[own > -2])
                 rows: list[list] = [[], [], [], [], [], []]
-                for n, allowed, item_ids, codes, tables in block.groups:
-                    docs, starts, found = _windows(ids, n, allowed)
+                for n, (docs, starts, found) in _windows(block, ids).items() if len(block.ids) else ():
+                    have, order = block.tables[n]
                     for lo in range(0, len(docs), 20_000):
                         seqs = found[lo : lo + 20_000]
                         met: set[tuple[int, int]] = set()
-                        for (have, order), key in zip(tables, table_keys(seqs), strict=True):
-                            left, right = np.searchsorted(have, key, "left"), np.searchsorted(have, key, "right")
+                        for t, key in enumerate(table_keys(seqs)):
+                            left, right = np.searchsorted(have[t], key, "left"), np.searchsorted(have[t], key, "right")
                             for w in np.flatnonzero(right > left):
-                                met.update((int(w), int(i)) for i in order[left[w] : right[w]])
+                                met.update((int(w), int(i)) for i in order[t, left[w] : right[w]])
                         for w, i in sorted(met):
                             rows[0].append(names[docs[lo + w]])
-                            rows[1].append(int(item_ids[i]))
+                            rows[1].append(int(block.ids[i]))
                             rows[2].append(int(starts[lo + w]))
-                            rows[3].append(allowed)
-                            rows[4].append("".join(map(code, seqs[w])))
-                            rows[5].append(codes[i])
+                            rows[3].append(int(block.allowed[i]))
+                            rows[4].append("".join(map(code, seqs[w].tolist())))
+                            rows[5].append(block.codes[i])
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _KINDS, strict=True)], _NAMES)
 
@@ -165,9 +227,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15, leas
     """``doc_id, item_id, distance, start_word``: documents with a window close to a benchmark item.
 
     Items and documents are words in lower case without punctuation at their
-    ends. Every window of an item's number of words is compared with the items
-    of that size if at most rate * size of its words are in no item (others
-    cannot be that close). CGK walks turn the edit distance of words into a
+    ends. Windows have an item's number of words; those that cannot be close to
+    any item of that size, by their words alone, are passed over. CGK walks turn the edit distance of words into a
     Hamming distance; sampled positions are the keys under which windows meet
     items; ``levenshtein`` then confirms distance <= rate * size. One row per
     document and item: the least distance and, of those, the first window.
@@ -185,7 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15, leas
     found = None
     for k in range(blocks):
         items = [(r.item_id, w) for r in asked.where(part == k).collect() if len(w := item_words(r.text)) >= least_words]
-        near = source.mapInArrow(_candidates(items, rate), "doc_id long, item_id long, start_word long, allowed int, window string, item string")
+        near = source.mapInArrow(_candidates(Items(items, rate)), "doc_id long, item_id long, start_word long, allowed int, window string, item string")
         near = near.withColumn("distance", F.levenshtein("window", "item")).where("distance <= allowed").drop("window", "item", "allowed")
         found = near if found is None else found.unionAll(near)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start_word")).alias("best"))
