@@ -21,3 +21,6 @@ def register(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+from helixframe.plans import interval_queries, relational_queries, sequence_queries, transcript_queries  # noqa: E402, F401
