@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.sources.lines import numbered_lines
+
 SAM = (("qname", "string"), ("flag", "int"), ("rname", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string"))
 
 
@@ -28,17 +30,23 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_wiggle(lines: DataFrame) -> DataFrame:
-    """``chrom, pos, value`` of fixedStep tracks from (``file, n, value``) lines: each header counts for the lines down to the next."""
-    head = F.col("value").startswith("fixedStep")
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("h", F.last(F.when(head, F.col("value")), ignorenulls=True).over(w)).withColumn("hn", F.last(F.when(head, F.col("n")), ignorenulls=True).over(w)).where("h is not null").where(~head)
-    field = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("h", rf"{k}=(\S+)", 1), F.lit("")), F.lit(d))
-    return rows.select(field("chrom", "").alias("chrom"), (field("start", "1").cast("long") + (F.col("n") - F.col("hn") - 1) * field("step", "1").cast("long")).alias("pos"), F.col("value").cast("double").alias("value"))
+    """``chrom, pos, value`` of fixedStep tracks from ``file, block, n, value`` lines: each header counts for the lines down to the next.
+
+    Headers are carried within a block of a file, and from block to block by one row for each.
+    """
+    header = F.when(F.col("value").startswith("fixedStep"), F.struct("n", "value"))
+    marked = lines.withColumn("h", header)
+    last = marked.groupBy("file", "block").agg(F.max("h").alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("file", "block", F.last("last", ignorenulls=True).over(before).alias("open"))
+    w = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.withColumn("own", F.last("h", ignorenulls=True).over(w)).join(last, ["file", "block"]).withColumn("top", F.coalesce("own", "open")).where("h is null and top is not null")
+    field = lambda k, d: F.coalesce(F.nullif(F.regexp_extract(F.col("top.value"), rf"{k}=(\S+)", 1), F.lit("")), F.lit(d))
+    return rows.select(field("chrom", "").alias("chrom"), (field("start", "1").cast("long") + (F.col("n") - F.col("top.n") - 1) * field("step", "1").cast("long")).alias("pos"), F.col("value").cast("double").alias("value"))
 
 
 def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
-    return parse_wiggle(raw.where("trim(value) <> ''"))
+    return parse_wiggle(numbered_lines(spark, path).where("trim(value) <> ''"))
 
 
 HITS = (("q_name", "string"), ("q_len", "long"), ("q5", "long"), ("q3", "long"), ("h_name", "string"), ("h_len", "long"), ("h5", "long"), ("h3", "long"), ("pid", "double"), ("score", "double"), ("score2", "double"), ("strand", "string"))

@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.sources.lines import numbered_lines
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``id, info, seq, qual``. A record starts at a line end followed by ``@``; a quality line that starts so is told by its lengths.
 
-    Compressed files are read as Spark reads them. Pieces that do not hold as
-    many qualities as bases are joined with the next one within a file.
-    """
-    raw = spark.read.option("wholetext", True).text(path)
-    lines = raw.select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("k", "line"), F.input_file_name().alias("file"))
-    four = lines.where("line is not null").groupBy("file", F.floor(F.col("k") / 4).alias("r")).agg(*[F.max(F.when(F.col("k") % 4 == i, F.col("line"))).alias(f"l{i}") for i in range(4)])
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """``id, info, seq, qual`` of four-line records; compressed files are read as Spark reads them. Other groups of four lines go."""
+    lines = numbered_lines(spark, path)
+    four = lines.groupBy("file", F.floor(F.col("n") / 4).alias("r")).agg(*[F.max(F.when(F.col("n") % 4 == i, F.col("value"))).alias(f"l{i}") for i in range(4)])
     good = four.where(F.col("l0").startswith("@") & F.col("l2").startswith("+"))
-    name = F.substring("l0", 2, 1 << 30)
+    name = F.regexp_replace("l0", "^@", "")
     return good.select(F.regexp_extract(name, r"^(\S+)", 1).alias("id"), F.trim(F.regexp_extract(name, r"^\S+\s*(.*)$", 1)).alias("info"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
 
 
