@@ -186,3 +186,15 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.chrom: r.n for r in spark.sql("select chrom, count(*) n from kept group by chrom").collect()} == {"a": 2, "b": 2}
+
+
+def test_assembly(spark):
+    from helixframe.operators.assembly import assemble, paths
+
+    two = [(((1, 100), (201, 300)), 10.0), (((1, 100), (401, 500)), 4.0)]
+    got = paths(two, 1.0, 50)
+    assert [e for _, e in got] == [[(1, 100), (201, 300)], [(1, 100), (401, 500)]] and got[0][0] > got[1][0] > 3
+    schema = "id long, chrom string, strand string, blocks array<struct<start:long,end:long>>, weight double"
+    rows = [(i, "c", "+", [(1, 100), (201, 300)], 1.0) for i in range(6)] + [(10, "c", "+", [(1, 100), (900, 990)], 0.5)]
+    t = assemble(spark.createDataFrame(rows, schema), least_cov=1.0, least_len=50).collect()
+    assert len(t) == 1 and [(e.start, e.end) for e in t[0].exons] == [(1, 100), (201, 300)] and abs(t[0].cov - 6) < 1e-6
