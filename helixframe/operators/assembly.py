@@ -19,13 +19,24 @@ SCHEMA = "chrom string, bundle long, strand string, tx int, cov double, exons ar
 def paths(fragments: list[tuple[tuple[tuple[int, int], ...], float]], least_cov: float, least_len: int, most: int = 200) -> list[tuple[float, list[tuple[int, int]]]]:
     """(coverage, exons) of the transcripts that fragments (blocks, weight) spell.
 
-    Nodes are the stretches between block ends and junctions. The path that
+    Nodes are the covered stretches, cut at junctions. The path that
     carries the most fragments is taken first: a longest-path pass over the
     nodes in order, where an edge carries the fragments that span it. What it
     explains is taken off, until a path's coverage falls below ``least_cov``.
     """
-    cuts = sorted({p for blocks, _ in fragments for i, (s, e) in enumerate(blocks) for p in ((s,) if i else ()) + ((e + 1,) if i < len(blocks) - 1 else ())} | {min(b[0][0] for b, _ in fragments), max(b[-1][1] for b, _ in fragments) + 1})
-    nodes = list(zip(cuts, cuts[1:], strict=False))
+    covered: list[list[int]] = []
+    for s, e in sorted(x for b, _ in fragments for x in b):
+        if covered and s <= covered[-1][1] + 1:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    cuts = {p for lo, hi in covered for p in (lo, hi + 1)}
+    for blocks, _ in fragments:
+        cuts |= {s for s, _ in blocks[1:]} | {e + 1 for _, e in blocks[:-1]}
+    cuts = sorted(cuts)
+    gaps = {hi + 1 for _, hi in covered}
+    nodes = [(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if lo not in gaps]
+
     def node_path(blocks):
         out = []
         for s, e in blocks:
