@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.shingles import mix, shingle_set
@@ -98,6 +98,19 @@ def _private(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], n, m, i, pa.array(own, pa.list_(pa.int64()))], ["lead", "a", "g", "n", "m", "both", "own"])
 
 
+def _meeting(private: DataFrame, percent: int) -> DataFrame:
+    """(lead, a, b), once or more: pairs in different components that share a shingle among each side's rarest outside the leader."""
+    # enough shared shingles of their own means a shared one among each side's rarest: all but as many as must be shared, less one
+    least = private.groupBy("lead").agg(F.min("n").alias("least_n"))
+    owned = private.join(least, "lead")
+    share = F.ceil(percent * (F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)) / (100 + percent)) - F.col("both")
+    rows = owned.select("lead", "a", "g", (F.size("own") - F.greatest(share, F.lit(1)) + 1).alias("reach"), F.expr(f"{percent} * (n + m) > {100 + percent} * both").alias("far"), F.explode("own").alias("s"))
+    rows = rows.join(rows.groupBy("lead", "s").agg(F.count(F.lit(1)).alias("c")), ["lead", "s"])
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lead", "a").orderBy("c", "s"))).where("rank <= reach and c > 1")
+    others = rows.select("lead", "s", F.col("a").alias("b"), F.col("g").alias("h"), F.col("far").alias("far_b"))
+    return rows.select("lead", "s", "a", "g", "far").join(others, ["lead", "s"]).where("a > b and g <> h and (far or far_b)").select("lead", "a", "b")
+
+
 def _across(entries: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that may still be linked although no leader joins them.
 
@@ -116,10 +129,10 @@ def _across(entries: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
     met = below.join(sets.toDF("a", "x"), "a").join(sets.toDF("lead", "y"), "lead").select("lead", "a", "g", "x", "x", "y").toDF("lead", "a", "g", "z", "x", "y")
     private = materialize(met.mapInArrow(_private, "lead long, a long, g long, n long, m long, both long, own array<long>"), "private")
     need = f"{percent} * (n + k) <= {100 + percent} * "
-    rows = private.select("lead", "a", "g", "n", "both", F.explode("own").alias("s"))
-    others = rows.select("lead", "s", F.col("a").alias("b"), F.col("g").alias("h"), F.col("n").alias("k"), F.col("both").alias("i"))
-    sharing = rows.join(others, ["lead", "s"]).where("a > b and g <> h").groupBy("lead", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("k").alias("k"), F.least(F.first("both"), F.first("i")).alias("i"))
-    sharing = sharing.where(need + "(i + c)").select("a", "b")
+    met = _meeting(private, percent).distinct()
+    one = private.select("lead", "a", "n", "both", "own")
+    sharing = met.join(one, ["lead", "a"]).join(one.toDF("lead", "b", "k", "i", "other"), ["lead", "b"])
+    sharing = sharing.where(need + "(least(both, i) + size(array_intersect(own, other)))").select("a", "b")
     far = private.where(f"{percent} * (n + m) > {100 + percent} * both")
     near = private.where("n < m").select("lead", F.col("a").alias("b"), F.col("g").alias("h"), F.col("n").alias("k"), F.col("both").alias("i"))
     smallest = near.groupBy("lead").agg(F.min("k").alias("least_k"))
