@@ -21,7 +21,6 @@ def point_bundles(df: DataFrame, gap: int, lateness: int | None = None) -> DataF
 
 def saturating(df: DataFrame, limit: int) -> DataFrame:
     """Events of a stream until their key has had ``limit`` of them: state is one count per key."""
-    import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = df.columns
@@ -35,6 +34,5 @@ def saturating(df: DataFrame, limit: int) -> DataFrame:
                 yield b.iloc[:room][names]
         state.update((min(seen, limit),))
 
-    del pd
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.groupBy("chrom").applyInPandasWithState(keep, schema, "seen long", "append", GroupStateTimeout.NoTimeout)
