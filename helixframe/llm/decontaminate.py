@@ -25,7 +25,7 @@ LEAST_WORDS = 8
 #: Bytes of text that are looked through at once.
 CHUNK = 1 << 23
 _EDGE = re.compile(r"^[\W_]+|[\W_]+\Z")
-_MEMO = 300_000
+_MEMO = 100_000
 #: Code points that stand for words when word sequences are compared as strings.
 _FIRST_CODE, _OTHER = 0x10000, "\x01"
 

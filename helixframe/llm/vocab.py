@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 #: Pre-tokens kept per worker, about 200 bytes each; the memo starts anew when full.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 
 #: Any white space that is not one blank or newline between two other characters, and characters outside Latin.
 _ODD = re.compile(r"[^\n\x20-\x7e\xa1-ɏ]|[ \n][ \n]|^[ \n]|[ \n]\Z")
@@ -54,14 +54,13 @@ class _Memo(dict):
 class ByteBpe:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("a byte-level BPE file without normaliser or prefix blank is needed")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.special = [t["content"] for t in spec["added_tokens"]]
         code = byte_alphabet()
         added = {t["id"] for t in spec["added_tokens"]}
@@ -71,6 +70,12 @@ class ByteBpe:
         self.first, self.inner = _Memo(merge, ""), _Memo(merge, " ")
         self.newline = np.array(merge(b"\n"), "<u4").tobytes()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian uint32 bytes."""
         if not text:
