@@ -30,6 +30,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to Python, unless the session sets its own number: records here are whole texts.
+BATCH_ROWS = 2000
 _shipped: set[str] = set()
 
 
@@ -47,4 +49,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(full, os.path.relpath(full, os.path.dirname(top)))
         spark.sparkContext.addPyFile(to)
         _shipped.add(app)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(key) == "10000":
+            spark.conf.set(key, str(BATCH_ROWS))
     return spark
