@@ -17,10 +17,12 @@ from helixframe.llm.shingles import mix
 BLOCK = 1024
 #: A word is rare if so many items of a block hold it at most.
 RARE = 4
-#: Random walks, keys sampled from each, and embedded positions in a key. For windows within the default rate
-#: of an item, tests measure a recall above 0.95; windows equal to an item always meet it.
+#: Random walks, keys sampled from each, and embedded positions in a key, for items of up to SHORT words. Walks drift
+#: apart with every edit, so longer items have KEYS_LONG keys a walk and a walk more for each STEP words. For windows
+#: within the default rate of an item, tests measure a recall above 0.95; windows equal to an item always meet it.
 WALKS, KEYS, SAMPLED = 8, 8, 3
-#: Words shorter items have in common with anything.
+SHORT, KEYS_LONG, STEP = 60, 32, 48
+#: Shorter items are looked up exactly: their words are in common with anything.
 LEAST_WORDS = 8
 #: Bytes of text that are looked through at once.
 CHUNK = 1 << 23
@@ -66,9 +68,15 @@ def embed(seqs: np.ndarray, walk: int) -> np.ndarray:
     return out
 
 
-def table_keys(seqs: np.ndarray, walks: int = WALKS, keys: int = KEYS, sampled: int = SAMPLED) -> Iterator[np.ndarray]:
-    """For each table one key per row: sampled positions of an embedding."""
+def tables(n: int) -> tuple[int, int]:
+    """Walks, and keys from each, for items of n words."""
+    return (WALKS, KEYS) if n <= SHORT else (WALKS + (n - SHORT) // STEP, KEYS_LONG)
+
+
+def table_keys(seqs: np.ndarray, walks: int | None = None, keys: int | None = None, sampled: int = SAMPLED) -> Iterator[np.ndarray]:
+    """For each table one key per row: sampled positions of an embedding. As many walks and keys as ``tables`` says, unless given."""
     n = seqs.shape[1]
+    walks, keys = walks or tables(n)[0], keys or tables(n)[1]
     for walk in range(walks):
         out = embed(seqs, walk)
         for k in range(keys):
@@ -80,6 +88,46 @@ def table_keys(seqs: np.ndarray, walks: int = WALKS, keys: int = KEYS, sampled:
             yield key
 
 
+def exact_keys(seqs: np.ndarray) -> np.ndarray:
+    """One key per row: all of its words in order."""
+    key = np.full(len(seqs), 17, np.uint64)
+    for p in range(seqs.shape[1]):
+        key = mix(key + seqs[:, p].astype(np.int64).view(np.uint64))
+    return key
+
+
+class Short:
+    """Items of too few words to be searched for by edits, by their exact word sequences."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.known: dict[str, int] = {}
+        own = [(i, [self.known.setdefault(x, len(self.known)) for x in w]) for i, w in sorted(items)]
+        if len(self.known) > 0x10FFFF - _FIRST_CODE:
+            raise ValueError("too many different words in a block of items")
+        self.tables = {}
+        for n in sorted({len(w) for _, w in own}):
+            same = [(i, w) for i, w in own if len(w) == n]
+            key = exact_keys(np.array([w for _, w in same], np.int64))
+            order = np.argsort(key, kind="stable")
+            self.tables[n] = (key[order], [same[k] for k in order])
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Item, its first place in a document, and its words."""
+        odd = np.cumsum(np.concatenate([[0], ids < 0]))
+        for n, (have, items) in self.tables.items():
+            at = np.flatnonzero(odd[n:] == odd[:-n]) if len(ids) >= n else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            seqs = ids[at[:, None] + np.arange(n)]
+            key, first = np.unique(exact_keys(seqs), return_index=True)
+            left, right = np.searchsorted(have, key, "left"), np.searchsorted(have, key, "right")
+            for k in np.flatnonzero(right > left):
+                own = seqs[first[k]].tolist()
+                for i, words in items[left[k] : right[k]]:
+                    if words == own:
+                        yield i, int(at[first[k]]), own
+
+
 class Items:
     """A block of items by their number of words, with their table keys and an index of their rare words.
 
@@ -223,6 +271,23 @@ def _candidates(block: Items):
     return run
 
 
+def _exact(short: Short):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Ids(short.known)
+        for b in batches:
+            for part in _parts(b):
+                rows: list[list] = [[], [], [], []]
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ids = np.array([memo[w] for w in (text.as_py() or "").lower().split()], np.int64)
+                    for i, at, _ in short.find(ids[ids > -2]):
+                        for c, v in zip(rows, (doc, i, at, 0), strict=True):
+                            c.append(v)
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "start_word", "distance"])
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, item_id, distance, start_word``: documents with a window close to a benchmark item.
 
@@ -233,10 +298,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15, leas
     items; ``levenshtein`` then confirms distance <= rate * size. One row per
     document and item: the least distance and, of those, the first window.
     Items are taken in blocks, each a pass over the documents, so benchmarks
-    may be of any size.
+    may be of any size. Items of fewer than ``least_words`` words are met by
+    their exact word sequence only.
 
     Null or empty text, documents without doc_id, and items that are null or
-    have fewer than ``least_words`` words give no rows; rows that share a
+    without words give no rows; rows that share a
     doc_id or item_id are taken together. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -245,9 +311,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.15, leas
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     found = None
     for k in range(blocks):
-        items = [(r.item_id, w) for r in asked.where(part == k).collect() if len(w := item_words(r.text)) >= least_words]
+        own = [(r.item_id, w) for r in asked.where(part == k).collect() if (w := item_words(r.text))]
+        items, short = [x for x in own if len(x[1]) >= least_words], [x for x in own if len(x[1]) < least_words]
         near = source.mapInArrow(_candidates(Items(items, rate)), "doc_id long, item_id long, start_word long, allowed int, window string, item string")
         near = near.withColumn("distance", F.levenshtein("window", "item")).where("distance <= allowed").drop("window", "item", "allowed")
+        if short:
+            near = near.unionByName(source.mapInArrow(_exact(Short(short)), "doc_id long, item_id long, start_word long, distance int"))
         found = near if found is None else found.unionAll(near)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start_word")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.distance").alias("distance"), F.col("best.start_word").alias("start_word"))

@@ -68,3 +68,54 @@ def test_whole_table(spark):
     assert {k for k, d in want.items() if d == 0} <= set(got)
     assert len(set(want) & set(got)) >= 0.95 * len(want) and set(got) >= set() and all(want.get(k, got[k]) == got[k] for k in got)
     assert len(want) > 5
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(rnd, n):
+    """An item of n words, and a window of it after as many edits as are allowed."""
+    item = [rnd.randrange(7000) for _ in range(n)]
+    seq = list(item)
+    for _ in range(int(0.15 * n)):
+        at = rnd.randrange(len(seq))
+        kind = rnd.randrange(4)
+        if kind == 0:
+            del seq[at]
+        elif kind == 1:
+            seq.insert(at, -1)
+        else:
+            seq[at] = -1
+    return item, (seq + [-1] * n)[:n]
+
+
+def test_recall_of_long_items():
+    rnd = random.Random(4)
+    for n in (61, 100, 200, 400, 800, 1000):
+        pairs = np.array([x for _ in range(100) for x in edited(rnd, n)], np.int64)
+        met = np.zeros(100, bool)
+        for key in table_keys(pairs):
+            met |= key[::2] == key[1::2]
+        assert met.mean() >= 0.95, n
+
+
+def test_long_and_short_items(spark):
+    rnd = random.Random(6)
+    word = lambda k: f"w{k}" if k >= 0 else "odd"
+    pairs = [edited(rnd, 700) for _ in range(20)]
+    docs = [(i, " ".join(map(word, seq))) for i, (_, seq) in enumerate(pairs)]
+    docs += [(100, "see: Who wrote the Odyssey? and who wrote the odyssey"), (101, "who wrote an odyssey"), (102, "the"), (103, "who wrote the")]
+    items = [(i, " ".join(map(word, item))) for i, (item, _) in enumerate(pairs)] + [(50, "Who wrote the Odyssey?"), (51, "who wrote the odyssey"), (52, "!?")]
+    got = {(r.doc_id, r.item_id): (r.distance, r.start_word) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    short = {k: v for k, v in got.items() if k[0] >= 100}
+    assert short == {(100, 50): (0, 1), (100, 51): (0, 1)}
+    # a window that lost its end to insertions may be farther than allowed
+    want = {(i, i) for i, (item, seq) in enumerate(pairs) if distance(item, seq) <= 105}
+    found = {k for k in got if k[0] < 100}
+    assert found <= want and len(found) >= 0.95 * len(want) and len(want) >= 10
