@@ -198,3 +198,30 @@ def test_assembly(spark):
     rows = [(i, "c", "+", [(1, 100), (201, 300)], 1.0) for i in range(6)] + [(10, "c", "+", [(1, 100), (900, 990)], 0.5)]
     t = assemble(spark.createDataFrame(rows, schema), least_cov=1.0, least_len=50).collect()
     assert len(t) == 1 and [(e.start, e.end) for e in t[0].exons] == [(1, 100), (201, 300)] and abs(t[0].cov - 6) < 1e-6
+
+
+def test_linked_components_take_every_order_line(spark, tmp_path):
+    from helixframe.plans.catalogue import QUERIES
+
+    rnd = random.Random(11)
+    orders = [(k, rnd.randrange(1, 40), 100.0) for k in range(1, 31)]
+    # supplier 1 is a hub; most others stand in one or two cheap lines
+    lines = [(k, 1 if k <= 10 else rnd.randrange(2, 60), 5.0) for k, _, _ in orders for _ in range(1 + k % 2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    home = {}
+
+    def root(x):
+        while home.setdefault(x, x) != x:
+            x = home[x]
+        return x
+
+    customer = {k: c for k, c, _ in orders}
+    for k, s, _ in lines:
+        a, b = sorted((root(customer[k] * 2), root(s * 2 + 1)))
+        home[b] = a
+    want = {}
+    for x in list(home):
+        want[root(x)] = want.get(root(x), 0) + 1
+    got = {r.component: r.n for r in QUERIES["linked_components"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 3
