@@ -85,7 +85,7 @@ def translate_protein(spark, d):
 @register("longest_orf")
 def longest_orf(spark, d):
     """The longest open reading frame of six."""
-    s = _dna(spark, d).where("length(s) between 3 and 4000")
+    s = _dna(spark, d).where("length(s) >= 3")
     frames = F.transform(seq.six_frames(F.col("s")), lambda p: F.length(seq.longest_orf(p)))
     return s.select("doc_id", F.array_max(frames).alias("longest"))
 

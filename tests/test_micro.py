@@ -225,3 +225,25 @@ def test_linked_components_take_every_order_line(spark, tmp_path):
         want[root(x)] = want.get(root(x), 0) + 1
     got = {r.component: r.n for r in QUERIES["linked_components"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) > 3
+
+
+def test_longest_orf_of_long_records(spark, tmp_path):
+    from helixframe.plans.catalogue import QUERIES
+
+    # a c g t stand for themselves: ATG, then 3,000 codons GCT without a stop in any frame before TAA
+    texts = {1: "atg" + "gct" * 3000 + "taa" + "c" * 30, 2: "atggcttaa", 3: "ac"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    code = seq.codon_table()
+    want = {}
+    for k, t in texts.items():
+        s = t.upper()
+        if len(s) < 3:
+            continue
+        best = 0
+        for x in (s, s[::-1].translate(str.maketrans("ACGT", "TGCA"))):
+            for f in range(3):
+                protein = "".join(code[x[i : i + 3]] for i in range(f, len(x) - 2, 3))
+                best = max([best, *(len(p) - p.index("M") for p in protein.split(".") if "M" in p)])
+        want[k] = best
+    assert {r.doc_id: r.longest for r in QUERIES["longest_orf"](spark, str(tmp_path)).collect()} == want
+    assert want[1] >= 3001
