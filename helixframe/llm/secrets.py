@@ -20,14 +20,14 @@ _ASSIGN = re.compile(rf"""(?:{_ANY_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.
 _WORDS = ("password", "passwd", "secret", "token", "key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_DIGITS = re.compile(r"[0-9]+")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
-_RUN_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 
 #: Strings of each kind that the automata learn from (those with the smallest hashes), and their longest.
 SAMPLE, LONGEST = 1500, 200
-#: Shortest candidate.
-LEAST = 16
+#: Shortest candidate: the shortest value of an assignment.
+LEAST = 8
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+#: Runs whose verdict a worker remembers, and their longest.
+_MEMO, _MEMO_LONGEST = 100_000, 64
 #: How far, in mean log-likelihood of a character, a candidate may fall below nearly all strings that the automaton learnt from.
 MARGIN = 0.35
 
@@ -44,23 +44,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of credential characters that hold a digit and are long enough."""
-    done = 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < done:
-            continue
-        start = m.start()
-        while start > done and text[start - 1] in _RUN_SET:
-            start -= 1
-        done = _RUN.match(text, m.start()).end()
-        if done - start >= LEAST:
-            yield start, done
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of credential characters, or their parts outside the base spans, that are long enough."""
+    cuts = sorted((s, e) for s, _, e in base)
+    k = 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        # spans that end before this run cannot reach the next one either
+        while k < len(cuts) and cuts[k][1] <= start:
+            k += 1
+        at = k
+        while at < len(cuts) and cuts[at][0] < end:
+            if cuts[at][0] - start >= LEAST:
+                yield start, cuts[at][0]
+            start = max(start, cuts[at][1])
+            at += 1
+        if end - start >= LEAST:
+            yield start, end
 
 
 class Scanner:
     def __init__(self, models: list[tuple[Automaton, float]]):
         self.models = models
+        self.memo: dict[str, bool] = {}
+
+    def likely(self, own: str) -> bool:
+        """Whether an automaton finds the run as likely as what it learnt from."""
+        found = self.memo.get(own)
+        if found is None:
+            found = any(a.score(own) >= least for a, least in self.models)
+            if len(own) <= _MEMO_LONGEST:
+                if len(self.memo) >= _MEMO:
+                    self.memo.clear()
+                self.memo[own] = found
+        return found
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         if not text:
@@ -68,12 +85,7 @@ class Scanner:
         base = base_spans(text)
         out = list(base)
         if self.models:
-            for start, end in candidates(text):
-                if any(s < end and start < e for s, _, e in base):
-                    continue
-                own = text[start:end]
-                if any(a.score(own) >= least for a, least in self.models):
-                    out.append((start, 3, end))
+            out += [(start, 3, end) for start, end in candidates(text, base) if self.likely(text[start:end])]
         return sorted(out)
 
 
@@ -118,9 +130,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
 def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format`` for every row of ``docs``.
 
-    Base rules first; then every run of credential characters with a digit that
-    overlaps no base span is scored by the automata, and one that is as likely
-    as what they learnt from is a span of kind ``format``. Null and empty texts
+    Base rules first; then every run of at least ``LEAST`` credential characters,
+    or what base spans leave of it, is scored by the automata, and one that is as
+    likely as what they learnt from is a span of kind ``format``. Null and empty texts
     have no spans. Repeated rows and null doc_ids are scanned row by row.
     Other columns are ignored.
     """

@@ -59,3 +59,15 @@ def test_whole_table(spark):
         own = brute(r.text)
         text = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in own)
         assert got[r.doc_id] == (*(sum(1 for x in own if x[1] == k) for k in range(3)), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_short_and_digit_free_runs(spark):
+    rnd = random.Random(8)
+    upper = lambda n: "".join(rnd.choice("BCDFGHJKLMNPQRSTVWXZ") for _ in range(n))
+    hx = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(100 + i, f"words token={upper(8 + i % 9)} words") for i in range(200)]
+    rows += [(1, f"lone {upper(14)} here"), (2, f"lone {upper(9)} here"), (3, f"{upper(12)}{hx(32)} here"), (4, "ordinary thoughtful sentences everywhere"), (5, f"lone {upper(7)} here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in find_secrets(df).collect()}
+    assert got[1] == "format:5:19" and got[2] == "format:5:14" and got[4] == got[5] == ""
+    assert got[3] == "format:0:12,hex:12:44"
