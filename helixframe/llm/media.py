@@ -20,6 +20,11 @@ PAD, UNIT = b"\xff", 576
 CHUNK = 1 << 22
 
 
+def payload_length(n: int) -> int:
+    """Bytes of the payload for a text of n bytes; what an image holds behind them is to spare."""
+    return max(UNIT, n + -n % UNIT)
+
+
 def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for k, n in enumerate(sizes):
@@ -35,7 +40,7 @@ def texts_to_webp(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media`` for every row: each text's UTF-8 bytes, padded, as a lossless WebP file.
 
     Null text: empty. The samples of the image (A, R, G, B per pixel) are the
-    payload. Equal texts give equal files. One file holds up to 1 GiB. Repeated
+    payload, behind which the largest images have spare ones. Equal texts give equal files. One file holds up to 1 GiB. Repeated
     rows and null doc_ids are kept; other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -99,8 +104,8 @@ def media_digests(docs: DataFrame) -> DataFrame:
         for b in batches:
             own = b.column(b.schema.get_field_index("pixels"))
             columns: list[list] = [[], [], [], []]
-            for p in own:
-                p = p.as_py()
+            for p, n in zip(own, b.column(b.schema.get_field_index("n_bytes")).to_pylist(), strict=True):
+                p = p.as_py()[: payload_length(n)]
                 for c, v in zip(columns, (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), feature(np.frombuffer(p, np.uint8))), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())

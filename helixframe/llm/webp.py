@@ -252,25 +252,28 @@ def _put_payloads(heads: list[BitWriter], pixels: list[np.ndarray], lengths: np.
 
 
 def image_side(pixels: int) -> tuple[int, int]:
-    """Width and height for a number of pixels that is a multiple of 144."""
+    """Width and height of the image for a number of pixels; the last row may have some to spare."""
     width = 144
-    while pixels // width > SIDE and width * 2 <= SIDE and pixels % (2 * width) == 0:
-        width *= 2
-    if pixels % width or pixels // width > SIDE:
+    while -(-pixels // width) > SIDE and width < SIDE:
+        width = min(2 * width, SIDE)
+    height = -(-pixels // width)
+    if height > SIDE:
         raise ValueError("too long for one image")
-    return width, pixels // width
+    return width, height
 
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
     """WebP files whose samples (A, R, G, B of each pixel, left to right) are the payloads, multiples of 576 bytes.
 
-    Each image has one prefix code, written for each of its four channels.
+    An image that the payload does not fill ends in samples of 255. Each image has one prefix code, written for each of its four channels.
     """
     heads, pixels = [], []
     lengths, codes = np.zeros((len(payloads), 256), np.int64), np.zeros((len(payloads), 256), np.uint32)
     for k, p in enumerate(payloads):
         raw = np.frombuffer(p, np.uint8)
         width, height = image_side(len(raw) // 4)
+        if spare := 4 * width * height - len(raw):
+            raw = np.concatenate([raw, np.full(spare, 255, np.uint8)])
         own = code_lengths(np.bincount(raw, minlength=256).tolist(), WRITER_BITS)
         h = BitWriter()
         for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from helixframe.llm import webp
-from helixframe.llm.media import media_digests, read_webp
+from helixframe.llm.media import media_digests, payload_length, read_webp
 from helixframe.llm.webp import BitWriter, code_lengths, codes_of, container, cross_colour, decode_many, encode_many, plane_offsets, predictor, write_code
 
 
@@ -183,3 +183,21 @@ def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media_digests(df).collect()}
     assert got == {r.doc_id: brute(r.text) for r in df.collect()}
+
+
+def test_sides():
+    for units in (1, 16384, 16385, 16386, 32769, 32770, 1_048_577, 1 << 30 >> 6):
+        pixels = units * 144 if units < 1 << 22 else 1 << 28
+        width, height = webp.image_side(pixels)
+        assert max(width, height) <= 1 << 14 and 0 <= width * height - pixels < width
+    with pytest.raises(ValueError):
+        webp.image_side((1 << 28) + 1)
+
+
+def test_odd_units(monkeypatch):
+    """Images of up to 200 pixels a side; 201 units are 201 rows of 144 pixels, or 145 of 200 with some to spare."""
+    monkeypatch.setattr(webp, "SIDE", 200)
+    payloads = [os.urandom(576 * n) for n in (3, 200, 201, 203)]
+    for p, px in zip(payloads, decode_many(encode_many(payloads)), strict=True):
+        raw = px.tobytes()
+        assert raw[: len(p)] == p and set(raw[len(p) :]) <= {255} and payload_length(len(p) - 100) == len(p)
