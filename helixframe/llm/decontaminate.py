@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,12 @@ WALKS, KEYS, SAMPLED = 8, 8, 3
 SHORT, KEYS_LONG, STEP = 60, 32, 48
 #: Shorter items are looked up exactly: their words are in common with anything.
 LEAST_WORDS = 8
-#: Bytes of text that are looked through at once.
-CHUNK = 1 << 23
+#: Bytes of text whose words are looked up at once, and words of windows that meet the tables at once.
+CHUNK, WINDOW_WORDS = 1 << 21, 1 << 21
 _EDGE = re.compile(r"^[\W_]+|[\W_]+\Z")
-_MEMO = 100_000
+#: Base of the polynomial hash of words, and its inverse, modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Code points that stand for words when word sequences are compared as strings.
 _FIRST_CODE, _OTHER = 0x10000, "\x01"
 
@@ -37,33 +41,99 @@ def item_words(text: str | None) -> list[str]:
     return [w for w in (_EDGE.sub("", w) for w in (text or "").lower().split()) if w]
 
 
-class _Ids(dict):
-    """Raw word -> id of its plain form, -1 for words of no item, -2 for words of punctuation only."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known = known
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """By code point: 0 white space, 1 letters and digits, 2 others."""
+    out = np.full(sys.maxunicode + 1, 2, np.uint8)
+    for c in range(sys.maxunicode + 1):
+        own = chr(c)
+        if own.isalnum():
+            out[c] = 1
+        elif own.isspace():
+            out[c] = 0
+    return out
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > _MEMO:
-            self.clear()
-        plain = _EDGE.sub("", word)
-        found = self.known.get(plain, -1) if plain else -2
-        self[word] = found
-        return found
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    base, inverse = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    base[0] = inverse[0] = 1
+    return np.cumprod(base), np.cumprod(inverse)
+
+
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of each word of ``item_words``, for a text in lower case."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(c):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    kind = _classes()[c]
+    power, inverse = _powers(max(CHUNK, 1 << (len(c) - 1).bit_length()))
+    total = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum((c + np.uint32(1)) * power[: len(c)], out=total[1:])
+    solid = np.concatenate([[False], kind != 0, [False]])
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    start, end = edge[::2], edge[1::2]
+    # the first and last letter or digit of each; words without one are left out
+    at = np.flatnonzero(kind == 1)
+    before = np.zeros(len(c) + 1, np.int64)
+    np.cumsum(kind == 1, out=before[1:])
+    i, j = before[start], before[end]
+    start, i, j = start[j > i], i[j > i], j[j > i]
+    first, last = at[i], at[j - 1] + 1
+    return start, mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+
+
+class Lookup:
+    """Ids of the words of items by hash; -1 for other words."""
 
-def embed(seqs: np.ndarray, walk: int) -> np.ndarray:
-    """CGK: walk along each row, writing the current symbol at each step and going on at a random bit of step and symbol."""
+    def __init__(self, known: dict[str, int]):
+        words = sorted(known)
+        key = np.array([word_hashes(w)[1][0] for w in words], np.uint64)
+        order = np.argsort(key)
+        self.key, self.id = key[order], np.array([known[w] for w in words], np.int64)[order]
+
+    def _flat(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        at, h = word_hashes(text)
+        if not len(self.key):
+            return at, np.full(len(h), -1, np.int64)
+        place = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        return at, np.where(self.key[place] == h, self.id[place], -1)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the ids of its words."""
+        low = [t.lower() for t in texts]
+        if len(low) == 1:
+            return [np.concatenate([self._flat(part)[1] for part in _pieces(low[0])])]
+        at, flat = self._flat("\n".join(low))
+        size = np.array([len(t) + 1 for t in low])
+        return np.split(flat, np.searchsorted(at, np.cumsum(size)[:-1]))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in parts that end at blanks."""
+    at = 0
+    while len(text) - at > CHUNK:
+        cut = text.find(" ", at + CHUNK)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def embed(seqs: np.ndarray, walks: int, steps: int) -> np.ndarray:
+    """CGK: walk along each row, writing the current symbol at each step and going on at a random bit of step and symbol. (steps, walks, rows)"""
     rows, n = seqs.shape
-    padded = np.concatenate([seqs, np.full((rows, 1), -3, seqs.dtype)], axis=1)
-    at, line = np.zeros(rows, np.int64), np.arange(rows)
-    out = np.empty((rows, 3 * n), np.int64)
-    seed = mix(np.arange(1, 3 * n + 1, dtype=np.uint64) + np.uint64(1_000_003 * (walk + 1)))
-    for step in range(3 * n):
-        symbol = padded[line, at]
-        out[:, step] = symbol
-        at += ((mix(symbol.astype(np.int64).view(np.uint64) + seed[step]) >> np.uint64(17)) & np.uint64(1)).astype(np.int64)
+    padded = np.concatenate([seqs, np.full((rows, 1), -3, seqs.dtype)], axis=1).ravel()
+    line = np.arange(rows) * (n + 1)
+    at = np.zeros((walks, rows), np.int64)
+    out = np.empty((steps, walks, rows), np.uint64)
+    seed = mix(np.arange(1, steps + 1, dtype=np.uint64)[:, None] + np.uint64(1_000_003) * np.arange(1, walks + 1, dtype=np.uint64))
+    for step in range(steps):
+        symbol = padded[line + at].view(np.uint64)
+        out[step] = symbol
+        at += ((mix(symbol + seed[step][:, None]) >> np.uint64(17)) & np.uint64(1)).view(np.int64)
         np.minimum(at, n, out=at)
     return out
 
@@ -73,19 +143,22 @@ def tables(n: int) -> tuple[int, int]:
     return (WALKS, KEYS) if n <= SHORT else (WALKS + (n - SHORT) // STEP, KEYS_LONG)
 
 
-def table_keys(seqs: np.ndarray, walks: int | None = None, keys: int | None = None, sampled: int = SAMPLED) -> Iterator[np.ndarray]:
-    """For each table one key per row: sampled positions of an embedding. As many walks and keys as ``tables`` says, unless given."""
+@lru_cache(maxsize=4096)
+def _sampled(n: int, walks: int, keys: int, sampled: int) -> np.ndarray:
+    """Positions of the embedding in each key: (walks, keys, sampled). The walk ends after about 2n steps; later positions are alike for all rows."""
+    return np.array([[np.random.default_rng([n, walk, k]).choice(2 * n - n // 4, sampled, replace=False) for k in range(keys)] for walk in range(walks)])
+
+
+def table_keys(seqs: np.ndarray, walks: int | None = None, keys: int | None = None, sampled: int = SAMPLED) -> np.ndarray:
+    """A row of keys for each table: sampled positions of an embedding. As many walks and keys as ``tables`` says, unless given."""
     n = seqs.shape[1]
     walks, keys = walks or tables(n)[0], keys or tables(n)[1]
-    for walk in range(walks):
-        out = embed(seqs, walk)
-        for k in range(keys):
-            rng = np.random.default_rng([n, walk, k])
-            key = np.full(len(seqs), 17, np.uint64)
-            # the walk ends after about 2n steps; later positions are alike for all rows
-            for p in rng.choice(2 * n - n // 4, sampled, replace=False):
-                key = mix(key + out[:, p].view(np.uint64))
-            yield key
+    steps = 2 * n - n // 4
+    out = embed(seqs, walks, steps)
+    key = np.repeat(np.arange(17, 17 + walks * keys, dtype=np.uint64), len(seqs)).reshape(walks, keys, len(seqs))
+    for p in np.moveaxis(_sampled(n, walks, keys, sampled), 2, 0):
+        key = mix(key + out[p, np.arange(walks)[:, None]])
+    return key.reshape(walks * keys, len(seqs))
 
 
 def exact_keys(seqs: np.ndarray) -> np.ndarray:
@@ -104,6 +177,7 @@ class Short:
         own = [(i, [self.known.setdefault(x, len(self.known)) for x in w]) for i, w in sorted(items)]
         if len(self.known) > 0x10FFFF - _FIRST_CODE:
             raise ValueError("too many different words in a block of items")
+        self.lookup = Lookup(self.known)
         self.tables = {}
         for n in sorted({len(w) for _, w in own}):
             same = [(i, w) for i, w in own if len(w) == n]
@@ -145,18 +219,20 @@ class Items:
         self.size = np.array([len(w) for w in own], np.int64)
         self.allowed = (rate * self.size).astype(np.int64)
         self.codes = ["".join(map(code, w)) for w in own]
+        self.lookup = Lookup(self.known)
         self.tables = {}
         for n in np.unique(self.size):
             at = np.flatnonzero(self.size == n)
-            keys = np.array(list(table_keys(np.array([own[i] for i in at]))))
-            order = np.argsort(keys, axis=1, kind="stable")
-            self.tables[int(n)] = (np.take_along_axis(keys, order, 1), at[order])
+            keys = table_keys(np.array([own[i] for i in at]))
+            # a key differs from table to table, so one sorted list holds them all
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.tables[int(n)] = (keys.ravel()[order], np.tile(at, len(keys))[order])
         # rare words: for word w the items holders[first[w]:first[w + 1]]
         pairs = [(w, i) for i, ws in enumerate(own) for w in np.unique(ws).tolist()]
         df = np.bincount([w for w, _ in pairs], minlength=len(self.known) + 2)
         pairs = sorted(x for x in pairs if df[x[0]] <= RARE)
         self.holders = np.array([i for _, i in pairs], np.int64)
-        # ids -1 and -2 index the two empty places at the end
+        # id -1 indexes the empty place at the end
         self.count = np.bincount([w for w, _ in pairs], minlength=len(self.known) + 2)
         self.first = np.cumsum(self.count) - self.count
         self.least = np.bincount(self.holders, minlength=len(items)) - self.allowed
@@ -239,47 +315,74 @@ def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(lo)
 
 
+def _meet(block: Items, n: int, seqs: np.ndarray) -> list[tuple[int, int]]:
+    """(window, item) pairs that share a key of a table."""
+    have, items = block.tables[n]
+    walks, keys = tables(n)
+    met: set[tuple[int, int]] = set()
+    rows = max(1, WINDOW_WORDS // (walks * max(2 * n, keys)))
+    for lo in range(0, len(seqs), rows):
+        key = table_keys(seqs[lo : lo + rows])
+        left, right = np.searchsorted(have, key, "left"), np.searchsorted(have, key, "right")
+        t, w = np.nonzero(right > left)
+        found, which = _runs(left[t, w], right[t, w] - 1)
+        met.update(zip((w[which] + lo).tolist(), items[found].tolist(), strict=True))
+    return sorted(met)
+
+
+class _Waiting:
+    """Windows of many parts of the input, so that those of one size meet the tables together."""
+
+    def __init__(self, block: Items):
+        self.block, self.parts, self.words = block, {}, 0
+
+    def add(self, names: list[int], n: int, docs: np.ndarray, starts: np.ndarray, seqs: np.ndarray) -> None:
+        self.parts.setdefault(n, []).append((np.array(names, np.int64)[docs], starts, seqs))
+        self.words += seqs.size
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        block = self.block
+        for n, parts in sorted(self.parts.items()):
+            docs, starts, seqs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # repeated passages meet the tables once
+            once, back = np.unique(seqs, axis=0, return_inverse=True)
+            met = _meet(block, n, once)
+            items: dict[int, list[int]] = {}
+            for w, i in met:
+                items.setdefault(w, []).append(i)
+            rows: list[list] = [[], [], [], [], [], []]
+            for at in np.flatnonzero(np.isin(back.ravel(), [w for w, _ in met])).tolist():
+                window = "".join(map(code, seqs[at].tolist()))
+                for i in items[int(back.ravel()[at])]:
+                    for c, v in zip(rows, (int(docs[at]), int(block.ids[i]), int(starts[at]), int(block.allowed[i]), window, block.codes[i]), strict=True):
+                        c.append(v)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _KINDS, strict=True)], _NAMES)
+        self.parts, self.words = {}, 0
+
+
 def _candidates(block: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Ids(block.known)
+        waiting = _Waiting(block)
         for b in batches:
-            for part in _parts(b):
-                names, ids = part.column(0).to_pylist(), []
-                for text in part.column(1):
-                    own = np.array([memo[w] for w in (text.as_py() or "").lower().split()], np.int64)
-                    ids.append(own[own > -2])
-                rows: list[list] = [[], [], [], [], [], []]
-                for n, (docs, starts, found) in _windows(block, ids).items() if len(block.ids) else ():
-                    have, order = block.tables[n]
-                    for lo in range(0, len(docs), 20_000):
-                        seqs = found[lo : lo + 20_000]
-                        met: set[tuple[int, int]] = set()
-                        for t, key in enumerate(table_keys(seqs)):
-                            left, right = np.searchsorted(have[t], key, "left"), np.searchsorted(have[t], key, "right")
-                            for w in np.flatnonzero(right > left):
-                                met.update((int(w), int(i)) for i in order[t, left[w] : right[w]])
-                        for w, i in sorted(met):
-                            rows[0].append(names[docs[lo + w]])
-                            rows[1].append(int(block.ids[i]))
-                            rows[2].append(int(starts[lo + w]))
-                            rows[3].append(int(block.allowed[i]))
-                            rows[4].append("".join(map(code, seqs[w].tolist())))
-                            rows[5].append(block.codes[i])
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _KINDS, strict=True)], _NAMES)
+            for part in _parts(b) if len(block.ids) else ():
+                names, ids = part.column(0).to_pylist(), block.lookup.ids(part.column(1).to_pylist())
+                for n, (docs, starts, found) in _windows(block, ids).items():
+                    waiting.add(names, n, docs, starts, found)
+                if waiting.words > WINDOW_WORDS:
+                    yield from waiting.flush()
+        yield from waiting.flush()
 
     return run
 
 
 def _exact(short: Short):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Ids(short.known)
         for b in batches:
             for part in _parts(b):
                 rows: list[list] = [[], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = np.array([memo[w] for w in (text.as_py() or "").lower().split()], np.int64)
-                    for i, at, _ in short.find(ids[ids > -2]):
+                for doc, ids in zip(part.column(0).to_pylist(), short.lookup.ids(part.column(1).to_pylist()), strict=True):
+                    for i, at, _ in short.find(ids):
                         for c, v in zip(rows, (doc, i, at, 0), strict=True):
                             c.append(v)
                 if rows[0]:
