@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +29,13 @@ SAMPLE, LONGEST = 1500, 200
 #: Shortest candidate: the shortest value of an assignment.
 LEAST = 8
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST},}}")
+_DIGIT = re.compile("[0-9]")
 #: Runs whose verdict a worker remembers, and their longest.
 _MEMO, _MEMO_LONGEST = 100_000, 64
-#: How far, in mean log-likelihood of a character, a candidate may fall below nearly all strings that the automaton learnt from.
-MARGIN = 0.35
+#: A run is a span if labelled strings are expected to be at least this share of all strings that look like it.
+SHARE = 0.1
+#: Formats with fewer strings of a look are not learnt.
+FEWEST = 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,16 +69,35 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
             yield start, end
 
 
+def look(run: str) -> int:
+    """Which characters a run holds, as bits: lower case 1, upper case 2, digits 4, others 8."""
+    return (run.upper() != run) + 2 * (run.lower() != run) + 4 * bool(_DIGIT.search(run)) + 8 * (not run.isalnum())
+
+
 class Scanner:
-    def __init__(self, models: list[tuple[Automaton, float]]):
-        self.models = models
+    """By the look of runs: formats with the number of distinct strings that show each, and the ordinary runs' automaton with theirs."""
+
+    def __init__(self, formats: dict[int, list[tuple[Automaton, float]]], ordinary: dict[int, tuple[Automaton, float]]):
+        self.formats = {k: [(a, math.log(n)) for a, n in own] for k, own in formats.items()}
+        self.ordinary = {k: (a, math.log(n)) for k, (a, n) in ordinary.items()}
         self.memo: dict[str, bool] = {}
 
+    def margin(self, own: str) -> float:
+        """Log of how many labelled strings like this one are expected for each unlabelled one."""
+        kind = look(own)
+        if kind not in self.formats:
+            return -math.inf
+        found = max(a.score(own) + n for a, n in self.formats[kind])
+        if kind not in self.ordinary:
+            return math.inf
+        other, n = self.ordinary[kind]
+        return found - other.score(own) - n
+
     def likely(self, own: str) -> bool:
-        """Whether an automaton finds the run as likely as what it learnt from."""
+        """Whether enough of the strings that look like the run are labelled ones."""
         found = self.memo.get(own)
         if found is None:
-            found = any(a.score(own) >= least for a, least in self.models)
+            found = self.margin(own) >= math.log(SHARE / (1 - SHARE))
             if len(own) <= _MEMO_LONGEST:
                 if len(self.memo) >= _MEMO:
                     self.memo.clear()
@@ -84,7 +109,7 @@ class Scanner:
             return []
         base = base_spans(text)
         out = list(base)
-        if self.models:
+        if self.formats:
             out += [(start, 3, end) for start, end in candidates(text, base) if self.likely(text[start:end])]
         return sorted(out)
 
@@ -93,46 +118,80 @@ def listing(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind and value of each base span: the value alone for assignments."""
-    for b in batches:
-        kinds, values = [], []
-        for text in b.column(0):
-            text = text.as_py()
-            for s, k, e in base_spans(text) if text else ():
-                own = text[s:e]
-                own = _ASSIGN.fullmatch(own)[1] if k == 0 else own
-                if len(own) <= LONGEST:
-                    kinds.append(k)
-                    values.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], ["kind", "value"])
+def _place(run: str) -> int:
+    """A run's place in the order by hash, below 2^63."""
+    return xxhash.xxh3_64_intdigest(run) >> 1
+
+
+def _labelled(sample: int):
+    """Kind, look, value and place of each base span (the value alone for assignments), and, as kind 3, of the ``sample`` other runs of each look that come first by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, list[tuple[int, str]]] = {}
+        held: set[str] = set()
+
+        def rows(found: list[tuple[int, str]]) -> pa.RecordBatch:
+            kinds, values = [k for k, _ in found], [v for _, v in found]
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(map(look, values), pa.int32()), pa.array(values, pa.string()), pa.array(map(_place, values), pa.int64())], ["kind", "look", "value", "place"])
+
+        for b in batches:
+            found = set()
+            for text in b.column(0):
+                text = text.as_py()
+                base = base_spans(text) if text else []
+                for s, k, e in base:
+                    own = text[s:e]
+                    own = _ASSIGN.fullmatch(own)[1] if k == 0 else own
+                    if len(own) <= LONGEST:
+                        found.add((k, own))
+                for s, e in candidates(text, base) if text else ():
+                    if e - s <= LONGEST and (own := text[s:e]) not in held:
+                        place, heap = _place(own), first.setdefault(look(own), [])
+                        if len(heap) < sample:
+                            heapq.heappush(heap, (-place, own))
+                            held.add(own)
+                        elif -place > heap[0][0]:
+                            held.discard(heapq.heappushpop(heap, (-place, own))[1])
+                            held.add(own)
+            yield rows(sorted(found))
+        yield rows([(3, own) for heap in first.values() for _, own in heap])
+
+    return run
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
-    """Automata of the formats that the base rules find in ``docs``.
+    """Automata of the formats that the base rules find in ``docs``, and of the runs they leave, each by the characters they hold (``look``).
 
-    Learns from up to ``sample`` distinct strings of each kind, of up to
-    ``LONGEST`` characters. A format with under 20 strings is not learnt.
+    Learns from up to ``sample`` distinct strings of each kind and look, and as
+    many other runs, of up to ``LONGEST`` characters, first by hash. Their
+    numbers in all texts are counted, those of other runs estimated by how far
+    the sample reaches. A format with under ``FEWEST`` strings is not learnt.
     """
-    found = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_labelled, "kind int, value string").distinct()
+    found = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_labelled(sample), "kind int, look int, value string, place long").distinct()
     found = materialize(found, "labelled")
-    models = []
-    for kind in range(3):
-        strings = [r.value for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-        if len(strings) < 20:
+    formats: dict[int, list[tuple[Automaton, float]]] = {}
+    ordinary: dict[int, tuple[Automaton, float]] = {}
+    number = sorted((r["look"], r["kind"], r["count"]) for r in found.groupBy("look", "kind").count().collect())
+    for own, kind, n in number:
+        if kind < 3 and n < FEWEST or kind == 3 and own not in formats:
             continue
-        automaton = learn(strings)
-        scores = sorted(automaton.score(s) for s in strings)
-        models.append((automaton, scores[len(scores) // 100] - MARGIN))
-    return Scanner(models)
+        first = found.where((F.col("kind") == kind) & (F.col("look") == own)).orderBy("place", "value").limit(sample).collect()
+        automaton = learn([r.value for r in first], longest=LONGEST)
+        if kind < 3:
+            formats.setdefault(own, []).append((automaton, n))
+        else:
+            # the sample holds all runs up to its last place
+            ordinary[own] = (automaton, n if n <= sample else (len(first) - 1) / (first[-1].place / 2**63))
+    return Scanner(formats, ordinary)
 
 
 def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format`` for every row of ``docs``.
 
     Base rules first; then every run of at least ``LEAST`` credential characters,
-    or what base spans leave of it, is scored by the automata, and one that is as
-    likely as what they learnt from is a span of kind ``format``. Null and empty texts
+    or what base spans leave of it, is scored by the automata of the formats
+    against that of ordinary runs of its look, and one whose like are labelled often enough
+    (``SHARE``) is a span of kind ``format``. Null and empty texts
     have no spans. Repeated rows and null doc_ids are scanned row by row.
     Other columns are ignored.
     """
@@ -159,8 +218,8 @@ def redact(docs: DataFrame, mask: Callable[[str], str] = lambda kind: f"[{kind}]
     """The rows and columns of ``docs`` with each secret in ``text`` replaced by ``mask(kind)``; ``n_chars``, if there, follows."""
     scanner = train(docs, sample)
     schema = docs.schema
-    at = docs.columns.index("text")
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    place = {c.lower(): i for i, c in enumerate(docs.columns)}
+    at, chars = place["text"], place.get("n_chars")
 
     def clean(text: str | None) -> str | None:
         spans = scanner.spans(text)
