@@ -20,6 +20,8 @@ from helixframe.storage import materialize
 HALVES, MINIMA = 16, 3
 #: Shingles that are hashed at once.
 _BLOCK = 8192
+#: Parts that the members below one leader are dealt into.
+PARTS = 16
 
 
 def half_keys(shingles: np.ndarray, halves: int = HALVES, minima: int = MINIMA) -> np.ndarray:
@@ -37,23 +39,32 @@ def half_keys(shingles: np.ndarray, halves: int = HALVES, minima: int = MINIMA)
     return key.view(np.int64)
 
 
+def _set_id(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _describe(halves: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "set_id", "half"]
+        from pyspark import TaskContext
+
+        names = ["row", "doc_id", "n_shingles", "set_id", "half"]
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
             size, ids, keys, offsets = [], [], [], [0]
             for text in b.column(1):
                 s = shingle_set(text.as_py())
                 size.append(len(s))
                 if len(s):
-                    ids.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    ids.append(_set_id(s))
                     keys.append(half_keys(s, halves, minima))
                     offsets.append(offsets[-1] + 2 * halves)
                 else:
                     ids.append(None)
                     offsets.append(offsets[-1])
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names)
+            rows = pa.array(range(row, row + b.num_rows), pa.int64())
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names)
 
     return run
 
@@ -62,7 +73,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["doc_id", "shingles"])
+            own = [shingle_set(t.as_py()) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_id(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "set_id", "shingles"])
 
 
 def _confirm(percent: int):
@@ -99,10 +111,17 @@ def _private(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meeting(private: DataFrame, percent: int) -> DataFrame:
-    """(lead, a, b), once or more: pairs in different components that share a shingle among each side's rarest outside the leader."""
+    """(lead, a, b), once or more: pairs in different components that share a shingle among each side's rarest outside the leader.
+
+    What many members share ranks last among the shingles of each, so it is met
+    only by members that have hardly anything else of their own; those are
+    alike enough to be in one component by then.
+    """
+    # one leader may have a large share of all members
+    part = F.pmod(F.xxhash64("a"), F.lit(PARTS))
     # enough shared shingles of their own means a shared one among each side's rarest: all but as many as must be shared, less one
-    least = private.groupBy("lead").agg(F.min("n").alias("least_n"))
-    owned = private.join(least, "lead")
+    least = private.groupBy("lead").agg(F.min("n").alias("least_n")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    owned = private.withColumn("part", part).join(least, ["lead", "part"]).drop("part")
     share = F.ceil(percent * (F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)) / (100 + percent)) - F.col("both")
     rows = owned.select("lead", "a", "g", (F.size("own") - F.greatest(share, F.lit(1)) + 1).alias("reach"), F.expr(f"{percent} * (n + m) > {100 + percent} * both").alias("far"), F.explode("own").alias("s"))
     rows = rows.join(rows.groupBy("lead", "s").agg(F.count(F.lit(1)).alias("c")), ["lead", "s"])
@@ -135,8 +154,9 @@ def _across(entries: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
     sharing = sharing.where(need + "(least(both, i) + size(array_intersect(own, other)))").select("a", "b")
     far = private.where(f"{percent} * (n + m) > {100 + percent} * both")
     near = private.where("n < m").select("lead", F.col("a").alias("b"), F.col("g").alias("h"), F.col("n").alias("k"), F.col("both").alias("i"))
-    smallest = near.groupBy("lead").agg(F.min("k").alias("least_k"))
-    far = far.join(smallest, "lead").where(f"{percent} * (n + least_k) <= {100 + percent} * both")
+    part = F.pmod(F.xxhash64("a"), F.lit(PARTS))
+    smallest = near.groupBy("lead").agg(F.min("k").alias("least_k")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    far = far.withColumn("part", part).join(smallest, ["lead", "part"]).drop("part").where(f"{percent} * (n + least_k) <= {100 + percent} * both")
     direct = far.join(near, "lead").where("a <> b and g <> h and " + need + "least(both, i)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return sharing.unionAll(direct).distinct()
 
@@ -148,7 +168,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, halves: int = HALVES, mi
     5-word shingle sets; component_id is the smallest doc_id reachable, and the
     document with that id is kept.
 
-    1. Documents with equal sets form a class; only its smallest id goes on.
+    1. Rows with equal sets form a class; only its first row goes on.
     2. A half key counts only if two classes share it. Each class's shared
        half keys of both sides are combined into table keys.
     3. In each table entry the member whose half keys are shared most leads. A
@@ -162,9 +182,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, halves: int = HALVES, mi
     kept. Each input row gives one row. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = materialize(source.mapInArrow(_describe(halves, minima), "doc_id long, n_shingles long, set_id binary, half array<long>"), "sets")
+    told = materialize(source.mapInArrow(_describe(halves, minima), "row long, doc_id long, n_shingles long, set_id binary, half array<long>"), "sets")
     alive = told.where("set_id is not null and doc_id is not null")
-    classes = alive.groupBy("set_id").agg(F.min("doc_id").alias("a"), F.min_by("half", "doc_id").alias("half"), F.min("n_shingles").alias("n"))
+    classes = alive.groupBy("set_id").agg(F.min("row").alias("a"), F.min("doc_id").alias("doc"), F.min_by("half", "row").alias("half"))
     classes = materialize(classes, "classes")
 
     side = F.posexplode("half").alias("i", "half")
@@ -178,9 +198,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, halves: int = HALVES, mi
     entries = materialize(entries.drop("weight").join(leaders, "entry"), "entries")
     pairs = materialize(entries.where("a <> b").groupBy("a", "b").agg(F.max("top").alias("top")), "pairs")
 
-    wanted = entries.select(F.col("a").alias("doc_id")).distinct()
-    texts = source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
+    wanted = entries.select("a").distinct()
+    fetched = classes.select("a", "doc", "set_id").join(wanted, "a", "left_semi")
+    texts = source.join(fetched.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    found = texts.mapInArrow(_sets, "doc_id long, set_id binary, shingles binary").dropDuplicates(["doc_id", "set_id"])
+    sets = materialize(found.join(fetched.withColumnRenamed("doc", "doc_id"), ["doc_id", "set_id"]).select("a", "shingles"), "shingles")
 
     first_pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b"))
     links = materialize(confirmed(first_pairs, sets, percent), "links")
@@ -197,9 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, halves: int = HALVES, mi
     if not last.isEmpty():
         links = links.unionAll(last)
 
-    same = alive.join(classes.select("set_id", "a"), "set_id").where("doc_id <> a").select(F.col("doc_id").alias("src"), F.col("a").alias("dst"))
+    same = alive.join(classes.select("set_id", "doc"), "set_id").where("doc_id <> doc").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
     # rows that share a doc_id but not a text hold their classes together
-    found = connected_components(materialize(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(same).distinct(), "edges"))
+    doc = classes.select("a", "doc")
+    between = links.join(doc.toDF("a", "src"), "a").join(doc.toDF("b", "dst"), "b").where("src <> dst").select("src", "dst")
+    found = connected_components(materialize(between.unionAll(same).distinct(), "edges"))
     out = told.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -208,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, halves: int = HALVES, mi
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(a, g): the component of each node, itself if it has no link."""
     found = connected_components(links, "a", "b").toDF("a", "g")
-    return materialize(nodes.select(F.col("doc_id").alias("a")).join(found, "a", "left").select("a", F.coalesce("g", "a").alias("g")), "groups")
+    return materialize(nodes.join(found, "a", "left").select("a", F.coalesce("g", "a").alias("g")), "groups")
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -73,3 +73,21 @@ def test_whole_table(spark):
     docs = {r.doc_id: r.text for r in df.collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
     assert got == brute(docs)
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_rows_that_share_an_id(spark, turn):
+    """All texts of a doc_id count, in whatever order the rows come."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (7, a + " x"), (9, b + " y"), (5, b.upper())]
+    df = spark.createDataFrame(rows[::-1] if turn else rows, "doc_id long, text string").coalesce(1)
+    assert sorted({(r.doc_id, r.component_id) for r in near_duplicates(df).collect()}) == [(5, 5), (7, 5), (9, 5)]
+
+
+def test_family_with_a_common_private_line(spark):
+    """Documents of one template, half of them with a line of their own kind: few pairs, right components."""
+    rnd = random.Random(9)
+    body, line = [f"t{i}" for i in range(60)], [f"l{i}" for i in range(12)]
+    docs = {d: " ".join([*body, *(line if d % 2 else []), *(f"u{rnd.randrange(10**9)}" for _ in range(rnd.choice([6, 12, 30])))]) for d in range(300)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()} == brute(docs)
