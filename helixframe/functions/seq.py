@@ -1,8 +1,18 @@
-"""Sequence functions on string columns, in whole-stage code where Spark has the parts."""
+"""Sequence functions on string columns, in whole-stage code where Spark has the parts.
+
+``substring`` walks from the start of a string, so what goes along a whole
+sequence uses one regular expression or one pass in Arrow batches instead.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The IUPAC codes and their complements.
@@ -40,15 +50,73 @@ def reverse_complement(s: Column) -> Column:
 
 def kmers(s: Column, k: int) -> Column:
     """All substrings of length k, in order; none for shorter strings."""
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
+
+
+#: Longest k-mers that are counted as numbers, and codes that are counted at once.
+LONGEST_KMER, KMER_BLOCK = 15, 1 << 22
+
+
+def _kmer_codes(joined: str, k: int) -> np.ndarray:
+    """Base-4 numbers of the k-mers over A C G T; those with other characters are left out."""
+    table = np.full(256, 4, np.uint8)
+    for i, c in enumerate("ACGT"):
+        table[ord(c)] = table[ord(c.lower())] = i
+    base = table[np.frombuffer(joined.encode("ascii", "replace"), np.uint8)]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    code = np.zeros(n, np.int64)
+    for i in range(k):
+        code = code * 4 + base[i : i + n]
+    bad = np.cumsum(np.concatenate([[0], base == 4]))
+    return code[bad[k:] == bad[:-k]]
+
+
+def kmer_counts(df: DataFrame, column: str, k: int) -> DataFrame:
+    """``kmer, n`` over all sequences of a column, k-mers of A C G T in upper case only.
+
+    Workers count the base-4 numbers of their k-mers, so what is shuffled is a
+    row per distinct k-mer and batch. k is at most ``LONGEST_KMER``.
+    """
+    if not 1 <= k <= LONGEST_KMER:
+        raise ValueError(f"k must be 1 to {LONGEST_KMER}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+
+        parts, size = [], 0
+        for b in batches:
+            for s in b.column(0):
+                own = s.as_py() or ""
+                # neighbouring parts of a long sequence share k - 1 bases
+                for lo in range(0, max(1, len(own) - k + 1), KMER_BLOCK):
+                    parts.append(_kmer_codes(own[lo : lo + KMER_BLOCK + k - 1], k))
+                    size += len(parts[-1])
+                    if size >= KMER_BLOCK:
+                        yield out(parts)
+                        parts, size = [], 0
+        if parts:
+            yield out(parts)
+
+    coded = df.select(F.col(column).cast("string").alias("s")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    kmer = F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    return coded.select(kmer.alias("kmer"), "n")
+
+
+def codons_of(s: Column) -> Column:
+    """The triplets of a string from its start; an incomplete last one is left out."""
+    return F.regexp_extract_all(s, F.lit("(?s)(...)"), 1)
 
 
 def translate(s: Column, frame: int = 0) -> Column:
     """Protein of a frame (0 to 2); unknown codons are X, stops are dots, an incomplete last codon is left out."""
     table = F.create_map(*[F.lit(x) for pair in codon_table().items() for x in pair])
     up = F.translate(s, "acgtumrwsykvhdbn", "ACGTUMRWSYKVHDBN")
-    codons = F.transform(F.sequence(F.lit(1 + frame), F.length(s) - 2, F.lit(3)), lambda i: F.coalesce(F.element_at(table, F.substring(up, i, F.lit(3))), F.lit("X")))
-    return F.when(F.length(s) >= 3 + frame, F.array_join(codons, "")).otherwise("")
+    codons = codons_of(up if frame == 0 else F.substring(up, 1 + frame, 1 << 30))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
 
 
 def six_frames(s: Column) -> Column:
@@ -63,14 +131,14 @@ def longest_orf(protein: Column) -> Column:
 
 
 def runs(s: Column, base: str, least: int) -> Column:
-    """(start, length) of the runs of a character, starts from 1."""
-    marks = F.regexp_extract_all(s, F.lit(f"({base}{{{least},}}|[^{base}]+|{base}+)"), 1)
-    walked = F.aggregate(
-        marks,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.when(x.startswith(base) & (F.length(x) >= least), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), F.length(x).alias("length"))))).otherwise(a["out"]).alias("out")),
-    )
-    return walked["out"]
+    """(start, length) of the runs of at least so many of a character, starts from 1."""
+    pattern = re.compile(f"{re.escape(base)}{{{least},}}")
+
+    @F.pandas_udf("array<struct<start:int,length:int>>")
+    def found(own: pd.Series) -> pd.Series:
+        return own.map(lambda x: [{"start": m.start() + 1, "length": m.end() - m.start()} for m in pattern.finditer(x or "")])
+
+    return found(s)
 
 
 def splice(genome: Column, exons: Column, strand: Column, offset: Column | None = None) -> Column:

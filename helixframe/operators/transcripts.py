@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.graph import connected_components
-from helixframe.operators.intervals import overlap_join
+from helixframe.operators.intervals import islands, number_islands, overlap_join
 from helixframe.storage import materialize
 
 #: Positions that a single exon may stick out of the exon that contains it, and least bases into an intron.
@@ -14,12 +16,18 @@ EDGE, INTO_INTRON = 8, 10
 
 
 def assemble(exons: DataFrame) -> DataFrame:
-    """Exon rows (tid, chrom, strand, start, end) as transcripts; overlapping or touching exons are merged."""
-    from helixframe.operators.intervals import islands
-
-    merged = islands(exons.withColumn("id", F.monotonically_increasing_id()), 1, ["tid", "chrom", "strand"])
-    t = merged.groupBy("tid", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
-    return with_range(t)
+    """Exon rows (tid, chrom, strand, start, end) as transcripts; overlapping or touching exons are merged. A transcript's exons are one row's array."""
+    own = exons.groupBy("tid", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("e"))
+    first = F.array(F.col("e")[0])
+    merged = F.aggregate(
+        F.slice("e", 2, F.greatest(F.size("e") - 1, F.lit(0))),
+        first,
+        lambda out, x: F.when(
+            x["start"] <= F.element_at(out, -1)["end"] + 1,
+            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end")))),
+        ).otherwise(F.concat(out, F.array(x))),
+    )
+    return with_range(own.select("tid", "chrom", "strand", merged.alias("exons")))
 
 
 def with_range(t: DataFrame) -> DataFrame:
@@ -102,9 +110,11 @@ def best_codes(query: DataFrame, reference: DataFrame) -> DataFrame:
 
 def loci(t: DataFrame) -> DataFrame:
     """``tid, locus``: transcripts on one strand whose exons overlap, transitively; the locus is the smallest tid."""
-    e = t.select("tid", "chrom", "strand", F.explode("exons").alias("e")).select("tid", "chrom", "strand", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
-    f = e.select(F.col("tid").alias("tid2"), "chrom", "strand", F.col("start").alias("start2"), F.col("end").alias("end2"))
-    edges = overlap_join(e, f, ["chrom", "strand"]).where("tid < tid2").select(F.col("tid").alias("src"), F.col("tid2").alias("dst")).distinct()
+    e = t.select("tid", "chrom", "strand", F.explode("exons").alias("e")).select(F.col("tid").alias("id"), "chrom", "strand", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
+    # exons that overlap are islands; each transcript hangs below the first of every island that it touches
+    n = number_islands(e, 0, ["chrom", "strand"]).select("id", "chrom", "strand", "island").distinct()
+    head = n.groupBy("chrom", "strand", "island").agg(F.min("id").alias("head"))
+    edges = n.join(head, ["chrom", "strand", "island"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
     found = connected_components(materialize(edges, "loci"))
     return t.select("tid").join(found.withColumnRenamed("node", "tid"), "tid", "left").select("tid", F.coalesce("component", "tid").alias("locus"))
 
@@ -116,31 +126,55 @@ def collapse(t: DataFrame) -> DataFrame:
     return many.select((-F.col("b.t")).alias("tid"), "n").unionByName(c.where("chain = ''").select("tid", F.lit(1).cast("long").alias("n")))
 
 
-def sensitivity(query: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row per level (base, exon, intron, chain): matched, of the reference, of the query, and both rates in percent."""
-    from helixframe.operators.intervals import islands
+#: Levels of ``sensitivity``.
+LEVELS = ("base", "exon", "intron", "chain", "transcript", "locus")
+
 
-    def items(t: DataFrame, level: str) -> DataFrame:
-        key = ["chrom", "strand"]
-        if level == "exon":
-            return t.select(*key, F.explode("exons").alias("x")).select(*key, F.concat_ws("-", "x.start", "x.end").alias("x")).distinct()
-        if level == "intron":
-            return t.select(*key, F.explode(introns(F.col("exons"))).alias("x")).select(*key, F.concat_ws("-", "x.start", "x.end").alias("x")).distinct()
-        return t.select(*key, chain(F.col("exons")).alias("x")).where("x <> ''").distinct()
+def _items(t: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """``level, chrom, strand, x``: what each transcript shows at the levels that compare by equality."""
+    c = t.withColumn("_chain", chain(F.col("exons")))
+    text = lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))
+    pair = lambda level, x: F.struct(F.lit(level).alias("level"), x.alias("x"))
+    multi = F.col("_chain") != ""
+    none = F.array().cast("array<struct<level:string,x:string>>")
+    parts = {
+        "exon": F.transform("exons", lambda e: pair("exon", text(e))),
+        "intron": F.transform(introns(F.col("exons")), lambda e: pair("intron", text(e))),
+        "chain": F.when(multi, F.array(pair("chain", F.col("_chain")))).otherwise(none),
+        "transcript": F.array(pair("transcript", F.array_join(F.transform("exons", text), ","))),
+    }
+    return c.select("chrom", "strand", F.explode(F.concat(*[parts[x] for x in levels])).alias("i")).select("i.level", "chrom", "strand", "i.x")
 
+
+def sensitivity(query: DataFrame, reference: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """One row per level: matched, of the reference, of the query, and both rates in percent.
+
+    Bases; distinct exons, introns, intron chains and whole transcripts that are
+    equal; and loci (of both sets together) in which a chain or a single-exon
+    transcript is equal. Levels without anything have no row.
+    """
     rows = None
-    for level in ("exon", "intron", "chain"):
-        a, b = items(query, level), items(reference, level)
-        # one aggregate over both sets instead of a join and two counts
-        both = a.withColumn("q", F.lit(1)).withColumn("r", F.lit(0)).unionByName(b.withColumn("q", F.lit(0)).withColumn("r", F.lit(1))).groupBy("chrom", "strand", "x").agg(F.max("q").alias("q"), F.max("r").alias("r"))
-        row = both.agg(F.sum(F.col("q") * F.col("r")).alias("matched"), F.sum("r").alias("reference"), F.sum("q").alias("query")).select(F.lit(level).alias("level"), "matched", "reference", "query")
+    equal = [x for x in levels if x in ("exon", "intron", "chain", "transcript")]
+    if equal:
+        side = lambda t, q: _items(t, equal).withColumn("q", F.lit(q)).withColumn("r", F.lit(1 - q))
+        both = side(query, 1).unionByName(side(reference, 0)).groupBy("level", "chrom", "strand", "x").agg(F.max("q").alias("q"), F.max("r").alias("r"))
+        rows = both.groupBy("level").agg(F.sum(F.col("q") * F.col("r")).alias("matched"), F.sum("r").alias("reference"), F.sum("q").alias("query"))
+    if "locus" in levels:
+        side = lambda t, q: t.select("tid", "chrom", "strand", "exons", F.lit(q).alias("q"))
+        every = side(query, 1).unionByName(side(reference, 0))
+        found = loci(every.select("tid", "chrom", "strand", "exons")).distinct()
+        what = F.when(F.size("exons") > 1, chain(F.col("exons"))).otherwise(F.to_json("exons"))
+        met = every.join(found, "tid").groupBy("locus", what.alias("x")).agg(F.max("q").alias("q"), F.max(1 - F.col("q")).alias("r"))
+        met = met.groupBy("locus").agg(F.max(F.col("q") * F.col("r")).alias("m"), F.max("q").alias("q"), F.max("r").alias("r"))
+        row = met.agg(F.sum("m").alias("matched"), F.sum("r").alias("reference"), F.sum("q").alias("query")).select(F.lit("locus").alias("level"), "matched", "reference", "query").where("matched is not null")
         rows = row if rows is None else rows.unionByName(row)
-    flat = lambda t: islands(t.select("tid", "chrom", "strand", F.explode("exons").alias("e")).select(F.col("tid").alias("id"), "chrom", "strand", F.col("e.start").alias("start"), F.col("e.end").alias("end")), 0, ["chrom", "strand"])
-    a = materialize(flat(query), "flat")
-    b = materialize(flat(reference), "flat")
-    size = lambda x: x.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("n"))
-    met = overlap_join(a, b.select("chrom", "strand", F.col("start").alias("start2"), F.col("end").alias("end2")), ["chrom", "strand"])
-    shared = met.agg(F.coalesce(F.sum(F.least("end", "end2") - F.greatest("start", "start2") + 1), F.lit(0)).alias("matched"))
-    base = shared.crossJoin(size(b).withColumnRenamed("n", "reference")).crossJoin(size(a).withColumnRenamed("n", "query")).select(F.lit("base").alias("level"), "matched", "reference", "query")
+    if "base" in levels:
+        flat = lambda t: materialize(islands(t.select("tid", "chrom", "strand", F.explode("exons").alias("e")).select(F.col("tid").alias("id"), "chrom", "strand", F.col("e.start").alias("start"), F.col("e.end").alias("end")), 0, ["chrom", "strand"]), "flat")
+        a, b = flat(query), flat(reference)
+        size = lambda x: x.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("n"))
+        met = overlap_join(a, b.select("chrom", "strand", F.col("start").alias("start2"), F.col("end").alias("end2")), ["chrom", "strand"])
+        shared = met.agg(F.coalesce(F.sum(F.least("end", "end2") - F.greatest("start", "start2") + 1), F.lit(0)).alias("matched"))
+        base = shared.crossJoin(size(b).withColumnRenamed("n", "reference")).crossJoin(size(a).withColumnRenamed("n", "query")).select(F.lit("base").alias("level"), "matched", "reference", "query")
+        rows = base if rows is None else rows.unionByName(base)
     rate = lambda of: F.least(F.lit(100.0), F.when(F.col(of) > 0, 100.0 * F.col("matched") / F.col(of)).otherwise(0.0))
-    return rows.unionByName(base).select("level", "matched", "reference", "query", rate("reference").alias("sensitivity"), rate("query").alias("precision"))
+    return rows.select("level", "matched", "reference", "query", rate("reference").alias("sensitivity"), rate("query").alias("precision"))

@@ -1,10 +1,11 @@
 """Filters and clusters of annotation, pairs, k-mer dictionaries, assembly."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.seq import codons_of
 from helixframe.operators import assembly, intervals as iv
 from helixframe.operators.graph import connected_components
+from helixframe.operators.order import running_sum
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import IV, intervals, table
 from helixframe.storage import materialize
@@ -47,13 +48,13 @@ def reduce_references(spark, d):
     return iv.overlap_join(a.where("strand = 'signup'"), q).select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("cds_validity", """WITH d AS (SELECT doc_id, regexp_replace(translate(text, 'acgtnoiesr', 'ACGTNACGTA'), '[^ACGTN]', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, list_transform(range(1, length(s) - 1, 3), lambda i: substr(s, i, 3)) AS codons FROM d WHERE length(s) BETWEEN 6 AND 600)
+@register("cds_validity", """WITH d AS (SELECT doc_id, regexp_replace(translate(text, 'acgtnoiesr', 'ACGTNACGTA'), '[^ACGTN]', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, list_transform(range(1, length(s) - 1, 3), lambda i: substr(s, i, 3)) AS codons FROM d WHERE length(s) >= 6)
 SELECT doc_id, codons[1] = 'ATG' AS start_codon, list_has_any(['TAA', 'TAG', 'TGA'], codons[-1:]) AS stop_codon, len(list_filter(codons[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) > 0 AS inner_stop FROM c""")
 def cds_validity(spark, d):
     """Whether reading frame 1 starts, stops and is free of stops within."""
     s = F.regexp_replace(F.translate("text", "acgtnoiesr", "ACGTNACGTA"), "[^ACGTN]", "")
-    c = table(spark, d, "documents").select("doc_id", s.alias("s")).where("length(s) between 6 and 600")
-    c = c.select("doc_id", F.transform(F.sequence(F.lit(1), F.length("s") - 2, F.lit(3)), lambda i: F.substring(F.col("s"), i, F.lit(3))).alias("c"))
+    c = table(spark, d, "documents").select("doc_id", s.alias("s")).where("length(s) >= 6")
+    c = c.select("doc_id", codons_of(F.col("s")).alias("c"))
     stop = lambda x: x.isin("TAA", "TAG", "TGA")
     return c.select("doc_id", (F.col("c")[0] == "ATG").alias("start_codon"), stop(F.element_at("c", -1)).alias("stop_codon"), F.exists(F.slice("c", 1, F.size("c") - 1), stop).alias("inner_stop"))
 
@@ -118,9 +119,8 @@ def protein_clusters(spark, d):
 @register("split_contigs", """WITH p AS (SELECT page_id, length(html) AS n FROM pages), o AS (SELECT page_id, n, sum(n + 100) OVER (PARTITION BY page_id % 5 ORDER BY page_id) - n - 100 AS before FROM p) SELECT page_id, page_id % 5 AS scaffold, CAST(before + 1 AS BIGINT) AS "start", CAST(before + n AS BIGINT) AS "end" FROM o""")
 def split_contigs(spark, d):
     """Contigs laid out along scaffolds, 100 positions apart: offsets from a running sum."""
-    w = Window.partitionBy("scaffold").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
     p = table(spark, d, "pages").select("page_id", (F.col("page_id") % 5).alias("scaffold"), F.length("html").cast("long").alias("n"))
-    p = p.withColumn("before", F.coalesce(F.sum(F.col("n") + 100).over(w), F.lit(0)))
+    p = running_sum(p.withColumn("step", F.col("n") + 100), ["scaffold"], ["page_id"], "step", "before")
     return p.select("page_id", "scaffold", (F.col("before") + 1).alias("start"), (F.col("before") + F.col("n")).alias("end"))
 
 

@@ -1,9 +1,11 @@
 """Interval operators over the event intervals."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixframe.operators import intervals as iv
 from helixframe.operators.graph import connected_components
+from helixframe.operators.order import in_blocks, number_rows
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import IV, intervals
 from helixframe.storage import materialize
@@ -128,11 +130,10 @@ def bundle_noise_filter(spark, d):
 
 @register("locus_clusters", f'WITH {IV}{BUNDLE.format(keys="chrom, strand", gap=0)} SELECT id, min(id) OVER (PARTITION BY chrom, strand, island) AS locus FROM n')
 def locus_clusters(spark, d):
-    """Loci: components of the overlap graph on one strand."""
-    a, b = _pairs(spark, d)
-    edges = iv.overlap_join(a, b).where("strand = strand2 and id < id2").select(F.col("id").alias("src"), F.col("id2").alias("dst"))
-    found = connected_components(materialize(edges, "edges"))
-    return a.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("locus"))
+    """Loci: components of the overlap graph on one strand, which are its islands."""
+    n = iv.number_islands(intervals(spark, d), 0, ["chrom", "strand"])
+    head = n.groupBy("chrom", "strand", "island").agg(F.min("id").alias("locus"))
+    return n.join(head, ["chrom", "strand", "island"]).select("id", "locus")
 
 
 @register("super_loci", f"""WITH {IV}, o AS (SELECT DISTINCT a.id AS a, b.id AS b FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.strand = 'view' AND b.strand = 'click' AND a."start" <= b."end" AND b."start" <= a."end"),
@@ -157,22 +158,21 @@ def equivalence_sets(spark, d):
     return s.where("samples > 1").select("chain", "samples", F.col("h.id").alias("head"), "n")
 
 
-@register("pair_distance_previous", f"""WITH {IV}, p AS (SELECT id, strand, "start", lag(id) OVER w AS id0, lag(strand) OVER w AS strand0, lag("end") OVER w AS end0 FROM iv WINDOW w AS (PARTITION BY chrom, "start" // 604800 ORDER BY "start", id))
+@register("pair_distance_previous", f"""WITH {IV}, p AS (SELECT id, strand, "start", lag(id) OVER w AS id0, lag(strand) OVER w AS strand0, lag("end") OVER w AS end0 FROM iv WINDOW w AS (PARTITION BY chrom ORDER BY "start", id))
 SELECT id, id0, "start" - end0 AS distance FROM p WHERE strand0 <> strand AND "start" - end0 BETWEEN 0 AND 7200""")
 def pair_distance_previous(spark, d):
     """Adjacent rows of different orientation within a distance window."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom", F.floor(F.col("start") / 604800)).orderBy("start", "id")
-    p = intervals(spark, d).select("id", "strand", "start", F.lag("id").over(w).alias("id0"), F.lag("strand").over(w).alias("strand0"), F.lag("end").over(w).alias("end0"))
-    return p.where("strand0 <> strand").select("id", "id0", (F.col("start") - F.col("end0")).alias("distance")).where("distance between 0 and 7200")
+    w = Window.partitionBy("chrom", "_block").orderBy("place")
+    rows = in_blocks(number_rows(intervals(spark, d).select("id", "chrom", "strand", "start", "end"), ["chrom"], ["start", "id"]), behind=1)
+    p = rows.select("id", "strand", "start", "_copy", F.lag("id").over(w).alias("id0"), F.lag("strand").over(w).alias("strand0"), F.lag("end").over(w).alias("end0"))
+    return p.where("not _copy and strand0 <> strand").select("id", "id0", (F.col("start") - F.col("end0")).alias("distance")).where("distance between 0 and 7200")
 
 
 @register("sliding_quality_window", f"""WITH {IV}, q AS (SELECT id, chrom, "start", CAST(round(value) AS BIGINT) AS q FROM iv)
 SELECT id, CAST(sum(q) OVER w AS BIGINT) AS total, count(*) OVER w AS n FROM q WINDOW w AS (PARTITION BY chrom ORDER BY "start", id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)""")
 def sliding_quality_window(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("start", "id").rowsBetween(0, 5)
-    q = intervals(spark, d).withColumn("q", F.round("value").cast("long"))
-    return q.select("id", F.sum("q").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n"))
+    """Sum and number of the qualities in the window of six that each row opens."""
+    w = Window.partitionBy("chrom", "_block").orderBy("place").rowsBetween(0, 5)
+    q = intervals(spark, d).select("id", "chrom", "start", F.round("value").cast("long").alias("q"))
+    rows = in_blocks(number_rows(q, ["chrom"], ["start", "id"]), ahead=5)
+    return rows.select("id", "_copy", F.sum("q").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n")).where("not _copy").drop("_copy")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.operators import relational as rel
+from helixframe.operators.order import number_rows
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import HITS, hits, table
 
@@ -224,15 +225,13 @@ def best_stratum(spark, d):
     return rel.best_stratum(hits(spark, d), ["q"], "overlap").select("q", "h", "s", "line", "overlap")
 
 
-@register("kway_merge_order", f"WITH {HITS}, p AS (SELECT * FROM hits WHERE strand = '+' UNION ALL SELECT * FROM hits WHERE strand = '-') SELECT q, h, s, line, row_number() OVER (PARTITION BY q % 97 ORDER BY overlap, score DESC, pid DESC, q, h, s, line) AS place FROM p")
+@register("kway_merge_order", f"WITH {HITS}, p AS (SELECT * FROM hits WHERE strand = '+' UNION ALL SELECT * FROM hits WHERE strand = '-') SELECT q, h, s, line, row_number() OVER (ORDER BY overlap, score DESC, pid DESC, q, h, s, line) AS place FROM p")
 def kway_merge_order(spark, d):
-    """Sorted hit files merged: E-value up, score down, identity down; places count within a file part."""
-    from pyspark.sql import Window
-
+    """Sorted hit files merged: E-value up, score down, identity down; with the place of each hit in the whole."""
     h = hits(spark, d)
     p = h.where("strand = '+'").unionByName(h.where("strand = '-'"))
-    w = Window.partitionBy(F.col("q") % 97).orderBy("overlap", F.desc("score"), F.desc("pid"), "q", "h", "s", "line")
-    return p.select("q", "h", "s", "line", F.row_number().over(w).cast("long").alias("place"))
+    order = [F.col("overlap"), F.desc("score"), F.desc("pid"), *map(F.col, ("q", "h", "s", "line"))]
+    return number_rows(p, [], order).select("q", "h", "s", "line", "place")
 
 
 @register("two_key_sort_dedupe", "SELECT l_orderkey AS i, l_linenumber AS j, max({'p': l_extendedprice, 'k': l_partkey}).k AS k FROM lineitem GROUP BY ALL")
@@ -335,7 +334,5 @@ def tree_walk(spark, d):
 
 @register("running_names", "SELECT doc_id, 'rd_' || printf('%08d', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS name FROM documents")
 def running_names(spark, d):
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.format_string("rd_%08d", k).alias("name"))
+    rows = number_rows(table(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    return rows.select("doc_id", F.format_string("rd_%08d", "place").alias("name"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import seq
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import table
+from helixframe.storage import materialize
 
 
 def _dna(spark, d):
@@ -24,8 +25,7 @@ def revcomp(spark, d):
 @register("kmers_top", f"WITH {DNA}, k AS (SELECT substr(s, i, 8) AS kmer FROM (SELECT s, unnest(range(1, length(s) - 6)) AS i FROM dna)), c AS (SELECT kmer, count(*) AS n FROM k WHERE kmer NOT LIKE '%N%' GROUP BY kmer) SELECT kmer, n FROM c ORDER BY n DESC, kmer LIMIT 50")
 def kmers_top(spark, d):
     """The 50 commonest 8-mers without N (a top-k report)."""
-    k = _dna(spark, d).select(F.explode(seq.kmers(F.col("s"), 8)).alias("kmer")).where("kmer not like '%N%'")
-    return k.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kmer").limit(50)
+    return seq.kmer_counts(_dna(spark, d), "s", 8).orderBy(F.desc("n"), "kmer").limit(50)
 
 
 @register("mono_runs", "SELECT doc_id, len(regexp_extract_all(text, '(e{2,}|n{2,}|o{2,})')) AS runs FROM documents WHERE regexp_matches(text, '(e{2,}|n{2,}|o{2,})')")
@@ -48,11 +48,11 @@ def split_by_ns(spark, d):
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.max(F.length("part")).cast("long").alias("longest"))
 
 
-@register("token_keys", "WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3 AND x NOT IN ('that', 'with', 'from')))) AS key FROM documents WHERE doc_id % 4 = 0 OR lang = 'en') SELECT key, count(*) AS n, min(doc_id) AS first FROM t GROUP BY key HAVING count(*) > 1")
+@register("token_keys", "WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 3 AND x NOT IN ('that', 'with', 'from')))) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM t GROUP BY key HAVING count(*) > 1")
 def token_keys(spark, d):
     """Records indexed by every token but stop words: keys with more than one record."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: (F.length(x) > 3) & ~x.isin("that", "with", "from")))
-    t = table(spark, d, "documents").where("doc_id % 4 = 0 or lang = 'en'").select("doc_id", F.explode(words).alias("key"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(words).alias("key"))
     return t.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
@@ -74,15 +74,24 @@ def _codon_values():
     return ", ".join(f"('{c}', '{a}')" for c, a in seq.codon_table().items() if set(c) <= set("ACGT"))
 
 
-@register("translate_protein", f"""WITH {DNA}, code(codon, acid) AS (VALUES {_codon_values()}), c AS (SELECT doc_id, i, substr(s, i, 3) AS codon FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1, 3)) AS i FROM dna WHERE length(s) BETWEEN 3 AND 4000 AND s NOT LIKE '%N%'))
+@register("translate_protein", f"""WITH {DNA}, code(codon, acid) AS (VALUES {_codon_values()}), c AS (SELECT doc_id, i, substr(s, i, 3) AS codon FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1, 3)) AS i FROM dna WHERE length(s) >= 3 AND s NOT LIKE '%N%'))
 SELECT doc_id, string_agg(coalesce(acid, 'X'), '' ORDER BY i) AS protein FROM c LEFT JOIN code USING (codon) GROUP BY doc_id""")
 def translate_protein(spark, d):
-    """Protein of each record without N of up to 4,000 bases (longer ones are genomes, not transcripts)."""
-    s = _dna(spark, d).where("length(s) between 3 and 4000 and s not like '%N%'")
+    """Protein of each record without N."""
+    s = _dna(spark, d).where("length(s) >= 3 and s not like '%N%'")
     return s.select("doc_id", seq.translate(F.col("s")).alias("protein"))
 
 
-@register("longest_orf")
+def _frame_sql(strand: str, frame: int) -> str:
+    return f"SELECT doc_id, list_max(list_transform(string_split(array_to_string(list_transform(range({1 + frame}, length({strand}) - 1, 3), lambda i: coalesce(code[substr({strand}, i, 3)], 'X')), ''), '.'), lambda p: CASE WHEN instr(p, 'M') > 0 THEN length(p) - instr(p, 'M') + 1 ELSE 0 END)) AS n FROM both_strands, codes"
+
+
+def _codon_map() -> str:
+    return "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in seq.codon_table().items() if set(c) <= set("ACGTN")) + "}"
+
+
+@register("longest_orf", f"""WITH {DNA}, codes AS (SELECT {_codon_map()} AS code), both_strands AS (SELECT doc_id, s, reverse(translate(s, 'ACGTN', 'TGCAN')) AS r FROM dna WHERE length(s) >= 3),
+f AS ({" UNION ALL ".join(_frame_sql(x, k) for x in "sr" for k in range(3))}) SELECT doc_id, CAST(max(coalesce(n, 0)) AS INTEGER) AS longest FROM f GROUP BY doc_id""")
 def longest_orf(spark, d):
     """The longest open reading frame of six."""
     s = _dna(spark, d).where("length(s) >= 3")
@@ -121,7 +130,11 @@ def query_fields(spark, d):
 dw AS (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS w FROM documents), dk AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM dw))
 SELECT doc_id, item_id, count(*) AS shared FROM dk JOIN k USING (k) GROUP BY ALL HAVING count(*) >= 5""")
 def shared_kmer_join(spark, d):
-    """Probes and records that share seeds: an equi-join on word 4-mers, counted per pair."""
+    """Probes and records that share seeds: an equi-join on word 4-mers, counted per pair.
+
+    The probes' seeds are written first, so that their size is known: small
+    ones filter the records' seeds before anything is shuffled.
+    """
 
     def kmers(df, key):
         w = df.select(key, F.split(F.lower("text"), r"\s+").alias("w"))
@@ -129,5 +142,5 @@ def shared_kmer_join(spark, d):
         k = F.transform(F.when(F.size("w") >= 4, at).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(4)), " "))
         return w.select(key, F.explode(F.array_distinct(k)).alias("k"))
 
-    probes, records = kmers(table(spark, d, "benchmark"), "item_id"), kmers(table(spark, d, "documents"), "doc_id")
+    probes, records = materialize(kmers(table(spark, d, "benchmark"), "item_id"), "seeds"), kmers(table(spark, d, "documents"), "doc_id")
     return records.join(probes, "k").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 5")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from helixframe.operators import hits as hit_ops
 from helixframe.operators import reads, stats
 from helixframe.operators import transcripts as tx
+from helixframe.operators.order import tiles
+from helixframe.operators.relational import top_n
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import IV, hits, intervals, table
 from helixframe.streaming.bundles import point_bundles
@@ -45,7 +47,13 @@ def redundancy_collapse(spark, d):
     return tx.collapse(_transcripts(spark, d))
 
 
-@register("exon_loci")
+#: Components of transcripts and islands of exons ("xn"), by passing the least name along.
+LOCI = """WITH RECURSIVE e AS (SELECT DISTINCT tid, chrom || strand || g AS g FROM xn), p AS (SELECT DISTINCT a.tid AS a, b.tid AS b FROM e a JOIN e b USING (g)),
+t(node, low) AS (SELECT tid, tid FROM e UNION SELECT p.b, t.low FROM t JOIN p ON p.a = t.node WHERE t.low <= p.b) SELECT node AS tid, min(low) AS locus FROM t GROUP BY node"""
+
+
+@register("exon_loci", f"""WITH {TX}, xr AS (SELECT *, max("end") OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM exons),
+xn AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM xr), l AS ({LOCI}) SELECT tid, locus FROM l""")
 def exon_loci(spark, d):
     return tx.loci(_transcripts(spark, d))
 
@@ -68,12 +76,41 @@ s AS (SELECT level, CAST(sum(q * r) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT
 SELECT *, least(100.0::DOUBLE, 100.0::DOUBLE * matched / reference) AS sensitivity, least(100.0::DOUBLE, 100.0::DOUBLE * matched / query) AS precision FROM s""")
 def sn_sp(spark, d):
     """Sensitivity and precision at exon, intron and chain level; the base level is in ``sn_sp_base``."""
-    return tx.sensitivity(*_halves(spark, d)).where("level <> 'base'")
+    return tx.sensitivity(*_halves(spark, d), levels=("exon", "intron", "chain"))
 
 
-@register("sn_sp_base")
+@register("sn_sp_base", f"""WITH {TX}, x AS (SELECT *, tid % 2 AS side FROM exons),
+xr AS (SELECT *, max("end") OVER (PARTITION BY side, chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
+xn AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY side, chrom, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM xr),
+f AS (SELECT side, chrom, strand, min("start") AS "start", max("end") AS "end" FROM xn GROUP BY side, chrom, strand, g),
+m AS (SELECT CAST(coalesce(sum(least(a."end", b."end") - greatest(a."start", b."start") + 1), 0) AS BIGINT) AS matched FROM f a JOIN f b ON a.side = 0 AND b.side = 1 AND a.chrom = b.chrom AND a.strand = b.strand AND a."start" <= b."end" AND b."start" <= a."end"),
+t AS (SELECT CAST(sum(CASE WHEN side = 1 THEN "end" - "start" + 1 ELSE 0 END) AS BIGINT) AS reference, CAST(sum(CASE WHEN side = 0 THEN "end" - "start" + 1 ELSE 0 END) AS BIGINT) AS query FROM f)
+SELECT 'base' AS level, matched, reference, query, least(100.0::DOUBLE, 100.0::DOUBLE * matched / reference) AS sensitivity, least(100.0::DOUBLE, 100.0::DOUBLE * matched / query) AS precision FROM m, t""")
 def sn_sp_base(spark, d):
-    return tx.sensitivity(*_halves(spark, d)).where("level = 'base'")
+    return tx.sensitivity(*_halves(spark, d), levels=("base",))
+
+
+@register("sn_sp_transcript", f"""WITH {TX}, c AS (SELECT tid, chrom, strand, string_agg("start" || '-' || "end", ',' ORDER BY "start") AS x FROM exons GROUP BY ALL),
+b AS (SELECT chrom, strand, x, max(CASE WHEN tid % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid % 2 = 1 THEN 1 ELSE 0 END) AS r FROM c GROUP BY ALL),
+s AS (SELECT 'transcript' AS level, CAST(sum(q * r) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT) AS reference, CAST(sum(q) AS BIGINT) AS query FROM b)
+SELECT *, least(100.0::DOUBLE, 100.0::DOUBLE * matched / reference) AS sensitivity, least(100.0::DOUBLE, 100.0::DOUBLE * matched / query) AS precision FROM s""")
+def sn_sp_transcript(spark, d):
+    """Transcripts that are equal exon by exon."""
+    return tx.sensitivity(*_halves(spark, d), levels=("transcript",))
+
+
+@register("sn_sp_locus", f"""WITH {TX}, xr AS (SELECT *, max("end") OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM exons),
+xn AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM xr),
+l AS ({LOCI}),
+i AS (SELECT tid, "start", "end", lead("start") OVER (PARTITION BY tid ORDER BY "start") AS nxt FROM exons),
+c AS (SELECT tid, CASE WHEN count(*) > 1 THEN string_agg(CASE WHEN nxt IS NOT NULL THEN ("end" + 1) || '-' || (nxt - 1) END, ',' ORDER BY "start") ELSE min("start") || ':' || min("end") END AS x FROM i GROUP BY tid),
+b AS (SELECT locus, x, max(CASE WHEN tid % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid % 2 = 1 THEN 1 ELSE 0 END) AS r FROM c JOIN l USING (tid) GROUP BY ALL),
+p AS (SELECT locus, max(q * r) AS m, max(q) AS q, max(r) AS r FROM b GROUP BY locus),
+s AS (SELECT 'locus' AS level, CAST(sum(m) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT) AS reference, CAST(sum(q) AS BIGINT) AS query FROM p)
+SELECT *, least(100.0::DOUBLE, 100.0::DOUBLE * matched / reference) AS sensitivity, least(100.0::DOUBLE, 100.0::DOUBLE * matched / query) AS precision FROM s""")
+def sn_sp_locus(spark, d):
+    """Loci in which the two sets have a chain in common."""
+    return tx.sensitivity(*_halves(spark, d), levels=("locus",))
 
 
 @register("containment_parents", """WITH h AS (SELECT l_partkey AS kid, l_suppkey + 1000000 AS parent, CAST(sum(l_quantity) AS BIGINT) AS weight FROM lineitem GROUP BY ALL)
@@ -93,17 +130,23 @@ def hit_coverage(spark, d):
 @register("top_hits", "SELECT l_orderkey AS q, list_sort(list(l_partkey), 'DESC')[1:5] AS best FROM lineitem GROUP BY l_orderkey")
 def top_hits(spark, d):
     h = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("h"))
-    return h.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("h"), asc=False), 1, 5).alias("best"))
+    # five rows of each query are left before any list is made
+    return top_n(h, ["q"], [F.desc("h")], 5).groupBy("q").agg(F.sort_array(F.collect_list("h"), asc=False).alias("best"))
 
 
 @register("transitive_clusters", f"""WITH {IV}, e AS (SELECT id, chrom, strand, "start" // 7200 AS k FROM iv), l AS (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN e b ON a.chrom = b.chrom AND a.strand = b.strand AND b.k = a.k + 1),
 s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (WITH RECURSIVE t(node, low) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, t.low FROM t JOIN s ON s.a = t.node) SELECT node, min(low) AS cluster FROM t GROUP BY node)
 SELECT node AS id, cluster FROM r""")
 def transitive_clusters(spark, d):
-    """Transitive closure of hits between neighbouring windows."""
+    """Transitive closure of hits between all rows of neighbouring windows.
+
+    Every row of a window meets every row of the next, so a hit from each to
+    one row of the other closes to the same clusters.
+    """
     e = intervals(spark, d).select("id", "chrom", "strand", F.floor(F.col("start") / 7200).alias("k"))
-    f = e.select(F.col("id").alias("b"), "chrom", "strand", (F.col("k") - 1).alias("k"))
-    return hit_ops.transitive(e.join(f, ["chrom", "strand", "k"]).select(F.col("id").alias("q"), F.col("b").alias("h"))).select("id", "cluster")
+    head = e.groupBy("chrom", "strand", "k").agg(F.min("id").alias("h"))
+    beside = head.select("h", "chrom", "strand", F.explode(F.array(F.col("k") - 1, F.col("k") + 1)).alias("k"))
+    return hit_ops.transitive(e.join(beside, ["chrom", "strand", "k"]).select(F.col("id").alias("q"), "h")).select("id", "cluster")
 
 
 @register("fold_change_fisher")
@@ -142,6 +185,4 @@ def point_bundles_query(spark, d):
 @register("length_sorted_split", "SELECT doc_id, CAST(ntile(8) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS part FROM documents")
 def length_sorted_split(spark, d):
     """Records of a set in parts of equal count by length."""
-    from pyspark.sql import Window
-
-    return table(spark, d, "documents").select("doc_id", F.ntile(8).over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("part"))
+    return tiles(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 8).select("doc_id", "part")
