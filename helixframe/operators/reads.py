@@ -244,20 +244,19 @@ def trim_reads(df: DataFrame, least_quality: float = 20, base: int = 33, least_l
 
 
 def collapse_reads(df: DataFrame) -> DataFrame:
-    """One row per sequence: ``id`` of the first read with ``_x<N>``, and qualities averaged in id order, (q + d) / 2 rounded down each time."""
-    g = df.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("id", "qual"))).alias("r"))
+    """One row per sequence: ``n``, ``id`` of the first read with ``_x<N>``, and the mean quality at each place, rounded down.
 
-    @F.pandas_udf("string")
-    def merged(r: pd.Series) -> pd.Series:
-        def one(rows):
-            out = [ord(c) for c in rows[0]["qual"] or ""]
-            for x in rows[1:]:
-                out = [(a + ord(b)) // 2 for a, b in zip(out, x["qual"] or "", strict=False)]
-            return "".join(map(chr, out))
-
-        return r.map(one)
-
-    return g.select("seq", F.size("r").alias("n"), F.concat(F.col("r")[0]["id"], F.lit("_x"), F.size("r")).alias("id"), merged("r").alias("qual"))
+    Sums per sequence and place are added up before the shuffle, so a sequence
+    with a third of all reads is no task of its own.
+    """
+    key = F.md5(F.col("seq").cast("binary"))
+    rows = df.where("seq is not null").select(key.alias("k"), "seq", "id", "qual")
+    one = rows.groupBy("k").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    codes = F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    places = rows.select("k", F.posexplode(codes).alias("i", "q")).groupBy("k", "i").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("m"))
+    mean = places.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", F.floor(F.col("q") / F.col("m")).alias("c")))).alias("c"))
+    qual = F.array_join(F.transform("c", lambda x: F.char(x["c"])), "")
+    return one.join(mean, "k", "left").select("seq", "n", F.concat("id", F.lit("_x"), "n").alias("id"), F.coalesce(qual, F.lit("")).alias("qual"))
 
 
 def pileup(df: DataFrame) -> DataFrame:

@@ -111,14 +111,6 @@ def range_filter_contained(spark, d):
     return iv.range_filter(intervals(spark, d), *RANGE, contained=True, strand="click").select("id", "chrom", "start", "end")
 
 
-@register("junction_support", f"""WITH {IV}, j AS (SELECT chrom, strand, "start" // 3600 AS donor, "end" // 3600 AS acceptor, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN "end" - "start" >= 600 THEN 1 ELSE 0 END) AS BIGINT) AS good FROM iv GROUP BY ALL)
-SELECT * FROM j WHERE good >= 1""")
-def junction_support(spark, d):
-    """Reads per junction; junctions without a read that is anchored well on both sides go."""
-    j = intervals(spark, d).groupBy("chrom", "strand", F.floor(F.col("start") / 3600).alias("donor"), F.floor(F.col("end") / 3600).alias("acceptor"))
-    return j.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("end") - F.col("start") >= 600, 1).otherwise(0)).cast("long").alias("good")).where("good >= 1")
-
-
 @register("bundle_noise_filter", f"""WITH {IV}{BUNDLE.format(keys="chrom", gap=3600)}, b AS (SELECT chrom, island, min("start") AS "start", max("end") AS "end", count(*) AS n, CAST(sum("end" - "start" + 1) AS BIGINT) AS bases FROM n GROUP BY chrom, island)
 SELECT *, CAST(bases AS DOUBLE) / ("end" - "start" + 1) AS cov FROM b WHERE "end" - "start" + 1 >= 200 AND CAST(bases AS DOUBLE) / ("end" - "start" + 1) >= 1.05""")
 def bundle_noise_filter(spark, d):

@@ -296,13 +296,6 @@ def idxstats(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("ref")).agg(F.sum(F.when(~view, 1).otherwise(0)).alias("mapped"), F.sum(F.when(view, 1).otherwise(0)).alias("unmapped"))
 
 
-@register("mate_pairs", "SELECT a.conv_id AS name, a.turn AS t1, b.turn AS t2, length(a.text) + length(b.text) AS size FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn AND a.role <> b.role")
-def mate_pairs(spark, d):
-    a = table(spark, d, "conversations").select(F.col("conv_id").alias("name"), F.col("turn").alias("t1"), "role", F.length("text").cast("long").alias("n"))
-    b = a.select("name", (F.col("t1") - 1).alias("t1"), F.col("t1").alias("t2"), F.col("role").alias("role2"), F.col("n").alias("n2"))
-    return a.join(b, ["name", "t1"]).where("role <> role2").select("name", "t1", "t2", (F.col("n") + F.col("n2")).alias("size"))
-
-
 @register("fpkm", "WITH g AS (SELECT l_partkey AS tx, CAST(count(*) AS DOUBLE) AS cov, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS frag FROM lineitem GROUP BY 1) SELECT tx, cov * 1e9 / CAST((SELECT sum(frag) FROM g) AS DOUBLE) AS fpkm FROM g")
 def fpkm(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("tx")).agg(F.count(F.lit(1)).cast("double").alias("cov"), F.sum(F.col("l_quantity").cast("long")).alias("frag"))

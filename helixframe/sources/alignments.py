@@ -15,7 +15,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     t = F.split("value", "\t")
     rows = lines.where(~F.col("value").rlike("^@[A-Z]{2}(\t|$)")).select(t.alias("t")).where("size(t) >= 11")
     tags = F.map_from_entries(F.transform(F.filter(F.slice("t", 12, 1000), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, "^.....(.*)$", 1))))
-    return rows.select(*[F.col("t")[i].cast(k).alias(n) for i, (n, k) in enumerate(SAM)], tags.alias("tags"))
+    return rows.select(*[F.get("t", F.lit(i)).try_cast(k).alias(n) for i, (n, k) in enumerate(SAM)], tags.alias("tags"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
