@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
+@F.pandas_udf(T.DoubleType())
+def log_factorial(n: pd.Series) -> pd.Series:
+    """Natural logarithm of n!; each value is computed once a batch."""
+    values, place = np.unique(n.to_numpy(), return_inverse=True)
+    return pd.Series(np.array([math.lgamma(v + 1) for v in values])[place])
+
+
 def fisher(a: int, b: int, c: int, d: int, two_sided: bool = True) -> float:
     """Probability of the table [a b; c d] or a more extreme one with the same margins."""
     row, col, n = a + b, a + c, a + b + c + d

@@ -140,16 +140,6 @@ def super_loci(spark, d):
     return connected_components(materialize(edges, "edges")).select(F.col("node").alias("id"), F.col("component").alias("locus"))
 
 
-@register("equivalence_sets", f"""WITH {IV}, k AS (SELECT *, concat_ws(':', chrom, "start" // 86400, strand) AS chain, id % 3 AS sample FROM iv),
-s AS (SELECT chain, count(DISTINCT sample) AS samples, min(sample * 1000000000 + id) AS head, count(*) AS n FROM k GROUP BY chain)
-SELECT chain, CAST(samples AS BIGINT) AS samples, CAST(head % 1000000000 AS BIGINT) AS head, n FROM s WHERE samples > 1""")
-def equivalence_sets(spark, d):
-    """Equal chains across samples; the head is from the lowest sample."""
-    k = intervals(spark, d).select("id", F.concat_ws(":", "chrom", F.floor(F.col("start") / 86400), "strand").alias("chain"), (F.col("id") % 3).alias("sample"))
-    s = k.groupBy("chain").agg(F.count_distinct("sample").alias("samples"), F.min(F.struct("sample", "id")).alias("h"), F.count(F.lit(1)).alias("n"))
-    return s.where("samples > 1").select("chain", "samples", F.col("h.id").alias("head"), "n")
-
-
 @register("pair_distance_previous", f"""WITH {IV}, p AS (SELECT id, strand, "start", lag(id) OVER w AS id0, lag(strand) OVER w AS strand0, lag("end") OVER w AS end0 FROM iv WINDOW w AS (PARTITION BY chrom ORDER BY "start", id))
 SELECT id, id0, "start" - end0 AS distance FROM p WHERE strand0 <> strand AND "start" - end0 BETWEEN 0 AND 7200""")
 def pair_distance_previous(spark, d):

@@ -69,3 +69,10 @@ def to_bed12(t: DataFrame) -> DataFrame:
     each = lambda f: F.concat(F.array_join(F.transform("exons", f), ","), F.lit(","))
     low = (F.col("start") - 1).cast("string")
     return t.select(F.concat_ws("\t", "chrom", low, F.col("end").cast("string"), "tid", F.lit("0"), "strand", low, low, F.lit("0"), F.size("exons").cast("string"), each(lambda e: (e["end"] - e["start"] + 1).cast("string")), each(lambda e: (e["start"] - F.col("start")).cast("string"))).alias("value"))
+
+
+def to_iit(t: DataFrame) -> DataFrame:
+    """Transcripts as lines of an interval index: name, range in the direction of the strand, number of exons."""
+    low, high = F.col("start").cast("string"), F.col("end").cast("string")
+    place = F.when(F.col("strand") == "-", F.concat(high, F.lit(".."), low)).otherwise(F.concat(low, F.lit(".."), high))
+    return t.select(F.concat(F.lit(">"), "tid", F.lit(" "), "chrom", F.lit(":"), place, F.lit(" "), F.size("exons"), F.lit(" exons")).alias("value"))
