@@ -201,3 +201,46 @@ def cigar_blocks(pos: Column, cigar: Column) -> Column:
         lambda a: closed(a),
     )
     return walked
+
+
+def x31(s: Column) -> Column:
+    """The hash h = 31 h + c over the code points, modulo 2^32."""
+    return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % F.lit(1 << 32))
+
+
+def pack_bases(s: Column) -> Column:
+    """Four bases a byte, two bits each (A 0, C 1, G 2, T 3; others count as A), zero bits at the end; as binary."""
+    digits = F.translate(F.regexp_replace(F.upper(s), "[^ACGT]", "A"), "ACGT", "0123")
+    fours = F.regexp_extract_all(digits, F.lit("(.{1,4})"), 1)
+    return F.unhex(F.array_join(F.transform(fours, lambda x: F.lpad(F.conv(F.rpad(x, 4, "0"), 4, 16), 2, "0")), ""))
+
+
+def end_difference(a: Column, b: Column) -> Column:
+    """How much of the longer string is left between the ends that both have in common."""
+    least = F.least(F.length(a), F.length(b))
+
+    def same(x: Column, y: Column) -> Column:
+        pairs = F.zip_with(F.filter(F.split(x, ""), lambda c: c != ""), F.filter(F.split(y, ""), lambda c: c != ""), lambda p, q: p.eqNullSafe(q))
+        return F.when(F.array_position(pairs, False) > 0, F.array_position(pairs, False) - 1).otherwise(F.size(pairs))
+
+    head = same(a, b)
+    tail = F.least(same(F.reverse(a), F.reverse(b)), least - F.least(head, least))
+    return F.greatest(F.length(a), F.length(b)) - F.least(head, least) - tail
+
+
+def region(text: Column) -> Column:
+    """``chrom:start-end`` (thousands separators allowed, end or both may be missing) as a struct."""
+    plain = F.replace(text, F.lit(","), F.lit(""))
+    part = lambda i: F.regexp_extract(plain, r"^(.*?)(?::(\d+)(?:-(\d+))?)?$", i)
+    return F.struct(part(1).alias("chrom"), part(2).try_cast("long").alias("start"), part(3).try_cast("long").alias("end"))
+
+
+def mask_repeats(s: Column, mono: int = 6, unit: int = 2, times: int = 4) -> Column:
+    """Runs of at least ``mono`` equal letters, and of a unit of ``unit`` or more repeated over ``times`` times, as N."""
+    pattern = re.compile(rf"(?i)([a-z])\1{{{mono - 1},}}|([a-z]{{{unit},12}}?)\2{{{times},}}")
+
+    @F.pandas_udf("string")
+    def masked(own: pd.Series) -> pd.Series:
+        return own.map(lambda x: None if x is None else pattern.sub(lambda m: "N" * len(m[0]), x))
+
+    return masked(s)

@@ -168,11 +168,6 @@ def flag_filter(spark, d):
     return sam_filter(f, 20, 3, 1796)
 
 
-@register("hit_filter", f"WITH {HITS} SELECT q, h, line, score FROM hits WHERE pid >= 95 AND overlap >= 30 AND score >= 40000 AND strand = '+'")
-def hit_filter(spark, d):
-    return hits(spark, d).where("pid >= 95 and overlap >= 30 and score >= 40000 and strand = '+'").select("q", "h", "line", "score")
-
-
 @register("name_class_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_type, '^(STANDARD|SMALL)') AND NOT regexp_matches(p_name, '^(lace|a)')")
 def name_class_filter(spark, d):
     return table(spark, d, "part").where(F.col("p_type").rlike("^(STANDARD|SMALL)") & ~F.col("p_name").rlike("^(lace|a)")).select("p_partkey", "p_name")

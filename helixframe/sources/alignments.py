@@ -22,11 +22,15 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return parse_sam(spark.read.text(path))
 
 
-def read_bed(spark: SparkSession, path: str) -> DataFrame:
+def parse_bed(lines: DataFrame) -> DataFrame:
     """``chrom, start, end, name, score, strand`` with closed coordinates from 1."""
     t = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser)")).select(t.alias("t")).where("size(t) >= 3")
-    return rows.select(F.col("t")[0].alias("chrom"), (F.col("t")[1].cast("long") + 1).alias("start"), F.col("t")[2].cast("long").alias("end"), F.get("t", F.lit(3)).alias("name"), F.get("t", F.lit(4)).try_cast("double").alias("score"), F.get("t", F.lit(5)).alias("strand"))
+    rows = lines.where(~F.col("value").rlike("^(#|track|browser)")).select(t.alias("t")).where("size(t) >= 3")
+    return rows.select(F.get("t", F.lit(0)).alias("chrom"), (F.get("t", F.lit(1)).try_cast("long") + 1).alias("start"), F.get("t", F.lit(2)).try_cast("long").alias("end"), F.get("t", F.lit(3)).alias("name"), F.get("t", F.lit(4)).try_cast("double").alias("score"), F.get("t", F.lit(5)).alias("strand"))
+
+
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    return parse_bed(spark.read.text(path))
 
 
 def parse_wiggle(lines: DataFrame) -> DataFrame:
@@ -52,17 +56,25 @@ def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
 HITS = (("q_name", "string"), ("q_len", "long"), ("q5", "long"), ("q3", "long"), ("h_name", "string"), ("h_len", "long"), ("h5", "long"), ("h3", "long"), ("pid", "double"), ("score", "double"), ("score2", "double"), ("strand", "string"))
 
 
-def read_hits(spark: SparkSession, path: str) -> DataFrame:
+def parse_hits(lines: DataFrame) -> DataFrame:
     """Similarity hits of twelve columns, with gap lists as arrays of (pos, len) where they follow."""
     t = F.split("value", "\t")
-    rows = spark.read.text(path).select(t.alias("t")).where("size(t) >= 12")
+    rows = lines.select(t.alias("t")).where("size(t) >= 12")
     gaps = lambda i: F.transform(F.filter(F.split(F.coalesce(F.get("t", F.lit(i)), F.lit("")), ","), lambda x: x != ""), lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("long").alias("pos"), F.coalesce(F.nullif(F.regexp_extract(x, r"\+(\d+)$", 1), F.lit("")), F.lit("1")).cast("long").alias("len")))
-    return rows.select(*[F.col("t")[i].cast(k).alias(n) for i, (n, k) in enumerate(HITS)], gaps(12).alias("q_gaps"), gaps(13).alias("h_gaps"))
+    return rows.select(*[F.get("t", F.lit(i)).try_cast(k).alias(n) for i, (n, k) in enumerate(HITS)], gaps(12).alias("q_gaps"), gaps(13).alias("h_gaps"))
+
+
+def read_hits(spark: SparkSession, path: str) -> DataFrame:
+    return parse_hits(spark.read.text(path))
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """``contig, name, orient, len, start, clip_l, clip_r`` of layout files: contigs start with ``>``."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.split(F.regexp_replace("value", "^>", ""), "\n").alias("l"))
+    return parse_layout(spark.read.option("lineSep", "\n>").text(path))
+
+
+def parse_layout(contigs: DataFrame) -> DataFrame:
+    """``contig, name, orient, len, start, clip_l, clip_r`` of layouts, a contig's text in each row."""
+    raw = contigs.select(F.split(F.regexp_replace("value", "^>", ""), "\n").alias("l"))
     rows = raw.select(F.regexp_extract(F.col("l")[0], r"^(\S+)", 1).alias("contig"), F.explode(F.slice("l", 2, 1 << 30)).alias("r")).where("trim(r) <> ''")
     f = F.split(F.trim("r"), r"\s+")
     return rows.select("contig", f[0].alias("name"), f[1].alias("orient"), f[2].cast("long").alias("len"), f[3].cast("long").alias("start"), F.get(f, F.lit(4)).cast("long").alias("clip_l"), F.get(f, F.lit(5)).cast("long").alias("clip_r"))

@@ -79,8 +79,12 @@ def build_objects(agp: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def read_obo(spark: SparkSession, path: str) -> DataFrame:
-    """``id, name, namespace, parents, obsolete`` of ontology terms."""
-    raw = spark.read.option("lineSep", "\n[").text(path).where(F.col("value").rlike(r"^\[?Term\]"))
+    return parse_obo(spark.read.option("lineSep", "\n[").text(path))
+
+
+def parse_obo(stanzas: DataFrame) -> DataFrame:
+    """``id, name, namespace, parents, obsolete`` of ontology terms, a stanza's text in each row."""
+    raw = stanzas.where(F.col("value").rlike(r"^\[?Term\]"))
     field = lambda k: F.nullif(F.regexp_extract("value", rf"(?m)^{k}: *([^\n!]*?) *(?:!.*)?$", 1), F.lit(""))
     return raw.select(field("id").alias("id"), field("name").alias("name"), field("namespace").alias("namespace"), F.regexp_extract_all("value", F.lit(r"(?m)^is_a: *(\S+)"), 1).alias("parents"), F.coalesce(field("is_obsolete") == "true", F.lit(False)).alias("obsolete"))
 
