@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,6 @@ SAMPLE, LANDMARKS = 800, 32
 RIDGE = 1e-2
 #: Texts whose presence vectors are multiplied at once.
 BATCH = 64
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -50,7 +48,7 @@ class Classifier:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        asked = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        asked = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
         for lo in range(0, len(asked), BATCH):
             part = asked[lo : lo + BATCH]
             p = np.zeros((len(part), BUCKETS), np.float32)
@@ -115,7 +113,7 @@ def identify_languages(docs: DataFrame, sample: int = SAMPLE, landmarks: int = L
 
     Learns from text and lang of rows that are not held out; a prediction sees
     the text alone. ``und`` with score 0 where the text is null, empty or has
-    no letter, or nothing could be learnt. Score is the softmax of the
+    no letter (Unicode category L), or nothing could be learnt. Score is the softmax of the
     regression values. Repeated rows are predicted row by row; null doc_ids are
     not held out. Other columns are ignored.
     """

@@ -57,14 +57,36 @@ def texts_to_webp(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _read(files: list[bytes | None]) -> tuple[list[np.ndarray | None], list[str | None]]:
+    """Pixels of each file, and errors; together if all are sound, else one by one."""
+    try:
+        read = decode_many([f for f in files if f is not None])
+        return [None if f is None else next(read) for f in files], [None] * len(files)
+    except (ValueError, IndexError):
+        found: list[np.ndarray | None] = []
+        errors: list[str | None] = []
+        for f in files:
+            try:
+                found.append(None if f is None else next(decode_many([f])))
+                errors.append(None)
+            except (ValueError, IndexError) as wrong:
+                found.append(None)
+                errors.append(str(wrong) or "broken stream")
+        return found, errors
+
+
 def read_webp(media: DataFrame, column: str = "media") -> DataFrame:
-    """All other columns, and ``width, height, pixels`` of each file in ``column``: row by row, four bytes A, R, G, B a pixel.
+    """All other columns, and ``width, height, pixels, error`` of each file in ``column``: row by row, four bytes A, R, G, B a pixel.
 
-    Null files give null pixels; files that are no lossless WebP raise.
+    Null files give nulls. Files that are no lossless WebP or broken give null
+    pixels and what is wrong with them as ``error``. Columns of ``media`` with
+    one of the four names give way to the new ones; other columns and repeated
+    rows are kept.
     """
-    rest = [c for c in media.columns if c not in (column, "width", "height", "pixels")]
+    made = ("width", "height", "pixels", "error")
+    rest = [c for c in media.columns if c != column and c.lower() not in made]
     source = media.select(*rest, F.col(column).cast("binary").alias("media"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + (", " if rest else "") + "width int, height int, pixels binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + (", " if rest else "") + "width int, height int, pixels binary, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,12 +94,14 @@ def read_webp(media: DataFrame, column: str = "media") -> DataFrame:
             for lo, hi in _chunks([2 * (n or 0) for n in pc.binary_length(files).to_pylist()]):
                 part = b.slice(lo, hi - lo)
                 own = part.column(b.num_columns - 1).to_pylist()
-                read = decode_many([f for f in own if f is not None])
-                found = [None if f is None else next(read) for f in own]
+                found, errors = _read(own)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([None if p is None else p.shape[1] for p in found], pa.int32()), pa.array([None if p is None else p.shape[0] for p in found], pa.int32()), pa.array([None if p is None else p.tobytes() for p in found], pa.binary())],
-                    [*rest, "width", "height", "pixels"],
-                )
+                    [
+                        *part.columns[:-1], pa.array([None if p is None else p.shape[1] for p in found], pa.int32()), pa.array([None if p is None else p.shape[0] for p in found], pa.int32()),
+                        pa.array([None if p is None else p.tobytes() for p in found], pa.binary()), pa.array(errors, pa.string()),
+                    ],
+                    [*rest, *made],
+                )
 
     return source.mapInArrow(run, schema)
 

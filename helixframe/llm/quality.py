@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = ("log_chars", "word_length", "upper", "symbol", "digit", "space", "symbol_pairs", "repeated_next", "distinct", "commonest", "repeated_lines", "line_words", "bare_symbols", "short_words", "ends_alike", "capital_words")
 #: Labelled documents that the ranking learns from (by hash of doc_id), and pairs drawn from them.
@@ -124,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = own.count()
     share = 1 << 20 if n <= sample else int((1 << 20) * sample / n)
-    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).limit(sample)
+    place = F.xxhash64("doc_id")
+    own = own.where(F.pmod(place, F.lit(1 << 20)) < share).orderBy(place, "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,12 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     return fit(np.array([r.x for r in rows]), np.array([r.quality == 1 for r in rows]))
 
 
-def _scored(ranking: Ranking):
+def _scored(ranking: Ranking, text: str = "text", score: str = "_score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
+            at = b.schema.get_field_index(text)
             x = np.array([features(t.as_py()) for t in b.column(at)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranking.score(x))], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranking.score(x))], [*b.schema.names, score])
 
     return run
 
@@ -166,5 +168,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows and columns of ``docs`` that ``score_quality`` predicts as good."""
     ranking = train(docs, labels, sample)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.mapInArrow(_scored(ranking), schema).where(F.col("_score") >= CUT).drop("_score")
+    names = {c.lower(): c for c in docs.columns}
+    score = "_score"
+    while score in names:
+        score += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(_scored(ranking, names["text"], score), schema).where(F.col(score) >= CUT).drop(score)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from helixframe.storage import materialize
 
-#: Entries of a worker's table of pre-tokens before it is handed on.
-FLUSH = 300_000
+#: Entries of a worker's table of pre-tokens, and characters of the texts in it, before it is handed on.
+FLUSH, FLUSH_CHARS = 300_000, 1 << 26
+#: Rows, and characters of pre-tokens, that are handed on at once.
+ROWS, ROW_CHARS = 100_000, 1 << 24
 #: Frequencies from here on count as one when the frequent pre-tokens are chosen.
 TOP_FREQUENCY = 1 << 16
 
@@ -77,12 +79,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, frequent: int =
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "freq"])
 
         seen: Counter[str] = Counter()
+        chars = 0
         for b in batches:
             for text in b.column(1):
-                seen.update(pretokens(text.as_py() or ""))
-                if len(seen) >= FLUSH:
+                text = text.as_py() or ""
+                seen.update(pretokens(text))
+                chars += len(text)
+                if len(seen) >= FLUSH or chars >= FLUSH_CHARS:
                     yield out(seen)
-                    seen = Counter()
+                    seen, chars = Counter(), 0
         if seen:
             yield out(seen)
 
@@ -114,8 +119,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, frequent: int =
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
+            chars = 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text, total, rare = text.as_py() or "", 0, []
+                chars += len(text)
                 for w, f in Counter(pretokens(text)).items():
                     n = get(w)
                     if n is None:
@@ -132,7 +139,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, frequent: int =
                 rows[4] += [w for w, _ in rare]
                 rows[5] += [f for _, f in rare]
                 key += 1
-                if len(rows[0]) >= 100_000:
+                if len(rows[0]) >= ROWS or chars >= ROW_CHARS:
+                    chars = 0
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
                     rows = [[], [], [], [], [], []]
             if rows[0]:

@@ -300,9 +300,19 @@ class Image:
     """What the head of a stream says, and where its pixels' bits start."""
 
     def __init__(self, data: bytes):
-        if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-            raise ValueError("no lossless WebP file")
-        self.stream = data[20 : 20 + int.from_bytes(data[16:20], "little")]
+        if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+            raise ValueError("no WebP file")
+        # the image may stand among other chunks of an extended file
+        at = 12
+        while data[at : at + 4] != b"VP8L":
+            if at + 8 > len(data):
+                raise ValueError("no lossless image in the file")
+            n = int.from_bytes(data[at + 4 : at + 8], "little")
+            at += 8 + n + (n & 1)
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        self.stream = data[at + 8 : at + 8 + size]
+        if len(self.stream) < size:
+            raise ValueError("the file is cut off")
         r = self.reader = BitReader(self.stream)
         if r.get(8) != 0x2F:
             raise ValueError("no lossless stream")
@@ -382,6 +392,8 @@ def read_pixels(r: BitReader, width: int, height: int, codes: Codes | None = Non
         return hit >> 4
 
     while len(out) < total:
+        if r.at > 8 * len(r.data):
+            raise ValueError("the stream ends too early")
         group = tables[0]
         if codes.tiles is not None:
             y, x = divmod(len(out), width)
@@ -398,6 +410,8 @@ def read_pixels(r: BitReader, width: int, height: int, codes: Codes | None = Non
             else:
                 dx, dy = plane_offsets()[distance - 1]
                 distance = max(1, dx + dy * width)
+            if distance > len(out):
+                raise ValueError("a back-reference reaches before the first pixel")
             for _ in range(min(length, total - len(out))):
                 out.append(out[-distance])
         else:
@@ -450,6 +464,9 @@ def _side_by_side(images: list[Image]) -> list[np.ndarray]:
         out[write[:n]] = hits
         write[:n] += 1
     out >>= np.uint16(4)
+    ends = base[:-1][order] * 8 + np.array([8 * len(i.stream) for i in images])[order]
+    if (at > ends).any():
+        raise ValueError("a stream ends too early")
     done: list[np.ndarray] = [None] * len(images)
     for j, k in enumerate(order):
         i, own = images[k], out[first[j] : first[j + 1]]

@@ -1,10 +1,12 @@
 """Quality ranking and language identification: held-out results, and odd inputs."""
 
+import math
+import random
 import zlib
 
 import numpy as np
 from helixframe.llm.langid import Classifier, fit as fit_lang, grams, identify_languages, presence
-from helixframe.llm.quality import FEATURES, features, fit, keep_good, score_quality
+from helixframe.llm.quality import FEATURES, features, fit, keep_good, score_quality, train as train_quality
 
 SF = "/root/testdata/sf0.1"
 
@@ -58,6 +60,82 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in identify_languages(docs.withColumn("lang", docs.lang.substr(9, 1)).na.replace("", None)).collect()} == {"und"}
 
 
+def test_kernel_by_definition():
+    """Scores equal those of presence kernels over explicit n-gram sets, Nystroem and ridge, computed step by step."""
+    rnd = random.Random(1)
+    words = {"en": ["the", "cat", "and", "dog", "sat"], "fr": ["le", "chat", "est", "noir", "dans"], "de": ["der", "hund", "ist", "grau", "und"]}
+    rows = [(lang, i % 2 == 0, " ".join(rnd.choice(w) for _ in range(6))) for lang, w in words.items() for i in range(8)]
+    asked = ["the dog sat", "der chat", "le noir hund", "x"]
+    model = fit_lang([(lang, mark, presence(t)) for lang, mark, t in rows], ridge=1e-2)
+
+    def sets(t):
+        return {int(x) for g in grams(t) for x in g}
+
+    def k(a, b):
+        a, b = sets(a), sets(b)
+        return len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+
+    marks = [t for _, mark, t in rows if mark]
+    k_mm = np.array([[k(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(k_mm)
+    root = vector[:, value > 1e-8 * value.max()] / np.sqrt(value[value > 1e-8 * value.max()])
+    phi = np.array([[k(t, m) for m in marks] for _, _, t in rows]) @ root
+    langs = sorted(words)
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _, _ in rows])
+    a = np.linalg.solve(phi.T @ phi + 1e-2 * len(rows) * np.eye(phi.shape[1]), phi.T @ y)
+    f = np.array([[k(t, m) for m in marks] for t in asked]) @ root @ a
+    e = np.exp(4 * (f - f.max(1, keepdims=True)))
+    pred, score = model.predict(asked)
+    assert pred == [langs[i] for i in f.argmax(1)]
+    assert np.allclose(score, e.max(1) / e.sum(1), atol=1e-4)
+
+
+def test_letters_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "the cat sat", "en"), (4, "le chat noir", "fr"), (2, "\u00b2 \u00bd \u2460 \u2167", "en"), (3, "\u01c5", None), (5, "the cat " * 200_000, None), (6, "7" * 500_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(docs).collect()}
+    assert got[2] == ("und", 0.0) and got[6][0] == "und" and got[3][0] != "und" and got[5][0] == "en"
+
+
+def test_ranking_by_definition(spark):
+    """The ranking is where the gradient of the logistic loss vanishes, and the query's scores follow from it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, len(FEATURES)))
+    good = x[:, 1] + 0.3 * rng.normal(size=40) > 0
+    r = fit(x, good, ridge=1e-3)
+    up, down = np.flatnonzero(good), np.flatnonzero(~good)
+    m = 8 * max(len(up), len(down))
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    total = np.zeros(len(FEATURES))
+    for i in range(m):
+        d = z[up[i % len(up)]] - z[down[(i + i // len(up) + i // len(down)) % len(down)]]
+        total += d * (1 - 1 / (1 + math.exp(-float(d @ r.weight))))
+    assert np.abs(total / m - 1e-3 * r.weight).max() < 1e-6
+    assert sum(float(u) <= r.cut for u in z @ r.weight) == len(down)
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    own = train_quality(docs, labels)
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    for row in score_quality(docs, labels).collect():
+        u = sum(w * min(8, max(-8, (f - c) / s)) for w, f, c, s in zip(own.weight, features(texts[row.doc_id]), own.centre, own.spread, strict=True))
+        want = 1 / (1 + math.exp(-(u - own.cut + math.log(0.7 / 0.3))))
+        assert abs(row.score - want) < 1e-9 and row.predicted == (row.score >= 0.7)
+
+
+def test_ranking_does_not_depend_on_layout(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    a = train_quality(docs, labels, sample=50)
+    b = train_quality(docs.repartition(7, "lang"), labels.repartition(5), sample=50)
+    assert np.allclose(a.weight, b.weight) and a.cut == b.cut
+
+
+def test_keep_good_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some plain words here", 0.5, "q"), (2, "!!! ### $$$", 0.1, None)], "doc_id long, TEXT string, _score double, _score_ string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes and all(r._score in (0.5, 0.1) for r in kept.collect())
+
+
 def test_kernel():
     # the folded weights give what the kernel against each landmark gives
     texts = ["the cat sat on the mat", "a dog in the fog", "le chat est noir", "un chien dans la brume"]

@@ -201,3 +201,18 @@ def test_odd_units(monkeypatch):
     for p, px in zip(payloads, decode_many(encode_many(payloads)), strict=True):
         raw = px.tobytes()
         assert raw[: len(p)] == p and set(raw[len(p) :]) <= {255} and payload_length(len(p) - 100) == len(p)
+
+
+def test_broken_files(spark):
+    """A bad file gives an error, the rest their pixels; an extended file is read by its image chunk."""
+    good = encode_many([bytes(range(256)) * 9])[0]
+    at = 12
+    chunk = good[at:]
+    extended = b"VP8X" + (10).to_bytes(4, "little") + b"\x10" + b"\0" * 9 + b"ICCP" + (3).to_bytes(4, "little") + b"abc\0" + chunk
+    extended = b"RIFF" + (4 + len(extended)).to_bytes(4, "little") + b"WEBP" + extended
+    rows = [(1, good, "w"), (2, b"no image", "w"), (3, good[:-40], "w"), (4, None, "w"), (5, extended, "w"), (6, b"RIFF\x04\0\0\0WEBP", "w"), (7, good[:30] + b"\xff" * (len(good) - 30), "w")]
+    got = {r.id: r for r in read_webp(spark.createDataFrame(rows, "id int, media binary, Width string")).collect()}
+    assert got[1].pixels == got[5].pixels == bytes(range(256)) * 9 and got[1].error is None
+    assert all(got[k].pixels is None and got[k].error for k in (2, 3, 6)) and got[4].pixels is None and got[4].error is None
+    assert got[7].pixels is not None or got[7].error
+    assert set(got[1].asDict()) == {"id", "width", "height", "pixels", "error"}

@@ -1,4 +1,5 @@
 import public_tokenizers
+from helixframe.llm import tokencount
 import sentencepiece
 from helixframe.llm.tokencount import count_tokens
 
@@ -27,3 +28,16 @@ def test_whole_table(spark):
     want = dict(zip([d.doc_id for d in docs], brute([d.text for d in docs]), strict=True))
     for frequent in (1 << 18, 500):
         assert {r.doc_id: r.n_tokens for r in count_tokens(df, PATH, frequent=frequent).collect()} == want
+
+
+def test_flushes_by_size(spark, monkeypatch):
+    """Small bounds on what is held at once change nothing."""
+    monkeypatch.setattr(tokencount, "FLUSH_CHARS", 50)
+    monkeypatch.setattr(tokencount, "ROW_CHARS", 50)
+    docs = spark.createDataFrame([(i, "\u65e5\u672c" * 40 + f" word{i}") for i in range(9)], "doc_id long, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs, path).collect()}
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert got == {r.doc_id: len(sp.encode(r.text)) for r in docs.collect()}
