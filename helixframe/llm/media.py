@@ -17,7 +17,7 @@ from helixframe.llm.webp import decode_many, encode_many
 #: Payloads are padded with this byte to a positive multiple of UNIT.
 PAD, UNIT = b"\xff", 576
 #: Bytes of payloads that are coded side by side.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 
 
 def payload_length(n: int) -> int:

@@ -262,18 +262,144 @@ def image_side(pixels: int) -> tuple[int, int]:
     return width, height
 
 
+#: Shortest back-reference, its longest length, and the share of an image's pixels they must cover to be written.
+LEAST_MATCH, LONGEST_MATCH, PAYS = 4, 4096, 0.5
+#: Bits of the colour cache that is written if it pays.
+CACHE_BITS = 6
+
+
+def _cache_place(pixels: np.ndarray, bits: int) -> np.ndarray:
+    return (np.uint32(CACHE_MULTIPLIER) * pixels) >> np.uint32(32 - bits)
+
+
+def _latest(pixels: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How far back the last pixel of the same key is, if it is equal; else 0."""
+    order = np.argsort(key, kind="stable")
+    same = (key[order][1:] == key[order][:-1]) & (pixels[order][1:] == pixels[order][:-1])
+    out = np.zeros(len(pixels), np.int64)
+    out[order[1:]] = np.where(same, order[1:] - order[:-1], 0)
+    return out
+
+
+def _matches(pixels: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of the stretches that repeat what stands at one distance before them."""
+    back = _latest(pixels, image << 32 | pixels)
+    cut = np.concatenate([[True], (back[1:] != back[:-1]) | (image[1:] != image[:-1])])
+    start = np.flatnonzero(cut)
+    size = np.diff(np.concatenate([start, [len(pixels)]]))
+    keep = (back[start] > 0) & (size >= LEAST_MATCH)
+    return start[keep], size[keep], back[start][keep]
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Symbol, extra bits and their number for a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    top = (value - 1).bit_length() - 1
+    second = (value - 1) >> (top - 1) & 1
+    return 2 * top + second, (value - 1) & ((1 << (top - 1)) - 1), top - 1
+
+
+def _encode_matched(pixels: np.ndarray, width: int, height: int, matches: list[tuple[int, int, int]]) -> bytes:
+    """An image (ARGB numbers) with back-references, and a colour cache if it is hit often enough."""
+    place = _cache_place(pixels, CACHE_BITS)
+    hit = _latest(pixels, place) > 0
+    covered = np.zeros(len(pixels), bool)
+    for at, n, _ in matches:
+        covered[at : at + n] = True
+    loose = np.flatnonzero(~covered)
+    cached = bool(len(loose)) and hit[loose].mean() > 0.25
+    tokens: list[tuple] = []  # (symbol of green, what follows)
+    counts = [[0] * (LITERALS + LENGTHS + (cached << CACHE_BITS)), [0] * 256, [0] * DISTANCES]
+    jump = {at: (n, d) for at, n, d in matches}
+    at = 0
+    while at < len(pixels):
+        if at in jump:
+            n, d = jump[at]
+            at += n
+            distance = _prefix(2 if d == 1 else d + PLANE_CODES)
+            counts[2][distance[0]] += -(-n // LONGEST_MATCH)
+            while n:
+                part = _prefix(min(n, LONGEST_MATCH))
+                counts[0][LITERALS + part[0]] += 1
+                tokens.append((LITERALS + part[0], part, distance))
+                n -= min(n, LONGEST_MATCH)
+            continue
+        p = int(pixels[at])
+        if cached and hit[at]:
+            s = LITERALS + LENGTHS + int(place[at])
+            counts[0][s] += 1
+            tokens.append((s,))
+        else:
+            rest = (p >> 16 & 255, p & 255, p >> 24)
+            counts[0][p >> 8 & 255] += 1
+            for v in rest:
+                counts[1][v] += 1
+            tokens.append((p >> 8 & 255, rest))
+        at += 1
+    lengths = [code_lengths(c, WRITER_BITS) for c in counts]
+    codes = [codes_of(np.array(x), WRITER_BITS).tolist() for x in lengths]
+    # a code of one symbol takes no bits
+    size = [[0] * len(x) if sum(map(bool, x)) < 2 else x for x in lengths]
+    out = BitWriter()
+    for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1)):
+        out.put(value, bits)
+    out.put(int(cached), 1)
+    if cached:
+        out.put(CACHE_BITS, 4)
+    out.put(0, 1)
+    write_code(out, lengths[0])
+    for _ in range(3):
+        write_code(out, lengths[1])
+    write_code(out, lengths[2])
+    for symbol, *more in tokens:
+        out.put(codes[0][symbol], size[0][symbol])
+        if len(more) == 1:
+            for v in more[0]:
+                out.put(codes[1][v], size[1][v])
+        elif more:
+            (_, extra, bits), (d, further, wide) = more
+            out.put(extra, bits)
+            out.put(codes[2][d], size[2][d])
+            out.put(further, wide)
+    return out.value.to_bytes(-(-out.size // 8), "little")
+
+
 def encode_many(payloads: list[bytes]) -> list[bytes]:
     """WebP files whose samples (A, R, G, B of each pixel, left to right) are the payloads, multiples of 576 bytes.
 
-    An image that the payload does not fill ends in samples of 255. Each image has one prefix code, written for each of its four channels.
+    An image that the payload does not fill ends in samples of 255. Images that
+    repeat themselves enough (``PAYS``) have back-references and, where it is
+    hit often, a colour cache; all others are literal pixels under one prefix
+    code, written for each of the four channels, so that they are read side by
+    side. Transforms do not make the bytes of texts any shorter.
     """
-    heads, pixels = [], []
-    lengths, codes = np.zeros((len(payloads), 256), np.int64), np.zeros((len(payloads), 256), np.uint32)
-    for k, p in enumerate(payloads):
+    raws, sides = [], []
+    for p in payloads:
         raw = np.frombuffer(p, np.uint8)
         width, height = image_side(len(raw) // 4)
         if spare := 4 * width * height - len(raw):
             raw = np.concatenate([raw, np.full(spare, 255, np.uint8)])
+        raws.append(raw)
+        sides.append((width, height))
+    if not raws:
+        return []
+    count = np.array([len(r) // 4 for r in raws])
+    image = np.repeat(np.arange(len(raws)), count)
+    pixels = np.concatenate(raws).view(">u4").astype(np.uint32)
+    first = np.cumsum(count) - count
+    start, size, back = _matches(pixels, image)
+    share = np.bincount(image[start], size, minlength=len(raws)) / count
+    out: list[bytes] = [b""] * len(raws)
+    for k in np.flatnonzero(share >= PAYS):
+        own = slice(*np.searchsorted(start, [first[k], first[k] + count[k]]))
+        found = list(zip((start[own] - first[k]).tolist(), size[own].tolist(), back[own].tolist(), strict=True))
+        out[k] = container(_encode_matched(pixels[first[k] : first[k] + count[k]], *sides[k], found))
+    rest = np.flatnonzero(share < PAYS).tolist()
+    heads, rows = [], []
+    lengths, codes = np.zeros((len(rest), 256), np.int64), np.zeros((len(rest), 256), np.uint32)
+    for j, k in enumerate(rest):
+        raw, (width, height) = raws[k], sides[k]
         own = code_lengths(np.bincount(raw, minlength=256).tolist(), WRITER_BITS)
         h = BitWriter()
         for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
@@ -287,10 +413,13 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
             h.put(value, bits)
         heads.append(h)
         one = sum(1 for n in own if n) == 1
-        lengths[k] = 0 if one else own
-        codes[k] = codes_of(np.array(own), WRITER_BITS)
-        pixels.append(raw.reshape(-1, 4)[:, [2, 1, 3, 0]])  # green, red, blue, alpha
-    return [container(s) for s in _put_payloads(heads, pixels, lengths, codes)]
+        lengths[j] = 0 if one else own
+        codes[j] = codes_of(np.array(own), WRITER_BITS)
+        rows.append(raw.reshape(-1, 4)[:, [2, 1, 3, 0]])  # green, red, blue, alpha
+    if rest:
+        for k, stream in zip(rest, _put_payloads(heads, rows, lengths, codes), strict=True):
+            out[k] = container(stream)
+    return out
 
 
 # ---------------------------------------------------------------- reader
@@ -380,14 +509,15 @@ def _extended(r: BitReader, symbol: int) -> int:
 def read_pixels(r: BitReader, width: int, height: int, codes: Codes | None = None) -> np.ndarray:
     """One image, pixel by pixel: any mix of codes, back-references and cache hits. ARGB, height x width x 4."""
     codes = codes or Codes(r, width, height, False)
-    tables = [[lookup(c, 15).tolist() for c in g] for g in codes.groups]
+    wide = [[max(1, int(c.max())) for c in g] for g in codes.groups]
+    tables = [[(n, lookup(c, n).tolist()) for c, n in zip(g, own, strict=True)] for g, own in zip(codes.groups, wide, strict=True)]
     out: list[int] = []
     cache, shift = [0] * (1 << codes.cache_bits), 32 - codes.cache_bits
     cached = 0
     total = width * height
 
-    def next_symbol(table: list[int]) -> int:
-        hit = table[r.peek(15)]
+    def next_symbol(table: tuple[int, list[int]]) -> int:
+        hit = table[1][r.peek(table[0])]
         r.at += hit & 15
         return hit >> 4
 
@@ -412,8 +542,12 @@ def read_pixels(r: BitReader, width: int, height: int, codes: Codes | None = Non
                 distance = max(1, dx + dy * width)
             if distance > len(out):
                 raise ValueError("a back-reference reaches before the first pixel")
-            for _ in range(min(length, total - len(out))):
-                out.append(out[-distance])
+            length = min(length, total - len(out))
+            while length:
+                # what is copied may be copied again
+                part = out[-distance:][:length]
+                out += part
+                length -= len(part)
         else:
             while cached < len(out):
                 cache[(CACHE_MULTIPLIER * out[cached] & 0xFFFFFFFF) >> shift] = out[cached]

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import zlib
 
 import numpy as np
@@ -216,3 +217,26 @@ def test_broken_files(spark):
     assert all(got[k].pixels is None and got[k].error for k in (2, 3, 6)) and got[4].pixels is None and got[4].error is None
     assert got[7].pixels is not None or got[7].error
     assert set(got[1].asDict()) == {"id", "width", "height", "pixels", "error"}
+
+
+def test_written_references_and_cache(spark):
+    """Images that repeat themselves: runs beyond the longest match, far copies, cached colours; and the files of a whole table hold them."""
+    rnd = random.Random(2)
+    unit = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+    far = unit(576 * 40)
+    few = [unit(4) for _ in range(6)]
+    mixed = b"".join(rnd.choice(few) for _ in range(2000))
+    payloads = [b"\xff" * 576, b"\0" * 576 * 200, unit(4) * 144, far + far, unit(12) * 48 * 30, far[:576] + b"ab" * 288 * 3, mixed[: 576 * 13] + b"\xff" * 576 * 14, b"\0" * 576 * 30 + far[:576]]
+    files = encode_many(payloads)
+    for p, px in zip(payloads, decode_many(files), strict=True):
+        assert px.tobytes() == p
+    heads = [webp.Image(f) for f in files]
+    assert len(files[1]) < 200 and len(files[3]) < 0.6 * len(payloads[3])
+    assert any(h.codes.cache_bits for h in heads) and sum(h.codes.groups[0][0][256:280].any() for h in heads) >= 5
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    heads = [webp.Image(f) for f in encode_many([(t or "").encode() + b"\xff" * (-len((t or "").encode()) % 576 if t else 576) for t in texts])]
+    kinds = [(bool(h.codes.cache_bits), bool(h.codes.groups[0][0][256:280].any())) for h in heads]
+    print({k: kinds.count(k) for k in set(kinds)})
+    assert any(r for _, r in kinds) and not all(r for _, r in kinds)
+    # alone or among others, a payload gives the same file
+    assert [encode_many([p])[0] for p in payloads] == files
