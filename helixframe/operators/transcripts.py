@@ -53,17 +53,18 @@ def exon_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.aggregate(b, F.lit(0).cast("long"), lambda t, y: t + F.greatest(F.lit(0).cast("long"), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]) + 1)))
 
 
-def class_code(q: Column, r: Column) -> Column:
+def class_code(q: Column, r: Column, overlap: Column) -> Column:
     """How a query lies to a reference on one strand (null if they do not overlap):
 
     = same introns (single exons: 80 % of the longer shared); c contained, with
     a part of the introns; j shares a splice site; e single exon that reaches
-    into an intron; i within an intron; o other overlap.
+    into an intron; i within an intron; o other overlap. ``overlap`` is the
+    number of exonic bases that they share.
     """
     qi, ri = introns(q), introns(r)
     q_start, q_end = q[0]["start"], F.element_at(q, -1)["end"]
     r_start, r_end = r[0]["start"], F.element_at(r, -1)["end"]
-    overlap, q_len = exon_overlap(q, r), length(q)
+    q_len = length(q)
     single_q, single_r = F.size(q) == 1, F.size(r) == 1
     q_chain, r_chain = chain(q), chain(r)
     shared = F.exists(qi, lambda x: F.exists(ri, lambda y: (x["start"] == y["start"]) | (x["end"] == y["end"])))
@@ -90,20 +91,36 @@ def class_code(q: Column, r: Column) -> Column:
     )
 
 
-#: Codes from the closest on.
-RANK = "=cjeoi"
+#: Codes from the closest on; how far behind a reference its run-ons may start, and the share of masked bases of a repeat.
+RANK, RUN_ON, MASKED = "=cjeosxipr", 2000, 0.5
 
 
-def best_codes(query: DataFrame, reference: DataFrame) -> DataFrame:
-    """``tid, code, ref``: the closest relation of each query; x for the other strand, u for none."""
+def best_codes(query: DataFrame, reference: DataFrame, masked: DataFrame | None = None) -> DataFrame:
+    """``tid, code, ref``: the closest relation of each query (``class_code``).
+
+    Beside those: s an intron overlaps one on the other strand; x exons overlap
+    on the other strand; p it starts at most ``RUN_ON`` positions behind the
+    reference on its strand; r at least ``MASKED`` of it is masked (``masked``:
+    ``tid, share``); u none. Ties go to the larger overlap, then the smallest ref.
+    """
     q = query.select("tid", "chrom", "strand", "exons", "start", "end")
     r = reference.select(F.col("tid").alias("ref"), "chrom", F.col("strand").alias("strand2"), F.col("exons").alias("exons2"), F.col("start").alias("start2"), F.col("end").alias("end2"))
-    met = overlap_join(q, r)
-    same = F.col("strand") == F.col("strand2")
-    crossed = F.when(exon_overlap(F.col("exons"), F.col("exons2")) > 0, "x")
-    code = F.when(same, class_code(F.col("exons"), F.col("exons2"))).otherwise(crossed)
-    pairs = met.select("tid", "ref", code.alias("code"), exon_overlap(F.col("exons"), F.col("exons2")).alias("ov")).where("code is not null")
-    pairs = pairs.withColumn("rank", F.expr(f"instr('{RANK}x', code)"))
+    met = overlap_join(q, r).withColumn("ov", exon_overlap(F.col("exons"), F.col("exons2")))
+    crossing = F.exists(introns(F.col("exons")), lambda x: F.exists(introns(F.col("exons2")), lambda y: (x["start"] <= y["end"]) & (y["start"] <= x["end"])))
+    crossed = F.when(crossing, "s").when(F.col("ov") > 0, "x")
+    code = F.when(F.col("strand") == F.col("strand2"), class_code(F.col("exons"), F.col("exons2"), F.col("ov"))).otherwise(crossed)
+    pairs = met.select("tid", "ref", code.alias("code"), "ov")
+    # where a query on the strand would have to reach back to meet what it runs on from
+    back = q.withColumn("_at", F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start")))
+    minus = F.col("strand") == "-"
+    back = back.select("tid", "chrom", "strand", "_at", F.when(minus, F.col("_at") + 1).otherwise(F.col("_at") - RUN_ON).alias("start"), F.when(minus, F.col("_at") + RUN_ON).otherwise(F.col("_at") - 1).alias("end"))
+    edge = F.when(F.col("strand2") == "-", F.col("start2")).otherwise(F.col("end2"))
+    ends = r.select("ref", "chrom", F.col("strand2").alias("strand"), edge.alias("start2"), edge.alias("end2"))
+    behind = overlap_join(back, ends, ["chrom", "strand"]).select("tid", "ref", F.lit("p").alias("code"), F.lit(0).cast("long").alias("ov"))
+    pairs = pairs.unionByName(behind)
+    if masked is not None:
+        pairs = pairs.unionByName(masked.where(F.col("share") >= MASKED).select("tid", F.lit(None).cast(r.schema["ref"].dataType).alias("ref"), F.lit("r").alias("code"), F.lit(0).cast("long").alias("ov")))
+    pairs = pairs.where("code is not null").withColumn("rank", F.expr(f"instr('{RANK}', code)"))
     best = pairs.groupBy("tid").agg(F.min(F.struct("rank", (-F.col("ov")).alias("o"), "ref", "code")).alias("b"))
     return query.select("tid").join(best, "tid", "left").select("tid", F.coalesce("b.code", F.lit("u")).alias("code"), F.col("b.ref").alias("ref"))
 

@@ -144,7 +144,8 @@ def reading_frames(spark, d):
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", n("ATG").alias("starts"), n("TAA|TAG|TGA").alias("stops"))
 
 
-@register("linked_components")
+@register("linked_components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t(node, low, i) AS (SELECT DISTINCT a, a, 0 FROM n UNION ALL SELECT n.b, min(t.low), min(t.i) + 1 FROM t JOIN n ON n.a = t.node WHERE t.i < 12 GROUP BY n.b), c AS (SELECT node, min(low) AS component FROM t GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY component""")
 def linked_components(spark, d):
     """Customers and suppliers linked by orders: components of a bipartite graph over all order lines, smallest name first."""
     o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))

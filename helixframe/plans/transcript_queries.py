@@ -9,6 +9,7 @@ from helixframe.operators.order import tiles
 from helixframe.operators.relational import top_n
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import IV, hits, intervals, table
+from helixframe.storage import materialize
 from helixframe.streaming.bundles import point_bundles
 
 
@@ -59,13 +60,46 @@ def exon_loci(spark, d):
 
 
 def _halves(spark, d):
-    t = _transcripts(spark, d)
+    t = materialize(_transcripts(spark, d), "models")
     return t.where("tid % 2 = 0"), t.where("tid % 2 = 1")
 
 
-@register("class_codes")
+#: Relations of even to odd transcripts ("codes": tid, ref, code, ov), one row per pair and code.
+CODES = f"""{TX}, nx AS (SELECT *, lead("start") OVER (PARTITION BY tid ORDER BY "start") AS nxt FROM exons),
+introns AS (SELECT tid, "end" + 1 AS a, nxt - 1 AS b FROM nx WHERE nxt IS NOT NULL),
+model AS (SELECT tid, chrom, strand, min("start") AS s, max("end") AS e, sum("end" - "start" + 1) AS len, count(*) AS n, min("end") AS first_end, max("start") AS last_start, coalesce(string_agg(CASE WHEN nxt IS NOT NULL THEN ("end" + 1) || '-' || (nxt - 1) END, ',' ORDER BY "start"), '') AS chain FROM nx GROUP BY tid, chrom, strand),
+q AS (SELECT * FROM model WHERE tid % 2 = 0), r AS (SELECT * FROM model WHERE tid % 2 = 1),
+pair AS (SELECT q.tid, r.tid AS ref, q.strand = r.strand AS same, q.s, q.e, q.len, q.n, q.chain, q.first_end, q.last_start, r.len AS len2, r.n AS n2, r.chain AS chain2 FROM q JOIN r ON q.chrom = r.chrom AND q.s <= r.e AND r.s <= q.e),
+o AS (SELECT pair.tid, ref, sum(greatest(0, least(x."end", y."end") - greatest(x."start", y."start") + 1)) AS ov FROM pair JOIN exons x ON x.tid = pair.tid JOIN exons y ON y.tid = ref GROUP BY ALL),
+ii AS (SELECT pair.tid, ref, bool_or(x.a = y.a OR x.b = y.b) AS shared, bool_or(x.a <= y.b AND y.a <= x.b) AS crossing FROM pair JOIN introns x ON x.tid = pair.tid JOIN introns y ON y.tid = ref GROUP BY ALL),
+ri AS (SELECT pair.tid, ref, bool_or(s >= y.a AND e <= y.b) AS in_intron, bool_or(least(e, y.b) - greatest(s, y.a) + 1 >= 10) AS reaches FROM pair JOIN introns y ON y.tid = ref GROUP BY ALL),
+re AS (SELECT pair.tid, ref, bool_or(s >= y."start" - 8 AND e <= y."end" + 8) AS in_exon, bool_or(y."end" = first_end AND s >= y."start" - 4) AS head, bool_or(y."start" = last_start AND e <= y."end" + 4) AS tail FROM pair JOIN exons y ON y.tid = ref GROUP BY ALL),
+codes AS (SELECT pair.tid, pair.ref, CAST(ov AS BIGINT) AS ov, CASE WHEN NOT same THEN CASE WHEN coalesce(crossing, false) THEN 's' WHEN ov > 0 THEN 'x' END
+ WHEN n > 1 AND chain = chain2 THEN '=' WHEN n = 1 AND n2 = 1 AND ov >= 0.8::DOUBLE * greatest(len, len2) THEN '='
+ WHEN n > 1 AND contains(',' || chain2 || ',', ',' || chain || ',') AND head AND tail THEN 'c' WHEN coalesce(in_intron, false) THEN 'i' WHEN n = 1 AND in_exon THEN 'c'
+ WHEN n = 1 AND coalesce(reaches, false) AND ov > 0 AND len > ov + 10 THEN 'e' WHEN coalesce(shared, false) THEN 'j' WHEN ov > 0 THEN 'o' ELSE 'i' END AS code
+ FROM pair JOIN o USING (tid, ref) JOIN re USING (tid, ref) LEFT JOIN ri USING (tid, ref) LEFT JOIN ii USING (tid, ref)
+ UNION ALL SELECT q.tid, r.tid, 0, 'p' FROM q JOIN r ON q.chrom = r.chrom AND q.strand = r.strand AND CASE WHEN q.strand = '-' THEN r.s - q.e ELSE q.s - r.e END BETWEEN 1 AND 2000
+ UNION ALL SELECT tid, NULL, 0, 'r' FROM q WHERE tid % 11 >= 5),
+best AS (SELECT tid, ref, code FROM codes WHERE code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tid ORDER BY instr('=cjeosxipr', code), ov DESC, ref) = 1),
+coded AS (SELECT q.tid, coalesce(code, 'u') AS code, ref FROM q LEFT JOIN best USING (tid))"""
+
+
+def _coded(spark, d):
+    q, r = _halves(spark, d)
+    share = q.select("tid", ((F.col("tid") % 11) / 10).alias("share"))
+    return tx.best_codes(q, r, share)
+
+
+@register("class_codes", f"WITH {CODES} SELECT tid, code, ref FROM coded")
 def class_codes(spark, d):
-    return tx.best_codes(*_halves(spark, d))
+    return _coded(spark, d)
+
+
+@register("class_code_counts", f"WITH {CODES} SELECT code, count(*) AS n, count(DISTINCT ref) AS refs FROM coded GROUP BY code")
+def class_code_counts(spark, d):
+    """How often each relation is the closest, and to how many references."""
+    return _coded(spark, d).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ref").alias("refs"))
 
 
 @register("sn_sp", f"""WITH {TX}, i AS (SELECT tid, chrom, strand, "start", "end", lead("start") OVER (PARTITION BY tid ORDER BY "start") AS nxt FROM exons),
@@ -149,12 +183,17 @@ def transitive_clusters(spark, d):
     return hit_ops.transitive(e.join(beside, ["chrom", "strand", "k"]).select(F.col("id").alias("q"), "h")).select("id", "cluster")
 
 
-@register("fold_change_fisher")
+@register("fold_change_fisher", """WITH n AS (SELECT l_partkey AS k, count(*) FILTER (l_returnflag = 'R') AS n1, count(*) FILTER (l_returnflag = 'A') AS n2 FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY l_partkey),
+t AS (SELECT CAST(sum(n1) AS BIGINT) AS t1, CAST(sum(n2) AS BIGINT) AS t2, count(*) AS tests FROM n), m AS (SELECT DISTINCT n1, n2, t1, t2 FROM n, t),
+x AS (SELECT *, unnest(range(greatest(0, n1 + n2 - t2), least(n1 + n2, t1) + 1)) AS i FROM m),
+l AS (SELECT *, lgamma(n1 + n2 + 1) - lgamma(i + 1) - lgamma(n1 + n2 - i + 1) + lgamma(t1 + t2 - n1 - n2 + 1) - lgamma(t1 - i + 1) - lgamma(t2 - n1 - n2 + i + 1) - lgamma(t1 + t2 + 1) + lgamma(t1 + 1) + lgamma(t2 + 1) AS lp FROM x),
+p AS (SELECT n1, n2, least(1.0::DOUBLE, sum(exp(lp)) FILTER (lp <= own + 1e-9)) AS p FROM (SELECT *, max(lp) FILTER (i = n1) OVER (PARTITION BY n1, n2) AS own FROM l) GROUP BY n1, n2)
+SELECT k, n.n1, n.n2, round(log2((n.n2 + 0.5) / (t2 + 0.5)) - log2((n.n1 + 0.5) / (t1 + 0.5)), 6) AS fold, round(p, 4) AS p, round(least(1.0::DOUBLE, p * tests), 4) AS p_bonferroni FROM n JOIN p USING (n1, n2), t""")
 def fold_change_fisher(spark, d):
     """Counts of two samples per part: fold change and two-sided Fisher probability against the totals."""
     flag = F.col("l_returnflag")
     n = table(spark, d, "lineitem").where(flag.isin("R", "A")).groupBy(F.col("l_partkey").alias("k")).agg(F.sum(F.when(flag == "R", 1).otherwise(0)).alias("n1"), F.sum(F.when(flag == "A", 1).otherwise(0)).alias("n2"))
-    return stats.compare_counts(n)
+    return stats.compare_counts(n).select("k", "n1", "n2", F.round("fold", 6).alias("fold"), F.round("p", 4).alias("p"), F.round("p_bonferroni", 4).alias("p_bonferroni"))
 
 
 @register("dust_masked")
