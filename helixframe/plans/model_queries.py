@@ -209,8 +209,8 @@ def reads_by_name(spark, d):
     return number_rows(r, [], ["name", "turn"]).select("conv_id", "turn", "place")
 
 
-@register("interval_depth_of_hits", f"""WITH {IV}, m AS (SELECT chrom, count(*) AS n FROM iv GROUP BY chrom HAVING count(*) = 1) SELECT chrom FROM m""")
-def interval_depth_of_hits(spark, d):
+@register("single_hit_probes", f"""WITH {IV}, m AS (SELECT chrom, count(*) AS n FROM iv GROUP BY chrom HAVING count(*) = 1) SELECT chrom FROM m""")
+def single_hit_probes(spark, d):
     """Probes with a single hit, their own."""
     return intervals(spark, d).groupBy("chrom").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("chrom")
 
