@@ -16,13 +16,14 @@ from helixframe.operators.intervals import number_islands
 SCHEMA = "chrom string, bundle long, strand string, tx int, cov double, exons array<struct<start:long,end:long>>"
 
 
-def paths(fragments: list[tuple[tuple[tuple[int, int], ...], float]], least_cov: float, least_len: int, most: int = 200) -> list[tuple[float, list[tuple[int, int]]]]:
+def paths(fragments: list[tuple[tuple[tuple[int, int], ...], float]], least_cov: float, least_len: int) -> list[tuple[float, list[tuple[int, int]]]]:
     """(coverage, exons) of the transcripts that fragments (blocks, weight) spell.
 
     Nodes are the covered stretches, cut at junctions. The path that
     carries the most fragments is taken first: a longest-path pass over the
     nodes in order, where an edge carries the fragments that span it. What it
-    explains is taken off, until a path's coverage falls below ``least_cov``.
+    explains is taken off, until no node's coverage reaches ``least_cov``; every
+    path takes a fragment off for good, so that is after as many as there are.
     """
     covered: list[list[int]] = []
     for s, e in sorted(x for b, _ in fragments for x in b):
@@ -48,7 +49,7 @@ def paths(fragments: list[tuple[tuple[tuple[int, int], ...], float]], least_cov:
 
     frags = [[node_path(b), b, w] for b, w in fragments]
     found = []
-    while len(found) < most:
+    for _ in range(len(frags) + 1):
         base, edge = [0.0] * len(nodes), {}
         for p, blocks, w in frags:
             if w <= 1e-9:
@@ -59,7 +60,7 @@ def paths(fragments: list[tuple[tuple[tuple[int, int], ...], float]], least_cov:
             for a, b in zip(p, p[1:], strict=False):
                 edge[a, b] = edge.get((a, b), 0.0) + w
         cov = [x / (hi - lo) for x, (lo, hi) in zip(base, nodes, strict=True)]
-        if not any(c > 0 for c in cov):
+        if not any(c > 0 for c in cov) or max(cov) < least_cov:
             break
         # start from the deepest node and follow the heaviest edges both ways
         seed = max(range(len(nodes)), key=lambda k: (cov[k], -k))
@@ -94,6 +95,8 @@ def paths(fragments: list[tuple[tuple[tuple[int, int], ...], float]], least_cov:
             frags = [f for f in frags if not any(x == tight for x in zip(f[0], f[0][1:], strict=False))]
         else:
             frags = [f for f in frags if not set(f[0]) <= on]
+    else:
+        raise RuntimeError("paths of a bundle do not come to an end")
     return found
 
 

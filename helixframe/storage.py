@@ -30,9 +30,22 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/helixframe-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this application, once their results have been stored; returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 #: Rows of a batch that goes to Python, unless the session sets its own number: records here are whole texts.
 BATCH_ROWS = 2000
 _shipped: set[str] = set()

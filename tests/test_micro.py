@@ -1,5 +1,6 @@
 """Hand-written cases, file formats and properties."""
 
+import os
 import random
 
 import pytest
@@ -247,3 +248,51 @@ def test_longest_orf_of_long_records(spark, tmp_path):
         want[k] = best
     assert {r.doc_id: r.longest for r in QUERIES["longest_orf"](spark, str(tmp_path)).collect()} == want
     assert want[1] >= 3001
+
+
+def test_order(spark):
+    """Places, running sums, frames over blocks and parts of equal count, with null keys and a hot key."""
+    from pyspark.sql import Window
+
+    from helixframe.operators import order
+
+    rows = [("a" if i % 3 else None, i * 7 % 1000, i) for i in range(1000)] + [("b", 1, 5000), ("b", 1, 5001)]
+    df = spark.createDataFrame(rows, "k string, v int, id int")
+    want = {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        for place, (_, v, i) in enumerate(own, 1):
+            want[i] = (place, total, [r[1] for r in own[max(0, place - 3) : place + 1]], min(4, len(own)) and (place - 1 < (len(own) % 4) * (len(own) // 4 + 1)))
+            total += v
+    by = [F.desc("v"), F.col("id")]
+    numbered = order.number_rows(df, ["k"], by)
+    assert {r.id: r.place for r in numbered.collect()} == {i: w[0] for i, w in want.items()}
+    assert {r.id: r.s for r in order.running_sum(df, ["k"], by, "v", "s").collect()} == {i: w[1] for i, w in want.items()}
+    w = Window.partitionBy("k", "_block").orderBy("place").rowsBetween(-2, 1)
+    blocks = order.in_blocks(numbered, behind=2, ahead=1, block=16).withColumn("f", F.collect_list("v").over(w)).where("not _copy")
+    assert {r.id: r.f for r in blocks.collect()} == {i: w[2] for i, w in want.items()}
+    ntile = Window.partitionBy("k").orderBy(*by)
+    assert {(r.id, r.part) for r in order.tiles(df, ["k"], by, 7).collect()} == {(r.id, r.p) for r in df.withColumn("p", F.ntile(7).over(ntile)).collect()}
+    assert [r.place for r in order.number_rows(df, [], ["id"]).orderBy("id").collect()] == list(range(1, 1003))
+    assert order.number_rows(df.limit(0), ["k"], ["id"]).collect() == []
+
+
+def test_more_sequences(spark):
+    """Codes of sequences beyond SQL: masks, packed bases with odd letters, hashes, regions."""
+    df = spark.createDataFrame([("ACGTNNAAAAAAACACACACACACGT", "chr1:1,000-2,000"), ("acg", "x"), (None, None)], "s string, r string")
+    got = df.select(seq.mask_repeats(F.col("s")).alias("m"), F.hex(seq.pack_bases(F.col("s"))).alias("p"), seq.x31(F.lit("ab")).alias("h"), seq.region(F.col("r")).alias("r"), seq.end_difference(F.lit("MABCK"), F.lit("MXK")).alias("d")).collect()
+    assert "NNNNNNN" in got[0].m and len(got[0].m) == 26 and got[1].m == "acg" and got[2].m is None
+    assert got[1].p == "18" and got[0].h == 97 * 31 + 98 and got[0].d == 3
+    assert (got[0].r.chrom, got[0].r.start, got[0].r.end) == ("chr1", 1000, 2000) and (got[1].r.chrom, got[1].r.start) == ("x", None)
+    k = {r.kmer: r.n for r in seq.kmer_counts(spark.createDataFrame([("ACGTAC",), ("nACGx",), ("AC",), (None,)], "s string"), "s", 3).collect()}
+    assert k == {"ACG": 2, "CGT": 1, "GTA": 1, "TAC": 1}
+
+
+def test_materialized_tables_go(spark):
+    from helixframe import storage
+
+    storage.discard(spark)
+    kept = storage.materialize(spark.range(10), "micro")
+    files = kept.inputFiles()
+    assert kept.count() == 10 and storage.discard(spark) == 1 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
