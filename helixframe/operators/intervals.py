@@ -110,3 +110,20 @@ def nearest_upstream(left: DataFrame, right: DataFrame, distance: int, keys: Seq
     met = overlap_join(left.withColumn("_end1", F.col("end")).withColumn("end", F.col("start")), reach, keys, bin_size)
     best = met.groupBy("id").agg(F.max(F.struct(F.col("_end").alias("e"), (-F.col("id2")).alias("i"), F.col("start"))).alias("b"))
     return best.select("id", (-F.col("b.i")).alias("id2"), (F.col("b.start") - F.col("b.e")).alias("distance"))
+
+
+def window_depth(df: DataFrame, window: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """``window, depth``: mean depth of each window of positions that rows reach."""
+    cut = df.select(*keys, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / window), F.floor(F.col("end") / window))).alias("window"))
+    own = F.least(F.col("end"), (F.col("window") + 1) * window - 1) - F.greatest(F.col("start"), F.col("window") * window) + 1
+    return cut.groupBy(*keys, "window").agg((F.sum(own) / F.lit(float(window))).alias("depth"))
+
+
+def largest_drop(df: DataFrame, window: int, least: float, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """``pos, drop``: of each key the border of two adjacent windows at which the mean depth changes most, if by ``least`` (the first of ties)."""
+    d = window_depth(df, window, keys)
+    # each window meets itself and the one before; a window without rows has depth 0
+    sides = d.select(*keys, F.explode(F.array(F.struct(F.col("window").alias("at"), F.col("depth").alias("left"), F.lit(0.0).alias("right")), F.struct((F.col("window") - 1).alias("at"), F.lit(0.0).alias("left"), F.col("depth").alias("right")))).alias("s"))
+    steps = sides.groupBy(*keys, "s.at").agg(F.abs(F.sum("s.left") - F.sum("s.right")).alias("drop"))
+    best = steps.where(F.col("drop") >= least).groupBy(*keys).agg(F.max(F.struct("drop", F.negative("at").alias("a"))).alias("b"))
+    return best.select(*keys, ((1 - F.col("b.a")) * window).alias("pos"), F.col("b.drop").alias("drop"))

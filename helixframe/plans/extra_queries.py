@@ -2,14 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from helixframe.functions import seq
 from helixframe.operators import extras, models, reads
+from helixframe.operators import intervals as iv
 from helixframe.operators import transcripts as tx
 from helixframe.plans.alignment_queries import BLOCKS, SAM, sam
 from helixframe.plans.catalogue import register
 from helixframe.plans.format_queries import BASES, PART
 from helixframe.plans.model_queries import MODEL
-from helixframe.plans.transcript_queries import CODES, _coded, _transcripts
-from helixframe.plans.views import table
+from helixframe.plans.sequence_queries import DNA, _codon_map, _dna
+from helixframe.plans.transcript_queries import CODES, TX, _coded, _halves, _transcripts
+from helixframe.plans.views import IV, intervals, table
 
 
 @register("search_hits", """WITH h AS (SELECT l_orderkey % 500 AS q, l_partkey % 50 AS h, 100 - 100 * l_discount AS pid, l_extendedprice AS score, l_tax AS e_value, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand, l_orderkey, l_linenumber FROM lineitem)
@@ -143,3 +146,26 @@ def references_by_database(spark, d):
     k = F.explode(F.array(F.concat(F.lit("EMBL:"), "p_partkey"), F.concat(F.lit("GO:"), "p_size")))
     r = table(spark, d, "part").select(F.expr(PART).alias("id"), k.alias("k"))
     return r.groupBy(F.split_part("k", F.lit(":"), F.lit(1)).alias("db")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@register("largest_drops", f"""WITH {IV}, w AS (SELECT chrom, "start", "end", unnest(range("start" // 3600, "end" // 3600 + 1)) AS w FROM iv), d AS (SELECT chrom, w, sum(least("end", (w + 1) * 3600 - 1) - greatest("start", w * 3600) + 1) / 3600.0::DOUBLE AS depth FROM w GROUP BY chrom, w),
+s AS (SELECT chrom, w AS lo, depth AS a, 0.0::DOUBLE AS b FROM d UNION ALL SELECT chrom, w - 1, 0, depth FROM d), x AS (SELECT chrom, lo, abs(sum(a) - sum(b)) AS drop FROM s GROUP BY chrom, lo) SELECT chrom, CAST((lo + 1) * 3600 AS BIGINT) AS pos, round(drop, 6) AS drop FROM x WHERE drop >= 0.5 QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY drop DESC, lo) = 1""")
+def largest_drops(spark, d):
+    """Where the depth of each chromosome changes most between adjacent windows."""
+    return iv.largest_drop(intervals(spark, d), 3600, 0.5).select("chrom", "pos", F.round("drop", 6).alias("drop"))
+
+
+@register("fuzzy_exon_matches", f"""WITH {TX}, q AS (SELECT DISTINCT chrom, strand, "start" AS s, "end" AS e FROM exons WHERE tid % 2 = 0), r AS (SELECT DISTINCT chrom, strand, "start" AS s, "end" AS e FROM exons WHERE tid % 2 = 1), m AS (SELECT q.chrom, q.strand, q.s, q.e, r.s AS s2, r.e AS e2 FROM q JOIN r ON q.chrom = r.chrom AND q.strand = r.strand AND abs(q.s - r.s) <= 5 AND abs(q.e - r.e) <= 5)
+SELECT (SELECT count(*) FROM q) AS query, (SELECT count(*) FROM r) AS reference, (SELECT count(*) FROM (SELECT DISTINCT chrom, strand, s, e FROM m)) AS query_matched, (SELECT count(*) FROM (SELECT DISTINCT chrom, strand, s2, e2 FROM m)) AS reference_matched""")
+def fuzzy_exon_matches(spark, d):
+    """Exons that agree with one of the other set but for five positions."""
+    return models.fuzzy_exons(*_halves(spark, d), 5)
+
+
+@register("open_frames", f"""WITH {DNA}, codes AS (SELECT {_codon_map()} AS code), both_strands AS (SELECT doc_id, s, reverse(translate(s, 'ACGTN', 'TGCAN')) AS r FROM dna WHERE length(s) >= 6),
+f AS ({" UNION ALL ".join(f"SELECT doc_id, array_to_string(list_transform(range({1 + k}, length({x}) - 1, 3), lambda i: coalesce(code[substr({x}, i, 3)], 'X')), '') AS p FROM both_strands, codes" for x in "sr" for k in range(3))})
+SELECT doc_id, count(*) FILTER (instr(substr(p, 1, greatest(0, length(p) - 1)), '.') = 0) AS frames FROM f GROUP BY doc_id""")
+def open_frames(spark, d):
+    """How many of the six frames have no stop before their last codon."""
+    frames = F.filter(seq.six_frames(F.col("s")), lambda p: ~F.rtrim(F.regexp_replace(p, ".$", "")).contains("."))
+    return _dna(spark, d).where("length(s) >= 6").select("doc_id", F.size(frames).cast("long").alias("frames"))
