@@ -219,9 +219,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, halves: int = HALVES, mi
     if not last.isEmpty():
         links = links.unionAll(last)
 
-    same = alive.join(classes.select("set_id", "doc"), "set_id").where("doc_id <> doc").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
+    # the planner takes a few columns of a written table for smaller than they are: no broadcasts of all classes
+    same = alive.join(classes.select("set_id", "doc").hint("merge"), "set_id").where("doc_id <> doc").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
     # rows that share a doc_id but not a text hold their classes together
-    doc = classes.select("a", "doc")
+    doc = classes.select("a", "doc").hint("merge")
     between = links.join(doc.toDF("a", "src"), "a").join(doc.toDF("b", "dst"), "b").where("src <> dst").select("src", "dst")
     found = connected_components(materialize(between.unionAll(same).distinct(), "edges"))
     out = told.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
