@@ -83,13 +83,23 @@ def depth(df: DataFrame, keys: Sequence[str] = ("chrom",), weight: Column | None
     return rows.where("_open > 0").drop("_open")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), bin_size: int = JOIN_BIN, how: Column | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), bin_size: int = JOIN_BIN, how: Column | None = None, long_bins: int | None = None) -> DataFrame:
     """Pairs of overlapping rows: an equi-join on key and bin of positions.
 
     ``left`` has ``start, end`` and ``right`` has ``start2, end2``. A pair is
     kept in the first bin that both reach, so none comes twice. ``how``
-    replaces the overlap test by a stricter one.
+    replaces the overlap test by a stricter one. A bin that many rows share is
+    a skewed partition, which the planner splits. Where rows may cover whole
+    chromosomes, give ``long_bins``: rows over more bins than that are joined
+    by bins as many times as wide, so that none is copied more than a few times.
     """
+    if long_bins is not None:
+        wide = bin_size * long_bins
+        long = F.col("end") - F.col("start") >= wide
+        long2 = F.col("end2") - F.col("start2") >= wide
+        near = overlap_join(left.where(~long), right.where(~long2), keys, bin_size, how)
+        far = overlap_join(left.where(long), right, keys, wide * long_bins, how).unionByName(overlap_join(left.where(~long), right.where(long2), keys, wide * long_bins, how))
+        return near.unionByName(far)
     cut = lambda df, s, e: df.withColumn("_first", F.floor(F.col(s) / bin_size)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor(F.col(e) / bin_size))))
     a = cut(left.where("start <= end"), "start", "end").withColumnRenamed("_first", "_first_a")
     b = cut(right.where("start2 <= end2"), "start2", "end2").withColumnRenamed("_first", "_first_b")

@@ -296,3 +296,12 @@ def test_materialized_tables_go(spark):
     kept = storage.materialize(spark.range(10), "micro")
     files = kept.inputFiles()
     assert kept.count() == 10 and storage.discard(spark) == 1 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_overlaps_of_long_rows(spark):
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice("ab"), s, s + rnd.choice([5, 900, 40_000, 3_000_000])) for i in range(120) for s in [rnd.randrange(4_000_000)]]
+    a = spark.createDataFrame(rows, "id int, chrom string, start long, end long")
+    b = a.toDF("id2", "chrom", "start2", "end2")
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+    assert sorted((r.id, r.id2) for r in intervals.overlap_join(a, b, bin_size=1000, long_bins=16).collect()) == want
