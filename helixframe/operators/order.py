@@ -77,3 +77,14 @@ def tiles(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n:
     place = F.col("_place") - 1
     part = F.when(place < full, F.floor(place / (size + 1))).otherwise(F.floor((place - full) / F.greatest(size, F.lit(1))) + over)
     return rows.withColumn(name, (part + 1).cast("int")).drop("_place", "_total", "_part")
+
+
+def first_of_runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, n: int = 1) -> DataFrame:
+    """The first ``n`` rows of each unbroken run of a value in the order of a key: those with another value (or none) among the ``n`` rows before."""
+    rows = in_blocks(number_rows(df, keys, order, "_place"), behind=n, place="_place")
+    w = Window.partitionBy(*keys, "_block").orderBy("_place")
+    before = [F.lag(F.struct(F.col(value).alias("v")), k).over(w) for k in range(1, n + 1)]
+    new = F.lit(False)
+    for b in before:
+        new |= b.isNull() | ~b["v"].eqNullSafe(F.col(value))
+    return rows.withColumn("_new", new).where("_new and not _copy").select(df.columns)

@@ -35,8 +35,9 @@ def sam_filter(df: DataFrame, least_mapq: int = 0, required: int = 0, excluded:
 
 
 def subsample(df: DataFrame, name: str, fraction: float, seed: int = 0) -> DataFrame:
-    """The same reads of a name every time: hash of name and seed against the fraction, in 1/1024 steps."""
-    return df.where(F.pmod(F.xxhash64(F.col(name), F.lit(seed)), F.lit(1024)) / 1024.0 < fraction)
+    """The same reads of a name every time: the lower 24 bits of its hash (``seq.x31``), changed by the seed, against the fraction."""
+    h = seq.x31(F.col(name)).bitwiseXOR(F.lit(seed).cast("long")).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
+    return df.where(h / float(1 << 24) < fraction)
 
 
 def remove_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

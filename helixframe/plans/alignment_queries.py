@@ -191,6 +191,13 @@ def interleaved_mates(spark, d):
     return number_rows(both, [], ["id", "mate", "seq"]).select("id", "mate", "seq", "place")
 
 
+@register("subsampled_reads", f"""WITH {SAM}, n AS (SELECT qname, line, 'read' || qname AS name FROM sam), h AS (SELECT qname, line, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM n) SELECT qname, line FROM h WHERE (xor(h, 11) & 16777215) / 16777216.0::DOUBLE < 0.3""")
+def subsampled_reads(spark, d):
+    """A share of the reads by name, mates together (a sampling operator)."""
+    s = sam(spark, d).withColumn("name", F.concat(F.lit("read"), "qname"))
+    return reads.subsample(s, "name", 0.3, 11).select("qname", "line")
+
+
 @register("collapsed_reads", f"""WITH {SAM}, q AS (SELECT seq, count(*) AS n, min(qname * 10 + line) AS id FROM sam GROUP BY seq), b AS (SELECT seq, i, sum(ascii(substr(qual, i, 1))) // count(*) AS m FROM (SELECT seq, qual, unnest(range(1, 13)) AS i FROM sam) GROUP BY seq, i),
 s AS (SELECT seq, string_agg(chr(CAST(m AS INTEGER)), '' ORDER BY i) AS qual FROM b GROUP BY seq) SELECT seq, n, id || '_x' || n AS id, qual FROM q JOIN s USING (seq)""")
 def collapsed_reads(spark, d):

@@ -109,13 +109,6 @@ def priority_merge(spark, d):
     return p.select("id").unionByName(v.select("id").join(hit, "id", "left_anti"))
 
 
-@register("protein_clusters", """WITH p AS (SELECT conv_id % 20 AS locus, upper(substr(role, 1, 3)) || (turn % 4) AS aa, conv_id * 100 + turn AS id FROM conversations) SELECT locus, aa, count(*) AS n, min(id) AS head FROM p GROUP BY locus, aa HAVING count(*) > 1""")
-def protein_clusters(spark, d):
-    """Members of a cluster with the same protein."""
-    p = table(spark, d, "conversations").select((F.col("conv_id") % 20).alias("locus"), F.concat(F.upper(F.substring("role", 1, 3)), (F.col("turn") % 4).cast("string")).alias("aa"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"))
-    return p.groupBy("locus", "aa").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
-
-
 @register("split_contigs", """WITH p AS (SELECT page_id, length(html) AS n FROM pages), o AS (SELECT page_id, n, sum(n + 100) OVER (PARTITION BY page_id % 5 ORDER BY page_id) - n - 100 AS before FROM p) SELECT page_id, page_id % 5 AS scaffold, CAST(before + 1 AS BIGINT) AS "start", CAST(before + n AS BIGINT) AS "end" FROM o""")
 def split_contigs(spark, d):
     """Contigs laid out along scaffolds, 100 positions apart: offsets from a running sum."""

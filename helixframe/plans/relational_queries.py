@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.operators import relational as rel
-from helixframe.operators.order import number_rows
+from helixframe.operators.order import first_of_runs, number_rows
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import HITS, hits, table
 
@@ -205,14 +205,11 @@ def top_n_per_key(spark, d):
 
 @register("top_n_consecutive", """WITH e AS (SELECT event_id, user_id // 50 AS k, event_type, row_number() OVER (PARTITION BY user_id // 50 ORDER BY event_id) AS i FROM events),
 r AS (SELECT *, i - row_number() OVER (PARTITION BY k, event_type ORDER BY i) AS run FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY k, event_type, run ORDER BY i) AS place FROM r)
-SELECT event_id FROM n WHERE place <= 1""")
+SELECT event_id FROM n WHERE place <= 2""")
 def top_n_consecutive(spark, d):
-    """The first row of each unbroken run of a key, in a declared order."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k").orderBy("event_id")
+    """The first two rows of each unbroken run of a key, in a declared order."""
     e = table(spark, d, "events").select("event_id", F.floor(F.col("user_id") / 50).alias("k"), "event_type")
-    return e.withColumn("before", F.lag("event_type").over(w)).where("before is null or before <> event_type").select("event_id")
+    return first_of_runs(e, ["k"], ["event_id"], "event_type", 2).select("event_id")
 
 
 @register("best_stratum", f"WITH {HITS} SELECT q, h, s, line, overlap FROM hits QUALIFY overlap = min(overlap) OVER (PARTITION BY q)")

@@ -144,3 +144,12 @@ def shared_kmer_join(spark, d):
 
     probes, records = materialize(kmers(table(spark, d, "benchmark"), "item_id"), "seeds"), kmers(table(spark, d, "documents"), "doc_id")
     return records.join(probes, "k").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 5")
+
+
+@register("protein_clusters", f"""WITH {DNA}, code(codon, acid) AS (VALUES {_codon_values()}), c AS (SELECT doc_id, i, substr(s, i, 3) AS codon FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1, 3)) AS i FROM dna WHERE length(s) >= 3 AND s NOT LIKE '%N%')),
+p AS (SELECT doc_id, md5(string_agg(coalesce(acid, 'X'), '' ORDER BY i)) AS aa FROM c LEFT JOIN code USING (codon) GROUP BY doc_id) SELECT doc_id % 3 AS locus, aa, count(*) AS n, min(doc_id) AS head FROM p GROUP BY 1, 2 HAVING count(*) > 1""")
+def protein_clusters(spark, d):
+    """Members of a locus with the same protein, by its digest."""
+    s = _dna(spark, d).where("length(s) >= 3 and s not like '%N%'")
+    p = s.select((F.col("doc_id") % 3).alias("locus"), F.md5(seq.translate(F.col("s"))).alias("aa"), "doc_id")
+    return p.groupBy("locus", "aa").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")).where("n > 1")
