@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -111,12 +112,35 @@ def codons_of(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit("(?s)(...)"), 1)
 
 
+@lru_cache(maxsize=1)
+def _acids() -> tuple[np.ndarray, np.ndarray]:
+    """Number of each byte among the IUPAC codes (others are the last), and the acid of each triple of numbers."""
+    codes = sorted(AMBIGUOUS)
+    number = np.full(256, len(codes), np.int64)
+    for i, c in enumerate(codes):
+        number[ord(c)] = number[ord(c.lower())] = i
+    acid = np.full((len(codes) + 1,) * 3, ord("X"), np.uint8)
+    for codon, a in codon_table().items():
+        acid[tuple(codes.index(c) for c in codon)] = ord(a)
+    return number, acid.ravel()
+
+
+def protein_of(s: str, frame: int = 0) -> str:
+    number, acid = _acids()
+    base = number[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)[frame:]]
+    n, size = len(base) // 3, len(AMBIGUOUS) + 1
+    triple = base[: 3 * n].reshape(n, 3)
+    return acid[(triple[:, 0] * size + triple[:, 1]) * size + triple[:, 2]].tobytes().decode("latin-1")
+
+
 def translate(s: Column, frame: int = 0) -> Column:
     """Protein of a frame (0 to 2); unknown codons are X, stops are dots, an incomplete last codon is left out."""
-    table = F.create_map(*[F.lit(x) for pair in codon_table().items() for x in pair])
-    up = F.translate(s, "acgtumrwsykvhdbn", "ACGTUMRWSYKVHDBN")
-    codons = codons_of(up if frame == 0 else F.substring(up, 1 + frame, 1 << 30))
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
+
+    @F.pandas_udf("string")
+    def protein(own: pd.Series) -> pd.Series:
+        return own.map(lambda x: None if x is None else protein_of(x, frame))
+
+    return protein(s)
 
 
 def six_frames(s: Column) -> Column:
