@@ -16,8 +16,8 @@ from helixframe.llm.webp import decode_many, encode_many
 
 #: Payloads are padded with this byte to a positive multiple of UNIT.
 PAD, UNIT = b"\xff", 576
-#: Bytes of payloads that are coded side by side.
-CHUNK = 1 << 23
+#: Bytes of payloads that are written at once, and of those that are read side by side: reading gains by many images.
+WRITE_CHUNK, CHUNK = 1 << 21, 1 << 23
 
 
 def payload_length(n: int) -> int:
@@ -25,10 +25,10 @@ def payload_length(n: int) -> int:
     return max(UNIT, n + -n % UNIT)
 
 
-def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for k, n in enumerate(sizes):
-        if k > lo and total + n > CHUNK:
+        if k > lo and total + n > most:
             yield lo, k
             lo, total = k, 0
         total += n
@@ -48,7 +48,7 @@ def texts_to_webp(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = pc.binary_length(b.column(1)).to_pylist()
-            for lo, hi in _chunks(sizes):
+            for lo, hi in _chunks(sizes, WRITE_CHUNK):
                 part = b.slice(lo, hi - lo)
                 raw = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
                 files = encode_many([t + PAD * (-len(t) % UNIT if t else UNIT) for t in raw])
@@ -91,7 +91,7 @@ def read_webp(media: DataFrame, column: str = "media") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column(b.num_columns - 1)
-            for lo, hi in _chunks([2 * (n or 0) for n in pc.binary_length(files).to_pylist()]):
+            for lo, hi in _chunks([2 * (n or 0) for n in pc.binary_length(files).to_pylist()], CHUNK):
                 part = b.slice(lo, hi - lo)
                 own = part.column(b.num_columns - 1).to_pylist()
                 found, errors = _read(own)
