@@ -83,7 +83,7 @@ def test_annotation(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("exons", "code"), [
-    ([(120, 200), (300, 400), (500, 580)], "="), ([(150, 200), (300, 380)], "c"), ([(150, 200), (310, 400)], "j"), ([(210, 290)], "i"), ([(110, 190)], "c"), ([(180, 260)], "e"), ([(590, 650)], "o"), ([(700, 800)], "u"),
+    ([(120, 200), (300, 400), (500, 580)], "="), ([(150, 200), (300, 380)], "c"), ([(150, 200), (310, 400)], "j"), ([(210, 290)], "i"), ([(110, 190)], "c"), ([(180, 260)], "e"), ([(590, 650)], "o"), ([(700, 800)], "p"), ([(5000, 5100)], "u"),
 ])
 def test_class_codes(spark, exons, code):
     schema = "tid string, chrom string, strand string, exons array<struct<start:long,end:long>>"
@@ -92,6 +92,14 @@ def test_class_codes(spark, exons, code):
     assert transcripts.best_codes(q, r).first().code == code
 
 
+def test_codes_of_the_other_strand_and_of_repeats(spark):
+    schema = "tid string, chrom string, strand string, exons array<struct<start:long,end:long>>"
+    r = transcripts.with_range(spark.createDataFrame([("R", "c", "-", [(100, 200), (300, 400)])], schema))
+    q = transcripts.with_range(spark.createDataFrame([("s", "c", "+", [(50, 120), (250, 290)]), ("x", "c", "+", [(350, 420)]), ("r", "c", "+", [(9000, 9100)]), ("p", "c", "-", [(10, 60)]), ("u", "d", "-", [(10, 60)])], schema))
+    masked = spark.createDataFrame([("r", 0.6), ("u", 0.4), ("x", 0.9)], "tid string, share double")
+    assert {x.tid: x.code for x in transcripts.best_codes(q, r, masked).collect()} == {"s": "s", "x": "x", "r": "r", "p": "p", "u": "u"}
+
+
 def test_hits(spark):
     h = spark.createDataFrame([("q", 100, 1, 90, "h", 120, 11, 100, 95.0, 80.0), ("s", 100, 1, 90, "s", 100, 1, 90, 99.0, 90.0), ("m", 50, 45, 6, "h", 120, 1, 40, 90.0, 70.0)], "q_name string, q_len long, q5 long, q3 long, h_name string, h_len long, h5 long, h3 long, pid double, score double")
     m = {r.q_name: r for r in hits.with_metrics(h).collect()}
