@@ -117,10 +117,10 @@ def _meeting(private: DataFrame, percent: int) -> DataFrame:
     only by members that have hardly anything else of their own; those are
     alike enough to be in one component by then.
     """
-    # one leader may have a large share of all members
+    # one leader may have a large share of all members; copies of a row per leader are more than the planner takes them for
     part = F.pmod(F.xxhash64("a"), F.lit(PARTS))
     # enough shared shingles of their own means a shared one among each side's rarest: all but as many as must be shared, less one
-    least = private.groupBy("lead").agg(F.min("n").alias("least_n")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    least = private.groupBy("lead").agg(F.min("n").alias("least_n")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).hint("merge")
     owned = private.withColumn("part", part).join(least, ["lead", "part"]).drop("part")
     share = F.ceil(percent * (F.col("n") + F.greatest(F.col("least_n"), F.col("n") * percent / 100)) / (100 + percent)) - F.col("both")
     rows = owned.select("lead", "a", "g", (F.size("own") - F.greatest(share, F.lit(1)) + 1).alias("reach"), F.expr(f"{percent} * (n + m) > {100 + percent} * both").alias("far"), F.explode("own").alias("s"))
@@ -155,7 +155,7 @@ def _across(entries: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
     far = private.where(f"{percent} * (n + m) > {100 + percent} * both")
     near = private.where("n < m").select("lead", F.col("a").alias("b"), F.col("g").alias("h"), F.col("n").alias("k"), F.col("both").alias("i"))
     part = F.pmod(F.xxhash64("a"), F.lit(PARTS))
-    smallest = near.groupBy("lead").agg(F.min("k").alias("least_k")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    smallest = near.groupBy("lead").agg(F.min("k").alias("least_k")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).hint("merge")
     far = far.withColumn("part", part).join(smallest, ["lead", "part"]).drop("part").where(f"{percent} * (n + least_k) <= {100 + percent} * both")
     direct = far.join(near, "lead").where("a <> b and g <> h and " + need + "least(both, i)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return sharing.unionAll(direct).distinct()
