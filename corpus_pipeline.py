@@ -8,7 +8,8 @@ pieces of sequences.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from helixframe.llm.decontaminate import contaminated
@@ -25,10 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Rows without doc_id stay; of rows that share one, the first text stays."""
+    """One document of each group stays: the one with the smallest doc_id. Rows without doc_id stay; of rows that share one, the text that sorts first stays (a null before all)."""
     ship(spark)
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    place = "_place"
+    while place in map(str.lower, docs.columns):
+        place += "_"
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = docs.where("doc_id is not null").withColumn(place, first).where(F.col(place) == 1).drop(place).unionByName(docs.where("doc_id is null"))
     return once.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
