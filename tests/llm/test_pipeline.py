@@ -56,3 +56,5 @@ def test_run_and_empty(spark, tmp_path):
     odd = spark.createDataFrame([(None, "a b c d e f", None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0)], schema)
     kept = P.near_duplicate(spark, odd, SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    twice = spark.createDataFrame([(1, "b b b", "en", "s", 5), (1, "a a a", "en", "s", 5), (1, "c c c", "en", "s", 5)], schema)
+    assert [r.text for r in P.near_duplicate(spark, twice, SF).collect()] == ["a a a"]
