@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.llm.decontaminate import contaminated
 from helixframe.llm.langid import identify_languages
 from helixframe.llm.media import media_digests
 from helixframe.llm.neardup import near_duplicates
+from helixframe.llm.negatives import mine_negatives
 from helixframe.llm.packing import pack
 from helixframe.llm.pii import find_personal_data
 from helixframe.llm.quality import score_quality
@@ -104,3 +106,27 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return mine_negatives(turned, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_four_russians_negatives"] = """
+WITH rows_of AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+pairs AS MATERIALIZED (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, a.label AS own, b.k, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows_of a JOIN rows_of b ON a.vec_id % 100 = 0 AND a.k <> b.k),
+positives AS (
+  SELECT anchor, anchor_id, own, k AS pos, vec_id AS positive_id, score AS positive_score FROM pairs WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor, pos ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor = p.anchor AND n.label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
