@@ -17,6 +17,7 @@ from helixframe.llm.packing import pack
 from helixframe.llm.pii import find_personal_data
 from helixframe.llm.quality import score_quality
 from helixframe.llm.secrets import find_secrets
+from helixframe.llm.simhash import near_duplicates_by_fingerprint
 from helixframe.llm.tokencount import count_tokens
 from helixframe.llm.urlfilter import PATTERNS, filter_urls, listed_rule
 from helixframe.storage import ship
@@ -130,3 +131,8 @@ SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor, pos O
 FROM positives p JOIN pairs n ON n.anchor = p.anchor AND n.label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY rank <= 5
 """
+
+
+@query
+def op12_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_by_fingerprint(table(spark, sf_dir, "documents"))
