@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.decontaminate import contaminated
 from helixframe.llm.langid import identify_languages
+from helixframe.llm.lexical import rank_documents
 from helixframe.llm.media import media_digests
 from helixframe.llm.neardup import near_duplicates
 from helixframe.llm.negatives import mine_negatives
@@ -136,3 +137,28 @@ QUALIFY rank <= 5
 @query
 def op12_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates_by_fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_range_maximum_search"] = r"""
+WITH item_terms AS (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)) GROUP BY ALL),
+doc_terms AS MATERIALIZED (
+  SELECT doc, doc_id, term, count(*) AS tf FROM (
+    SELECT doc, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS doc, doc_id, text FROM documents)) GROUP BY ALL),
+sizes AS (SELECT doc, sum(tf)::BIGINT AS n FROM doc_terms GROUP BY doc),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM doc_terms, total WHERE term IN (SELECT term FROM item_terms) GROUP BY term, docs),
+impacts AS (
+  SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len))) AS impact
+  FROM doc_terms JOIN weights USING (term) JOIN sizes USING (doc), total),
+scored AS (SELECT item, item_id, doc, doc_id, sum(times * impact)::BIGINT AS score FROM item_terms JOIN impacts USING (term) GROUP BY ALL HAVING sum(times * impact) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored QUALIFY rank <= 20
+"""
