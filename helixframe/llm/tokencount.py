@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.storage import materialize
@@ -17,8 +17,8 @@ from helixframe.storage import materialize
 FLUSH, FLUSH_CHARS = 300_000, 1 << 26
 #: Rows, and characters of pre-tokens, that are handed on at once.
 ROWS, ROW_CHARS = 100_000, 1 << 24
-#: Frequencies from here on count as one when the frequent pre-tokens are chosen.
-TOP_FREQUENCY = 1 << 16
+#: The frequent pre-tokens are chosen by steps of frequency, so many to an octave, and those of one step by so many buckets.
+STEPS, BUCKETS = 4, 1024
 
 _PLAIN = re.compile(r"  |▁| \n|^ ")
 _RUN = re.compile(r"(?:▁+|\n)[^▁\n]*")
@@ -56,6 +56,31 @@ def count_pieces(words: list[str], path: str) -> list[int]:
     """Pieces of each pre-token. A newline stretch is counted behind the library's own blank, which is one piece."""
     found = _model(path).encode(words, num_threads=1)
     return [1 if not w else len(ids) - 1 if w[0] == "\n" else len(ids) for w, ids in zip(words, found, strict=True)]
+def most_frequent(counts: DataFrame, frequent: int, frequent_bytes: int) -> Column:
+    """Condition that holds for the most frequent rows of ``pretoken, freq``: at most ``frequent``, and ``frequent_bytes`` of text.
+
+    Frequencies come in steps of a quarter of an octave, whatever their size;
+    the first step that does not fit as a whole is filled by buckets of a hash.
+    The driver sees a row per step and per bucket of that step.
+    """
+    step, bucket = F.floor(STEPS * F.log2("freq")), F.pmod(F.xxhash64("pretoken"), F.lit(BUCKETS))
+    n, size = 0, 0
+
+    def fits(by: Column, rows: DataFrame, down: bool) -> int | None:
+        """Takes what fits, in order; returns the first that does not."""
+        nonlocal n, size
+        found = rows.groupBy(by.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("pretoken")).alias("b")).collect()
+        for s in sorted(found, reverse=down):
+            if n + s.n > frequent or size + s.b > frequent_bytes:
+                return s["at"]
+            n, size = n + s.n, size + s.b
+        return None
+
+    short = fits(step, counts, True)
+    if short is None:
+        return F.lit(True)
+    last = fits(bucket, counts.where(step == short), False)
+    return (step > short) | ((step == short) & (bucket < last))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, frequent: int = 1 << 18, frequent_bytes: int = 1 << 25) -> DataFrame:
@@ -99,15 +124,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, frequent: int =
     distinct = source.select("doc_id", "text").mapInArrow(local, "pretoken string, freq long").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
     counts = materialize(distinct.mapInArrow(pieces, "pretoken string, freq long, n int"), "pieces")
 
-    # the lowest frequency at which the frequent pre-tokens stay within their bounds
-    steps = counts.groupBy(F.least("freq", F.lit(TOP_FREQUENCY)).alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("pretoken")).alias("b")).collect()
-    least, n, size = TOP_FREQUENCY + 1, 0, 0
-    for s in sorted(steps, reverse=True):
-        n, size = n + s.n, size + s.b
-        if n > frequent or size > frequent_bytes:
-            break
-        least = s.f
-    hot = F.least("freq", F.lit(TOP_FREQUENCY)) >= least
+    hot = most_frequent(counts, frequent, frequent_bytes)
     top = counts.where(hot).select("pretoken", "n").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 

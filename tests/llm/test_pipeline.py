@@ -56,5 +56,21 @@ def test_run_and_empty(spark, tmp_path):
     odd = spark.createDataFrame([(None, "a b c d e f", None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0)], schema)
     kept = P.near_duplicate(spark, odd, SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
-    twice = spark.createDataFrame([(1, "b b b", "en", "s", 5), (1, "a a a", "en", "s", 5), (1, "c c c", "en", "s", 5)], schema)
-    assert [r.text for r in P.near_duplicate(spark, twice, SF).collect()] == ["a a a"]
+    twice = spark.createDataFrame([(1, "b b b", "en", "s", 5), (1, "a a a", "en", "s", 5), (1, "a a a", "en", "s", 5), (2, "a a a", "en", "s", 5)], schema)
+    assert sorted(r.text for r in P.near_duplicate(spark, twice, SF).collect()) == ["a a a", "b b b"]
+
+
+def test_rows_without_doc_id(spark):
+    """They are told apart, deduplicated and decontaminated like others."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    passage = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    rows = [(None, "p q r s t u v w"), (None, "p q r s t u v w"), (None, "quite another text of six words"), (7, "P q r s t u v w"), (None, None), (None, None), (8, "one text of five words here"), (8, "none of those words in it")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema).withColumn("_row", F.lit(1))
+    kept = P.near_duplicate(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == sorted([("7", rows[3][1]), ("None", rows[2][1]), ("8", rows[6][1]), ("8", rows[7][1])])
+    assert kept.where("text is null").count() == 2
+    leaks = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in [(None, f"before {passage} after"), (5, f"x {passage}"), (5, "clean text"), (None, "clean as well"), (None, None), (None, "")]], schema).withColumn("_text", F.lit(1))
+    clean = P.decontamination(spark, leaks, SF)
+    assert clean.columns == leaks.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == sorted([("5", "clean text"), ("None", "clean as well"), ("None", "None"), ("None", "")])

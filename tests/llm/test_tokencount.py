@@ -41,3 +41,22 @@ def test_flushes_by_size(spark, monkeypatch):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     assert got == {r.doc_id: len(sp.encode(r.text)) for r in docs.collect()}
+
+
+def test_the_most_frequent_are_held_whatever_their_frequency(spark):
+    """Very high and equal frequencies: as many as fit are chosen."""
+    for freq in (7, 1 << 16, 10**15):
+        df = spark.createDataFrame([(f"w{i}", freq) for i in range(10)] + [("rare", 1)], "pretoken string, freq long")
+        assert df.where(tokencount.most_frequent(df, 3, 1 << 20)).count() == 3
+        assert df.where(tokencount.most_frequent(df, 10, 1 << 20)).count() == 10
+        assert df.where(tokencount.most_frequent(df, 100, 1 << 20)).count() == 11
+        assert df.where(tokencount.most_frequent(df, 100, 7)).count() == 3
+    rising = spark.createDataFrame([(f"w{i}", 2**i) for i in range(60)], "pretoken string, freq long")
+    assert sorted(int(r.pretoken[1:]) for r in rising.where(tokencount.most_frequent(rising, 5, 1 << 20)).collect()) == [55, 56, 57, 58, 59]
+    assert rising.where(tokencount.most_frequent(rising, 0, 1 << 20)).count() == 0
+    assert rising.limit(0).where(tokencount.most_frequent(rising.limit(0), 3, 3)).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 3, "x", 9)], "doc_id long, text string, freq int, pretoken string, row int")
+    assert [(r.doc_id, r.n_tokens) for r in count_tokens(df, PATH).collect()] == [(1, brute(["a b"])[0])]
