@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from helixframe.plans import alignment_queries, annotation_queries, extra_queries, format_queries, interval_queries, model_queries, relational_queries, sequence_queries, transcript_queries  # noqa: E402, F401
+from helixframe.plans import alignment_queries, annotation_queries, assembly_queries, extra_queries, format_queries, interval_queries, model_queries, relational_queries, sequence_queries, transcript_queries  # noqa: E402, F401
