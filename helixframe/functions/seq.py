@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The IUPAC codes and their complements.
-IUPAC = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn"
-COMPLEMENT = "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
+# The IUPAC codes, masked bases (X), gaps, and their complements.
+IUPAC = "ACGTUMRWSYKVHDBNXacgtumrwsykvhdbnx*-"
+COMPLEMENT = "TGCAAKYWSRMBDHVNXtgcaakywsrmbdhvnx*-"
 
 BASES = "TCAG"
 # The standard genetic code in TCAG order; a stop is a dot.
@@ -41,7 +41,7 @@ def codon_table() -> dict[str, str]:
 
 
 def complement(s: Column) -> Column:
-    """Base by base; what is no IUPAC code becomes N."""
+    """Base by base; masked bases and gaps stay, and what is no IUPAC code becomes N."""
     return F.translate(F.regexp_replace(s, f"[^{IUPAC}]", "N"), IUPAC, COMPLEMENT)
 
 
@@ -195,8 +195,17 @@ def phred_base(low: Column, high: Column) -> Column:
 
 
 def percent_decode(s: Column) -> Column:
-    """%xx decoded; a plus stays a plus."""
-    return F.url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))
+    """%xx of printable ASCII characters decoded, a semicolon as a dot, since it would part attributes.
+
+    Blanks, control characters, bytes beyond ASCII and bad escapes stay as they are.
+    """
+    parts = F.regexp_extract_all(s, F.lit("(%[0-9A-Fa-f]{2}|[^%]+|%)"), 1)
+
+    def plain(x: Column) -> Column:
+        code = F.conv(F.substring(x, 2, 2), 16, 10).cast("int")
+        return F.when(x.rlike("^%[0-9A-Fa-f]{2}$") & code.between(33, 127), F.when(code == 59, ".").otherwise(F.char(code))).otherwise(x)
+
+    return F.array_join(F.transform(parts, plain), "")
 
 
 def cigar_ops(cigar: Column) -> Column:

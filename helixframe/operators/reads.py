@@ -20,12 +20,20 @@ def has(flag: Column, bit: int) -> Column:
 
 
 def flagstat(df: DataFrame) -> DataFrame:
-    """Counts of alignments by flag, one row for those that passed quality control and one for those that failed."""
+    """Counts of alignments ``flag, hit, mate_hit, mapq``, one row for those that passed quality control and one for those that failed.
+
+    All counts of mates are of paired alignments only. ``elsewhere``: both
+    mapped, to different references; ``elsewhere_sure``: those of mapping
+    quality 5 or more.
+    """
     f = F.col("flag")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    paired, mapped = has(f, PAIRED), ~has(f, UNMAPPED)
+    both = paired & mapped & ~has(f, MATE_UNMAPPED)
+    elsewhere = both & ~F.col("hit").eqNullSafe(F.col("mate_hit"))
     return df.groupBy(has(f, FAILED).alias("failed")).agg(
-        F.count(F.lit(1)).alias("total"), n(has(f, DUPLICATE)).alias("duplicates"), n(~has(f, UNMAPPED)).alias("mapped"), n(has(f, PAIRED)).alias("paired"), n(has(f, READ1)).alias("read1"), n(has(f, READ2)).alias("read2"),
-        n(has(f, PROPER)).alias("proper"), n(has(f, SECONDARY)).alias("secondary"), n(has(f, REVERSE)).alias("reverse"), n(f.bitwiseAND(F.lit(PAIRED | UNMAPPED | MATE_UNMAPPED)) == (PAIRED | MATE_UNMAPPED)).alias("singletons"),
+        F.count(F.lit(1)).alias("total"), n(has(f, DUPLICATE)).alias("duplicates"), n(mapped).alias("mapped"), n(paired).alias("paired"), n(paired & has(f, READ1)).alias("read1"), n(paired & has(f, READ2)).alias("read2"),
+        n(paired & has(f, PROPER)).alias("proper"), n(both).alias("both_mapped"), n(paired & mapped & has(f, MATE_UNMAPPED)).alias("singletons"), n(elsewhere).alias("elsewhere"), n(elsewhere & (F.col("mapq") >= 5)).alias("elsewhere_sure"),
     )
 
 
@@ -35,9 +43,8 @@ def sam_filter(df: DataFrame, least_mapq: int = 0, required: int = 0, excluded:
 
 
 def subsample(df: DataFrame, name: str, fraction: float, seed: int = 0) -> DataFrame:
-    """The same reads of a name every time: the lower 24 bits of its hash (``seq.x31``), changed by the seed, against the fraction."""
-    h = seq.x31(F.col(name)).bitwiseXOR(F.lit(seed).cast("long")).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
-    return df.where(h / float(1 << 24) < fraction)
+    """The same reads of a name every time: its hash (``seq.x31``) and the seed, modulo 1024, against the fraction."""
+    return df.where(F.pmod(seq.x31(F.col(name)) + F.lit(seed), F.lit(1024)) / 1024.0 < fraction)
 
 
 def remove_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from helixframe.operators.graph import connected_components
 from helixframe.operators.intervals import islands, number_islands, overlap_join
 from helixframe.storage import materialize
 
-#: Positions that a single exon may stick out of the exon that contains it, and least bases into an intron.
-EDGE, INTO_INTRON = 8, 10
+#: A single exon sticks out of the exon that contains it by less than this; bases of an intron that count; a contained model's ends lie in introns by less than this.
+EDGE, INTO_INTRON, OVERHANG = 8, 10, 4
 
 
 def assemble(exons: DataFrame) -> DataFrame:
@@ -54,40 +54,41 @@ def exon_overlap(a: Column, b: Column) -> Column:
 
 
 def class_code(q: Column, r: Column, overlap: Column) -> Column:
-    """How a query lies to a reference on one strand (null if they do not overlap):
-
-    = same introns (single exons: 80 % of the longer shared); c contained, with
-    a part of the introns; j shares a splice site; e single exon that reaches
-    into an intron; i within an intron; o other overlap. ``overlap`` is the
-    number of exonic bases that they share.
+    """How a query lies to a reference on one strand (null if they do not overlap). ``overlap``: exonic bases that they share.
+
+    Single exons: = if they share 80 % of the longer, c if they share 80 % of
+    a shorter query, else o. A single exon beside a model: c within an exon
+    (fewer than ``EDGE`` positions may stick out), i within an intron, e if it
+    has ``INTO_INTRON`` bases of an intron and over as many outside of it, else
+    o. A model: i within an intron; = the same introns; c a run of the
+    reference's introns, with fewer than ``OVERHANG`` positions beyond the
+    exons beside them into introns; j shares a splice site; else o.
     """
     qi, ri = introns(q), introns(r)
     q_start, q_end = q[0]["start"], F.element_at(q, -1)["end"]
     r_start, r_end = r[0]["start"], F.element_at(r, -1)["end"]
-    q_len = length(q)
+    q_len, r_len = length(q), length(r)
     single_q, single_r = F.size(q) == 1, F.size(r) == 1
     q_chain, r_chain = chain(q), chain(r)
     shared = F.exists(qi, lambda x: F.exists(ri, lambda y: (x["start"] == y["start"]) | (x["end"] == y["end"])))
-    # the query's introns are a run of the reference's, and its ends stay within the neighbouring exons
-    part = (~single_q) & F.concat(F.lit(","), r_chain, F.lit(",")).contains(F.concat(F.lit(","), q_chain, F.lit(",")))
+    part = F.concat(F.lit(","), r_chain, F.lit(",")).contains(F.concat(F.lit(","), q_chain, F.lit(",")))
     first_exon = F.filter(r, lambda y: y["end"] == q[0]["end"])[0]
     last_exon = F.filter(r, lambda y: y["start"] == F.element_at(q, -1)["start"])[0]
-    held = part & (q_start >= first_exon["start"] - 4) & (q_end <= last_exon["end"] + 4)
+    left = (first_exon["start"] == r_start) | (first_exon["start"] - q_start < OVERHANG)
+    right = (last_exon["end"] == r_end) | (q_end - last_exon["end"] < OVERHANG)
     in_intron = F.exists(ri, lambda y: (q_start >= y["start"]) & (q_end <= y["end"]))
-    in_exon = F.exists(r, lambda y: (q_start >= y["start"] - EDGE) & (q_end <= y["end"] + EDGE))
-    into = F.exists(ri, lambda y: F.least(q_end, y["end"]) - F.greatest(q_start, y["start"]) + 1 >= INTO_INTRON)
-    apart = (q_start > r_end) | (q_end < r_start)
+    in_exon = F.exists(r, lambda y: (q_start > y["start"] - EDGE) & (q_end < y["end"] + EDGE))
+    inside = lambda y: F.least(q_end, y["end"]) - F.greatest(q_start, y["start"]) + 1
+    into = F.exists(ri, lambda y: (inside(y) >= INTO_INTRON) & (q_end - q_start + 1 > inside(y) + INTO_INTRON))
     return (
-        F.when(apart, F.lit(None))
-        .when((~single_q) & (q_chain == r_chain), "=")
-        .when(single_q & single_r & (overlap >= 0.8 * F.greatest(q_len, length(r))), "=")
-        .when(held, "c")
+        F.when((q_start > r_end) | (q_end < r_start), F.lit(None))
+        .when(single_q & single_r, F.when(overlap >= 0.8 * F.greatest(q_len, r_len), "=").when((q_len < r_len) & (overlap >= 0.8 * q_len), "c").otherwise("o"))
+        .when(single_q, F.when(in_exon, "c").when(in_intron, "i").when(into, "e").otherwise("o"))
         .when(in_intron, "i")
-        .when(single_q & in_exon, "c")
-        .when(single_q & into & (overlap > 0) & (q_len > overlap + INTO_INTRON), "e")
+        .when(q_chain == r_chain, "=")
+        .when(part & left & right, "c")
         .when(shared, "j")
-        .when(overlap > 0, "o")
-        .otherwise(F.lit("i"))
+        .otherwise("o")
     )
 
 

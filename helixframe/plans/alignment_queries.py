@@ -191,7 +191,7 @@ def interleaved_mates(spark, d):
     return number_rows(both, [], ["id", "mate", "seq"]).select("id", "mate", "seq", "place")
 
 
-@register("subsampled_reads", f"""WITH {SAM}, n AS (SELECT qname, line, 'read' || qname AS name FROM sam), h AS (SELECT qname, line, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM n) SELECT qname, line FROM h WHERE (xor(h, 11) & 16777215) / 16777216.0::DOUBLE < 0.3""")
+@register("subsampled_reads", f"""WITH {SAM}, n AS (SELECT qname, line, 'read' || qname AS name FROM sam), h AS (SELECT qname, line, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM n) SELECT qname, line FROM h WHERE ((h + 11) % 1024) / 1024.0::DOUBLE < 0.3""")
 def subsampled_reads(spark, d):
     """A share of the reads by name, mates together (a sampling operator)."""
     s = sam(spark, d).withColumn("name", F.concat(F.lit("read"), "qname"))

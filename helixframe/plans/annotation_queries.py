@@ -30,14 +30,15 @@ def isoform_fraction(spark, d):
     return m.where(F.col("value") >= 0.3 * F.col("top")).select("id")
 
 
-@register("pair_filter", f"""WITH {IV}, m AS (SELECT a.id, b.id AS id2, b."start" - a."end" AS insert FROM (SELECT * FROM iv WHERE strand = 'view') a JOIN (SELECT * FROM iv WHERE strand = 'click') b ON a.chrom = b.chrom AND a.id + 1 = b.id)
-SELECT id, id2, insert FROM m WHERE insert BETWEEN -2000000 AND 2000000""")
+@register("pair_filter", f"""WITH {IV}, m AS (SELECT a.id, b.id AS id2, b."start" - a."end" AS insert FROM (SELECT * FROM iv WHERE strand = 'view') a JOIN (SELECT * FROM iv WHERE strand = 'click') b ON a.chrom = b.chrom)
+SELECT id, id2, insert FROM m WHERE insert BETWEEN 0 AND 200000""")
 def pair_filter(spark, d):
     """Mates on one reference, in facing orientation, within a distance window."""
     a = intervals(spark, d)
-    b = a.where("strand = 'click'").select("chrom", F.col("id").alias("id2"), F.col("start").alias("start2"))
-    m = a.where("strand = 'view'").join(b.withColumn("id", F.col("id2") - 1), ["chrom", "id"])
-    return m.select("id", "id2", (F.col("start2") - F.col("end")).alias("insert")).where("insert between -2000000 and 2000000")
+    b = a.where("strand = 'click'").select("chrom", F.col("id").alias("id2"), F.col("start").alias("start2"), (F.col("start") + 0).alias("end2"))
+    # a mate begins at most 200,000 positions behind the end
+    reach = a.where("strand = 'view'").select("chrom", "id", F.col("end").alias("start"), (F.col("end") + 200000).alias("end"))
+    return iv.overlap_join(reach, b).select("id", "id2", (F.col("start2") - F.col("start")).alias("insert"))
 
 
 @register("reduce_references", f"""WITH {IV} SELECT count(*) AS n FROM iv r WHERE strand = 'signup' AND EXISTS (SELECT 1 FROM iv q WHERE q.strand <> 'signup' AND q.chrom = r.chrom AND q."start" <= r."end" AND r."start" <= q."end")""")

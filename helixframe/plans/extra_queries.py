@@ -155,7 +155,7 @@ def largest_drops(spark, d):
     return iv.largest_drop(intervals(spark, d), 3600, 0.5).select("chrom", "pos", F.round("drop", 6).alias("drop"))
 
 
-@register("fuzzy_exon_matches", f"""WITH {TX}, q AS (SELECT DISTINCT chrom, strand, "start" AS s, "end" AS e FROM exons WHERE tid % 2 = 0), r AS (SELECT DISTINCT chrom, strand, "start" AS s, "end" AS e FROM exons WHERE tid % 2 = 1), m AS (SELECT q.chrom, q.strand, q.s, q.e, r.s AS s2, r.e AS e2 FROM q JOIN r ON q.chrom = r.chrom AND q.strand = r.strand AND abs(q.s - r.s) <= 5 AND abs(q.e - r.e) <= 5)
+@register("fuzzy_exon_matches", f"""WITH {TX}, q AS (SELECT DISTINCT chrom, strand, "start" AS s, "end" AS e FROM exons WHERE tid // 400 % 2 = 0), r AS (SELECT DISTINCT chrom, strand, "start" AS s, "end" AS e FROM exons WHERE tid // 400 % 2 = 1), m AS (SELECT q.chrom, q.strand, q.s, q.e, r.s AS s2, r.e AS e2 FROM q JOIN r ON q.chrom = r.chrom AND q.strand = r.strand AND abs(q.s - r.s) <= 5 AND abs(q.e - r.e) <= 5)
 SELECT (SELECT count(*) FROM q) AS query, (SELECT count(*) FROM r) AS reference, (SELECT count(*) FROM (SELECT DISTINCT chrom, strand, s, e FROM m)) AS query_matched, (SELECT count(*) FROM (SELECT DISTINCT chrom, strand, s2, e2 FROM m)) AS reference_matched""")
 def fuzzy_exon_matches(spark, d):
     """Exons that agree with one of the other set but for five positions."""

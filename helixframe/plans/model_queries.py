@@ -35,11 +35,12 @@ def better_duplicates(spark, d):
     return models.better_of_duplicates(_transcripts(spark, d))
 
 
-@register("redundant_models", f"""WITH {MODEL}, p AS (SELECT a.tid, b.tid AS tid2, b.len AS len2 FROM model a JOIN model b ON a.chrom = b.chrom AND a.strand = b.strand AND a.s <= b.e AND b.s <= a.e AND a.tid <> b.tid
-WHERE (b.len > a.len OR b.len = a.len AND b.tid < a.tid) AND (a.chain <> '' AND contains(',' || b.chain || ',', ',' || a.chain || ',') AND a.s >= b.s AND a.e <= b.e OR a.chain = '' AND b.chain = '' AND least(a.e, b.e) - greatest(a.s, b.s) + 1 >= 0.8::DOUBLE * least(a.len, b.len)))
-SELECT tid, tid2 AS keeper FROM p QUALIFY row_number() OVER (PARTITION BY tid ORDER BY len2 DESC, tid2) = 1""")
+@register("redundant_models", f"""WITH {MODEL}, x AS (SELECT tid, min("end") OVER (PARTITION BY tid) AS first_end, max("start") OVER (PARTITION BY tid) AS last_start FROM exons), m AS (SELECT model.*, first_end, last_start FROM model JOIN (SELECT DISTINCT tid, first_end, last_start FROM x) USING (tid)),
+p AS (SELECT a.tid, b.tid AS tid2, b.n AS n2, b.len AS len2, a.n, a.s, a.e, a.chain, b.chain AS chain2, b.s AS s2, b.e AS e2, a.first_end, a.last_start FROM m a JOIN m b ON a.chrom = b.chrom AND a.strand = b.strand AND a.s < b.e AND b.s < a.e AND a.tid <> b.tid AND (b.n > a.n OR b.n = a.n AND (b.len > a.len OR b.len = a.len AND b.tid < a.tid)) AND b.s <= a.s AND b.e >= a.e),
+k AS (SELECT p.tid, tid2, n2, len2 FROM p JOIN exons y ON y.tid = tid2 GROUP BY ALL HAVING CASE WHEN any_value(n) = 1 THEN bool_or(y."start" <= s AND y."end" >= e) ELSE any_value(contains(',' || chain2 || ',', ',' || chain || ',')) AND bool_or(y."end" = first_end AND y."start" <= s) AND bool_or(y."start" = last_start AND y."end" >= e) END)
+SELECT tid, tid2 AS keeper FROM k QUALIFY row_number() OVER (PARTITION BY tid ORDER BY n2 DESC, len2 DESC, tid2) = 1""")
 def redundant_models(spark, d):
-    """Models whose introns are a run of a larger one's, or whose single exon mostly lies in another."""
+    """Models that lie in a bigger one without reaching into its introns."""
     return models.redundant(_transcripts(spark, d))
 
 
@@ -109,24 +110,33 @@ def common_within_one(spark, d):
     return models.match_join(a, b, 1, ["k"]).select("k", "pos", "pos2")
 
 
+#: A model on each record of 90 bases or more: three exons, the last one to the record's end; n is its length.
 _GENOME = """g AS (SELECT doc_id, doc_id % 2 AS side, regexp_replace(translate(text, 'acgtnoiesr', 'ACGTNACGTA'), '[^ACGTN]', '', 'g') AS s FROM documents),
-gm AS (SELECT doc_id, CASE WHEN side = 0 THEN '+' ELSE '-' END AS strand, s FROM g WHERE length(s) >= 90)"""
+gm AS (SELECT doc_id, CASE WHEN side = 0 THEN '+' ELSE '-' END AS strand, s, length(s) AS n, length(s) // 3 AS a, length(s) // 2 AS b, 2 * length(s) // 3 AS c, 2 * length(s) // 3 + 5 + doc_id % 7 AS z FROM g WHERE length(s) >= 90)"""
 
 
 def _genes(spark, d):
-    """A model of two exons on each record of 90 bases or more."""
+    """Three exons over the whole of each record of 90 bases or more: to a third, from the half to two thirds, and from 5 to 11 bases behind to the end."""
     s = F.regexp_replace(F.translate(F.col("text"), "acgtnoiesr", "ACGTNACGTA"), "[^ACGTN]", "")
-    block = lambda a, b: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"))
     rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), s.alias("genome")).where("length(genome) >= 90")
-    return rows.withColumn("genome", F.substring("genome", 1, 120)).withColumn("exons", F.array(block(1, 30), block(61, 90)))
+    n = F.length("genome")
+    block = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    third = F.floor(2 * n / 3)
+    return rows.withColumn("exons", F.array(block(F.lit(1), F.floor(n / 3)), block(F.floor(n / 2), third), block(third + 5 + F.col("doc_id") % 7, n)))
 
 
-@register("canonical_splice_only", f"""WITH {_GENOME}, p AS (SELECT doc_id, CASE WHEN strand = '+' THEN substr(s, 31, 2) || substr(s, 59, 2) ELSE reverse(translate(substr(s, 31, 2) || substr(s, 59, 2), 'ACGTN', 'TGCAN')) END AS p FROM gm) SELECT doc_id FROM p WHERE p IN ('GTAG', 'GCAG', 'ATAC')""")
+@register("canonical_splice_only", f"""WITH {_GENOME}, i AS (SELECT doc_id, strand, unnest([substr(s, a + 1, 2) || substr(s, b - 2, 2), substr(s, c + 1, 2) || substr(s, z - 2, 2)]) AS p FROM gm),
+t AS (SELECT doc_id, CASE WHEN strand = '+' THEN p ELSE reverse(translate(p, 'ACGTN', 'TGCAN')) END AS p FROM i) SELECT doc_id, count(*) FILTER (p IN ('GTAG', 'GCAG', 'ATAC')) AS canonical, bool_and(p IN ('GTAG', 'GCAG', 'ATAC')) AS every FROM t GROUP BY doc_id""")
 def canonical_splice_only(spark, d):
-    return models.canonical_only(_genes(spark, d)).select("doc_id")
+    """How many introns of each model have canonical ends, and whether all have."""
+    genes = _genes(spark, d)
+    pairs = models.splice_pairs(F.col("genome"), F.col("exons"), F.col("strand"))
+    every = models.canonical_only(genes).select("doc_id", F.lit(True).alias("every"))
+    counted = genes.select("doc_id", F.size(F.filter(pairs, lambda p: seq.canonical_splice(p["donor"], p["acceptor"]))).cast("long").alias("canonical"))
+    return counted.join(every, "doc_id", "left").select("doc_id", "canonical", F.coalesce("every", F.lit(False)).alias("every"))
 
 
-@register("spliced_sequences", f"WITH {_GENOME} SELECT doc_id, CASE WHEN strand = '+' THEN substr(s, 1, 30) || substr(s, 61, 30) ELSE reverse(translate(substr(s, 1, 30) || substr(s, 61, 30), 'ACGTN', 'TGCAN')) END AS spliced FROM gm")
+@register("spliced_sequences", f"WITH {_GENOME}, j AS (SELECT doc_id, strand, substr(s, 1, a) || substr(s, b, c - b + 1) || substr(s, z) AS p FROM gm) SELECT doc_id, CASE WHEN strand = '+' THEN p ELSE reverse(translate(p, 'ACGTN', 'TGCAN')) END AS spliced FROM j")
 def spliced_sequences(spark, d):
     return _genes(spark, d).select("doc_id", seq.splice(F.col("genome"), F.col("exons"), F.col("strand")).alias("spliced"))
 
@@ -209,10 +219,11 @@ def reads_by_name(spark, d):
     return number_rows(r, [], ["name", "turn"]).select("conv_id", "turn", "place")
 
 
-@register("single_hit_probes", f"""WITH {IV}, m AS (SELECT chrom, count(*) AS n FROM iv GROUP BY chrom HAVING count(*) = 1) SELECT chrom FROM m""")
+@register("single_hit_probes", """WITH h AS (SELECT DISTINCT l_orderkey AS probe, l_suppkey % 50 AS hit FROM lineitem) SELECT probe, min(hit) AS hit FROM h GROUP BY probe HAVING count(*) = 1""")
 def single_hit_probes(spark, d):
-    """Probes with a single hit, their own."""
-    return intervals(spark, d).groupBy("chrom").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("chrom")
+    """Probes all of whose hits are one sequence."""
+    h = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("probe"), (F.col("l_suppkey") % 50).alias("hit"))
+    return h.groupBy("probe").agg(F.min("hit").alias("hit"), F.max("hit").alias("last")).where("hit = last").drop("last")
 
 
 @register("signal_islands", f"""WITH {IV}, r AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY "start", "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv WHERE value >= 5), n AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach + 600 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY "start", "end", id ROWS UNBOUNDED PRECEDING) AS k FROM r)

@@ -1,5 +1,7 @@
 """Keyed record operators over the star tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from helixframe.operators import relational as rel
@@ -44,10 +46,11 @@ def semi_join_versions(spark, d):
     return rel.semi(e, names, "name", ignore_version=True).select("event_id")
 
 
-@register("anti_join", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@register("anti_join", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
 def anti_join(spark, d):
+    """Customers without a large order."""
     left, right = _sides(spark, d)
-    return rel.anti(left, right, "k").select("k")
+    return rel.anti(left, right.where("price > 400000"), "k").select("k")
 
 
 @register("lookup_first", "SELECT c_custkey AS k, min(o_orderkey) AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0 GROUP BY c_custkey")
@@ -150,14 +153,20 @@ def contig_rollup(spark, d):
     return e.rollup("event_type", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).alias("bases"))
 
 
-FLAGS = [("duplicates", 1024), ("mapped", None), ("paired", 1), ("read1", 64), ("read2", 128), ("proper", 2), ("secondary", 256), ("reverse", 16)]
+#: Counters of alignments and when each counts.
+FLAGS = {
+    "duplicates": "flag & 1024 > 0", "mapped": "flag & 4 = 0", "paired": "flag & 1 > 0", "read1": "flag & 65 = 65", "read2": "flag & 129 = 129", "proper": "flag & 3 = 3", "both_mapped": "flag & 13 = 1", "singletons": "flag & 13 = 9",
+    "elsewhere": "flag & 13 = 1 AND hit <> mate_hit", "elsewhere_sure": "flag & 13 = 1 AND hit <> mate_hit AND mapq >= 5",
+}
 
 
-@register("flagstat_like", "WITH f AS (SELECT (l_orderkey * 37 + l_linenumber * 101 + l_partkey) % 4096 AS flag FROM lineitem) SELECT (flag & 512) > 0 AS failed, count(*) AS total, " + ", ".join(f"CAST(sum(CASE WHEN {'(flag & 4) = 0' if m is None else f'(flag & {m}) > 0'} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, m in FLAGS) + ", CAST(sum(CASE WHEN (flag & 13) = 9 THEN 1 ELSE 0 END) AS BIGINT) AS singletons FROM f GROUP BY 1")
+@register("flagstat_like", "WITH f AS (SELECT (l_orderkey * 37 + l_linenumber * 101 + l_partkey) % 4096 AS flag, l_suppkey % 5 AS hit, l_partkey % 5 AS mate_hit, CAST(l_quantity AS INTEGER) % 10 AS mapq FROM lineitem) SELECT (flag & 512) > 0 AS failed, count(*) AS total, " + ", ".join(f"count(*) FILTER ({re.sub(r'flag & ([0-9]+)', r'(flag & \1)', c)}) AS {n}" for n, c in FLAGS.items()) + " FROM f GROUP BY 1")
 def flagstat_like(spark, d):
+    """Alignments by flag, pairs by where both mates lie."""
     from helixframe.operators.reads import flagstat
 
-    return flagstat(table(spark, d, "lineitem").select(((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101 + F.col("l_partkey")) % 4096).alias("flag")))
+    flag = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101 + F.col("l_partkey")) % 4096
+    return flagstat(table(spark, d, "lineitem").select(flag.alias("flag"), (F.col("l_suppkey") % 5).alias("hit"), (F.col("l_partkey") % 5).alias("mate_hit"), (F.col("l_quantity").cast("int") % 10).alias("mapq")))
 
 
 @register("flag_filter", "WITH f AS (SELECT l_orderkey AS q, (l_orderkey * 37 + l_linenumber * 101 + l_partkey) % 4096 AS flag, CAST(l_quantity AS INTEGER) AS mapq FROM lineitem) SELECT q, flag, mapq FROM f WHERE mapq >= 20 AND (flag & 3) = 3 AND (flag & 1796) = 0")

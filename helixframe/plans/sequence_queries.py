@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq
+from helixframe.operators.intervals import number_islands
 from helixframe.plans.catalogue import register
 from helixframe.plans.views import table
 from helixframe.storage import materialize
@@ -17,9 +18,10 @@ def _dna(spark, d):
 DNA = "dna AS (SELECT doc_id, regexp_replace(translate(text, 'acgtnoiesr', 'ACGTNACGTA'), '[^ACGTN]', '', 'g') AS s FROM documents)"
 
 
-@register("revcomp", f"WITH {DNA} SELECT doc_id, reverse(translate(s, 'ACGTN', 'TGCAN')) AS rc FROM dna")
+@register("revcomp", f"WITH {DNA} SELECT doc_id, reverse(translate(s || 'AC-G*TXxRn', 'ACGTR', 'TGCAY')) AS rc FROM dna")
 def revcomp(spark, d):
-    return _dna(spark, d).select("doc_id", seq.reverse_complement(F.col("s")).alias("rc"))
+    """Records with a tail of gaps, masked and ambiguous bases, turned."""
+    return _dna(spark, d).select("doc_id", seq.reverse_complement(F.concat("s", F.lit("AC-G*TXxRn"))).alias("rc"))
 
 
 @register("kmers_top", f"WITH {DNA}, k AS (SELECT substr(s, i, 8) AS kmer FROM (SELECT s, unnest(range(1, length(s) - 6)) AS i FROM dna)), c AS (SELECT kmer, count(*) AS n FROM k WHERE kmer NOT LIKE '%N%' GROUP BY kmer) SELECT kmer, n FROM c ORDER BY n DESC, kmer LIMIT 50")
@@ -71,14 +73,14 @@ def edit_distance(spark, d):
 
 
 def _codon_values():
-    return ", ".join(f"('{c}', '{a}')" for c, a in seq.codon_table().items() if set(c) <= set("ACGT"))
+    return ", ".join(f"('{c}', '{a}')" for c, a in seq.codon_table().items() if set(c) <= set("ACGTN"))
 
 
-@register("translate_protein", f"""WITH {DNA}, code(codon, acid) AS (VALUES {_codon_values()}), c AS (SELECT doc_id, i, substr(s, i, 3) AS codon FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1, 3)) AS i FROM dna WHERE length(s) >= 3 AND s NOT LIKE '%N%'))
+@register("translate_protein", f"""WITH {DNA}, code(codon, acid) AS (VALUES {_codon_values()}), c AS (SELECT doc_id, i, substr(s, i, 3) AS codon FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1, 3)) AS i FROM dna WHERE length(s) >= 3))
 SELECT doc_id, string_agg(coalesce(acid, 'X'), '' ORDER BY i) AS protein FROM c LEFT JOIN code USING (codon) GROUP BY doc_id""")
 def translate_protein(spark, d):
-    """Protein of each record without N."""
-    s = _dna(spark, d).where("length(s) >= 3 and s not like '%N%'")
+    """Protein of each record; codons that N leaves open are X."""
+    s = _dna(spark, d).where("length(s) >= 3")
     return s.select("doc_id", seq.translate(F.col("s")).alias("protein"))
 
 
@@ -114,9 +116,11 @@ def record_table(spark, d):
     return table(spark, d, "documents").select("doc_id", to_fasta(F.col("doc_id").cast("string"), F.col("lang"), F.col("text")).alias("fasta"))
 
 
-@register("percent_decode", "SELECT page_id, url_decode(replace(url || '%20a+b', '+', '%2B')) AS plain FROM pages")
+@register("percent_decode", """WITH t AS (SELECT page_id, unnest(regexp_extract_all(url || '%20a+b%3Bc%41%zz%e9100%', '(%[0-9A-Fa-f]{2}|[^%]+|%)')) AS x, unnest(range(1, 1 + len(regexp_extract_all(url || '%20a+b%3Bc%41%zz%e9100%', '(%[0-9A-Fa-f]{2}|[^%]+|%)')))) AS i FROM pages),
+c AS (SELECT page_id, i, x, CASE WHEN regexp_full_match(x, '%[0-9A-Fa-f]{2}') THEN CAST('0x' || substr(x, 2, 2) AS INTEGER) END AS code FROM t)
+SELECT page_id, string_agg(CASE WHEN code = 59 THEN '.' WHEN code BETWEEN 33 AND 127 THEN chr(code) ELSE x END, '' ORDER BY i) AS plain FROM c GROUP BY page_id""")
 def percent_decode(spark, d):
-    return table(spark, d, "pages").select("page_id", seq.percent_decode(F.concat("url", F.lit("%20a+b"))).alias("plain"))
+    return table(spark, d, "pages").select("page_id", seq.percent_decode(F.concat("url", F.lit("%20a+b%3Bc%41%zz%e9100%"))).alias("plain"))
 
 
 @register("query_fields", "WITH f AS (SELECT page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS f FROM pages WHERE url LIKE '%?%') SELECT page_id, split_part(f, '=', 1) AS name, split_part(f, '=', 2) AS value FROM f")
@@ -146,10 +150,15 @@ def shared_kmer_join(spark, d):
     return records.join(probes, "k").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 5")
 
 
-@register("protein_clusters", f"""WITH {DNA}, code(codon, acid) AS (VALUES {_codon_values()}), c AS (SELECT doc_id, i, substr(s, i, 3) AS codon FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1, 3)) AS i FROM dna WHERE length(s) >= 3 AND s NOT LIKE '%N%')),
-p AS (SELECT doc_id, md5(string_agg(coalesce(acid, 'X'), '' ORDER BY i)) AS aa FROM c LEFT JOIN code USING (codon) GROUP BY doc_id) SELECT doc_id % 3 AS locus, aa, count(*) AS n, min(doc_id) AS head FROM p GROUP BY 1, 2 HAVING count(*) > 1""")
+@register("protein_clusters", f"""WITH {DNA}, code(codon, acid) AS (VALUES {_codon_values()}), c AS (SELECT doc_id, i, substr(s, i, 3) AS codon FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1, 3)) AS i FROM dna WHERE length(s) >= 3)),
+p AS (SELECT doc_id, md5(string_agg(coalesce(acid, 'X'), '' ORDER BY i)) AS aa FROM c LEFT JOIN code USING (codon) GROUP BY doc_id),
+t AS (SELECT doc_id, source AS chrom, doc_id * 60 + n_chars % 97 AS pos FROM documents), w AS (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY pos, doc_id) AS prev FROM t),
+k AS (SELECT doc_id, chrom, sum(CASE WHEN prev IS NULL OR pos > prev + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY pos, doc_id ROWS UNBOUNDED PRECEDING) AS cluster FROM w)
+SELECT chrom, cluster::BIGINT AS cluster, aa, count(*) AS n, min(doc_id) AS head FROM p JOIN k USING (doc_id) GROUP BY chrom, cluster, aa""")
 def protein_clusters(spark, d):
-    """Members of a locus with the same protein, by its digest."""
-    s = _dna(spark, d).where("length(s) >= 3 and s not like '%N%'")
-    p = s.select((F.col("doc_id") % 3).alias("locus"), F.md5(seq.translate(F.col("s"))).alias("aa"), "doc_id")
-    return p.groupBy("locus", "aa").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")).where("n > 1")
+    """Records whose starts lie within 100 positions of one another, by their protein's digest."""
+    s = _dna(spark, d).where("length(s) >= 3").select("doc_id", F.md5(seq.translate(F.col("s"))).alias("aa"))
+    start = F.col("doc_id") * 60 + F.col("n_chars") % 97
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("chrom"), start.alias("start"), start.alias("end"))
+    k = number_islands(t, 100, ["chrom"]).select(F.col("id").alias("doc_id"), "chrom", F.col("island").alias("cluster"))
+    return s.join(k, "doc_id").groupBy("chrom", "cluster", "aa").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"))

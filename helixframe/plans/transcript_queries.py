@@ -61,23 +61,23 @@ def exon_loci(spark, d):
 
 def _halves(spark, d):
     t = materialize(_transcripts(spark, d), "models")
-    return t.where("tid % 2 = 0"), t.where("tid % 2 = 1")
+    return t.where("tid div 400 % 2 = 0"), t.where("tid div 400 % 2 = 1")
 
 
 #: Relations of even to odd transcripts ("codes": tid, ref, code, ov), one row per pair and code.
 CODES = f"""{TX}, nx AS (SELECT *, lead("start") OVER (PARTITION BY tid ORDER BY "start") AS nxt FROM exons),
 introns AS (SELECT tid, "end" + 1 AS a, nxt - 1 AS b FROM nx WHERE nxt IS NOT NULL),
 model AS (SELECT tid, chrom, strand, min("start") AS s, max("end") AS e, sum("end" - "start" + 1) AS len, count(*) AS n, min("end") AS first_end, max("start") AS last_start, coalesce(string_agg(CASE WHEN nxt IS NOT NULL THEN ("end" + 1) || '-' || (nxt - 1) END, ',' ORDER BY "start"), '') AS chain FROM nx GROUP BY tid, chrom, strand),
-q AS (SELECT * FROM model WHERE tid % 2 = 0), r AS (SELECT * FROM model WHERE tid % 2 = 1),
-pair AS (SELECT q.tid, r.tid AS ref, q.strand = r.strand AS same, q.s, q.e, q.len, q.n, q.chain, q.first_end, q.last_start, r.len AS len2, r.n AS n2, r.chain AS chain2 FROM q JOIN r ON q.chrom = r.chrom AND q.s <= r.e AND r.s <= q.e),
+q AS (SELECT * FROM model WHERE tid // 400 % 2 = 0), r AS (SELECT * FROM model WHERE tid // 400 % 2 = 1),
+pair AS (SELECT q.tid, r.tid AS ref, q.strand = r.strand AS same, q.s, q.e, q.len, q.n, q.chain, q.first_end, q.last_start, r.s AS s2, r.e AS e2, r.len AS len2, r.n AS n2, r.chain AS chain2 FROM q JOIN r ON q.chrom = r.chrom AND q.s <= r.e AND r.s <= q.e),
 o AS (SELECT pair.tid, ref, sum(greatest(0, least(x."end", y."end") - greatest(x."start", y."start") + 1)) AS ov FROM pair JOIN exons x ON x.tid = pair.tid JOIN exons y ON y.tid = ref GROUP BY ALL),
 ii AS (SELECT pair.tid, ref, bool_or(x.a = y.a OR x.b = y.b) AS shared, bool_or(x.a <= y.b AND y.a <= x.b) AS crossing FROM pair JOIN introns x ON x.tid = pair.tid JOIN introns y ON y.tid = ref GROUP BY ALL),
-ri AS (SELECT pair.tid, ref, bool_or(s >= y.a AND e <= y.b) AS in_intron, bool_or(least(e, y.b) - greatest(s, y.a) + 1 >= 10) AS reaches FROM pair JOIN introns y ON y.tid = ref GROUP BY ALL),
-re AS (SELECT pair.tid, ref, bool_or(s >= y."start" - 8 AND e <= y."end" + 8) AS in_exon, bool_or(y."end" = first_end AND s >= y."start" - 4) AS head, bool_or(y."start" = last_start AND e <= y."end" + 4) AS tail FROM pair JOIN exons y ON y.tid = ref GROUP BY ALL),
+ri AS (SELECT pair.tid, ref, bool_or(s >= y.a AND e <= y.b) AS in_intron, bool_or(least(e, y.b) - greatest(s, y.a) + 1 >= 10 AND e - s + 1 > least(e, y.b) - greatest(s, y.a) + 1 + 10) AS reaches FROM pair JOIN introns y ON y.tid = ref GROUP BY ALL),
+re AS (SELECT pair.tid, ref, bool_or(s > y."start" - 8 AND e < y."end" + 8) AS in_exon, bool_or(y."end" = first_end AND (y."start" = s2 OR y."start" - s < 4)) AS head, bool_or(y."start" = last_start AND (y."end" = e2 OR e - y."end" < 4)) AS tail FROM pair JOIN exons y ON y.tid = ref GROUP BY ALL),
 codes AS (SELECT pair.tid, pair.ref, CAST(ov AS BIGINT) AS ov, CASE WHEN NOT same THEN CASE WHEN coalesce(crossing, false) THEN 's' WHEN ov > 0 THEN 'x' END
- WHEN n > 1 AND chain = chain2 THEN '=' WHEN n = 1 AND n2 = 1 AND ov >= 0.8::DOUBLE * greatest(len, len2) THEN '='
- WHEN n > 1 AND contains(',' || chain2 || ',', ',' || chain || ',') AND head AND tail THEN 'c' WHEN coalesce(in_intron, false) THEN 'i' WHEN n = 1 AND in_exon THEN 'c'
- WHEN n = 1 AND coalesce(reaches, false) AND ov > 0 AND len > ov + 10 THEN 'e' WHEN coalesce(shared, false) THEN 'j' WHEN ov > 0 THEN 'o' ELSE 'i' END AS code
+ WHEN n = 1 AND n2 = 1 THEN CASE WHEN ov >= 0.8::DOUBLE * greatest(len, len2) THEN '=' WHEN len < len2 AND ov >= 0.8::DOUBLE * len THEN 'c' ELSE 'o' END
+ WHEN n = 1 THEN CASE WHEN in_exon THEN 'c' WHEN in_intron THEN 'i' WHEN reaches THEN 'e' ELSE 'o' END
+ WHEN coalesce(in_intron, false) THEN 'i' WHEN chain = chain2 THEN '=' WHEN contains(',' || chain2 || ',', ',' || chain || ',') AND head AND tail THEN 'c' WHEN coalesce(shared, false) THEN 'j' ELSE 'o' END AS code
  FROM pair JOIN o USING (tid, ref) JOIN re USING (tid, ref) LEFT JOIN ri USING (tid, ref) LEFT JOIN ii USING (tid, ref)
  UNION ALL SELECT q.tid, r.tid, 0, 'p' FROM q JOIN r ON q.chrom = r.chrom AND q.strand = r.strand AND CASE WHEN q.strand = '-' THEN r.s - q.e ELSE q.s - r.e END BETWEEN 1 AND 2000
  UNION ALL SELECT tid, NULL, 0, 'r' FROM q WHERE tid % 11 >= 5),
@@ -105,7 +105,7 @@ def class_code_counts(spark, d):
 @register("sn_sp", f"""WITH {TX}, i AS (SELECT tid, chrom, strand, "start", "end", lead("start") OVER (PARTITION BY tid ORDER BY "start") AS nxt FROM exons),
 c AS (SELECT tid, chrom, strand, string_agg(CASE WHEN nxt IS NOT NULL THEN ("end" + 1) || '-' || (nxt - 1) END, ',' ORDER BY "start") AS x FROM i GROUP BY ALL),
 u AS (SELECT 'exon' AS level, tid, chrom, strand, "start" || '-' || "end" AS x FROM exons UNION ALL SELECT 'intron', tid, chrom, strand, ("end" + 1) || '-' || (nxt - 1) FROM i WHERE nxt IS NOT NULL UNION ALL SELECT 'chain', tid, chrom, strand, x FROM c WHERE x IS NOT NULL),
-b AS (SELECT level, chrom, strand, x, max(CASE WHEN tid % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid % 2 = 1 THEN 1 ELSE 0 END) AS r FROM u GROUP BY ALL),
+b AS (SELECT level, chrom, strand, x, max(CASE WHEN tid // 400 % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid // 400 % 2 = 1 THEN 1 ELSE 0 END) AS r FROM u GROUP BY ALL),
 s AS (SELECT level, CAST(sum(q * r) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT) AS reference, CAST(sum(q) AS BIGINT) AS query FROM b GROUP BY level)
 SELECT *, least(100.0::DOUBLE, 100.0::DOUBLE * matched / reference) AS sensitivity, least(100.0::DOUBLE, 100.0::DOUBLE * matched / query) AS precision FROM s""")
 def sn_sp(spark, d):
@@ -113,7 +113,7 @@ def sn_sp(spark, d):
     return tx.sensitivity(*_halves(spark, d), levels=("exon", "intron", "chain"))
 
 
-@register("sn_sp_base", f"""WITH {TX}, x AS (SELECT *, tid % 2 AS side FROM exons),
+@register("sn_sp_base", f"""WITH {TX}, x AS (SELECT *, tid // 400 % 2 AS side FROM exons),
 xr AS (SELECT *, max("end") OVER (PARTITION BY side, chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
 xn AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY side, chrom, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM xr),
 f AS (SELECT side, chrom, strand, min("start") AS "start", max("end") AS "end" FROM xn GROUP BY side, chrom, strand, g),
@@ -125,7 +125,7 @@ def sn_sp_base(spark, d):
 
 
 @register("sn_sp_transcript", f"""WITH {TX}, c AS (SELECT tid, chrom, strand, string_agg("start" || '-' || "end", ',' ORDER BY "start") AS x FROM exons GROUP BY ALL),
-b AS (SELECT chrom, strand, x, max(CASE WHEN tid % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid % 2 = 1 THEN 1 ELSE 0 END) AS r FROM c GROUP BY ALL),
+b AS (SELECT chrom, strand, x, max(CASE WHEN tid // 400 % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid // 400 % 2 = 1 THEN 1 ELSE 0 END) AS r FROM c GROUP BY ALL),
 s AS (SELECT 'transcript' AS level, CAST(sum(q * r) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT) AS reference, CAST(sum(q) AS BIGINT) AS query FROM b)
 SELECT *, least(100.0::DOUBLE, 100.0::DOUBLE * matched / reference) AS sensitivity, least(100.0::DOUBLE, 100.0::DOUBLE * matched / query) AS precision FROM s""")
 def sn_sp_transcript(spark, d):
@@ -138,7 +138,7 @@ xn AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 EN
 l AS ({LOCI}),
 i AS (SELECT tid, "start", "end", lead("start") OVER (PARTITION BY tid ORDER BY "start") AS nxt FROM exons),
 c AS (SELECT tid, CASE WHEN count(*) > 1 THEN string_agg(CASE WHEN nxt IS NOT NULL THEN ("end" + 1) || '-' || (nxt - 1) END, ',' ORDER BY "start") ELSE min("start") || ':' || min("end") END AS x FROM i GROUP BY tid),
-b AS (SELECT locus, x, max(CASE WHEN tid % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid % 2 = 1 THEN 1 ELSE 0 END) AS r FROM c JOIN l USING (tid) GROUP BY ALL),
+b AS (SELECT locus, x, max(CASE WHEN tid // 400 % 2 = 0 THEN 1 ELSE 0 END) AS q, max(CASE WHEN tid // 400 % 2 = 1 THEN 1 ELSE 0 END) AS r FROM c JOIN l USING (tid) GROUP BY ALL),
 p AS (SELECT locus, max(q * r) AS m, max(q) AS q, max(r) AS r FROM b GROUP BY locus),
 s AS (SELECT 'locus' AS level, CAST(sum(m) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT) AS reference, CAST(sum(q) AS BIGINT) AS query FROM p)
 SELECT *, least(100.0::DOUBLE, 100.0::DOUBLE * matched / reference) AS sensitivity, least(100.0::DOUBLE, 100.0::DOUBLE * matched / query) AS precision FROM s""")

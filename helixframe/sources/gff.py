@@ -23,8 +23,8 @@ def attribute_map(attrs: Column) -> Column:
 
 
 def parse_gff(lines: DataFrame) -> DataFrame:
-    """Text lines as rows. Comments and lines without nine columns or with a bad strand go; reversed coordinates are swapped; score ``.`` is 0."""
-    t = F.split("value", "\t")
+    """Text lines as rows. Comments and lines of fewer than nine columns or with a bad strand go, what follows a further tab is of the attributes; reversed coordinates are swapped; score ``.`` is 0."""
+    t = F.split("value", "\t", 9)
     rows = lines.where(~F.col("value").startswith("#")).select(t.alias("t")).where("size(t) = 9")
     a, b = F.col("t")[3].try_cast("long"), F.col("t")[4].try_cast("long")
     rows = rows.select(
