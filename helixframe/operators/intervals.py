@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.order import running_sums
+
 #: Positions per bin of the sequential operators, and of the overlap join.
 BIN, JOIN_BIN = 1 << 16, 1 << 14
 
@@ -34,24 +36,28 @@ def range_filter(df: DataFrame, low: int, high: int, contained: bool = False, ch
     return df.where(keep)
 
 
-def with_reach(df: DataFrame, keys: Sequence[str], order: Sequence[str], bin_size: int = BIN) -> DataFrame:
-    """Adds ``reach``: the largest end among the rows before in start order (null for the first), and the bin ``_bin``."""
-    binned = df.withColumn("_bin", F.floor(F.col("start") / bin_size))
+def starts(df: DataFrame, keys: Sequence[str], bin_size: int = BIN) -> DataFrame:
+    """One row per key and start: ``start, top`` (largest end there), ``reach`` (largest end of all smaller starts, null for the first), ``_bin``.
+
+    Windows hold the distinct starts of a bin, however many rows begin at them.
+    """
+    own = df.groupBy(*keys, "start").agg(F.max("end").alias("top")).withColumn("_bin", F.floor(F.col("start") / bin_size))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy(*keys, "_bin").agg(F.max("end").alias("_top")).withColumn("_before", F.max("_top").over(before)).drop("_top")
-    within = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return binned.join(bins, [*keys, "_bin"]).withColumn("reach", F.greatest(F.max("end").over(within), F.col("_before"))).drop("_before")
+    bins = own.groupBy(*keys, "_bin").agg(F.max("top").alias("_top")).withColumn("_before", F.max("_top").over(before)).drop("_top")
+    within = Window.partitionBy(*keys, "_bin").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return own.join(bins, [*keys, "_bin"]).withColumn("reach", F.greatest(F.max("top").over(within), F.col("_before"))).drop("_before")
 
 
-def number_islands(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",), order: Sequence[str] = ("start", "end", "id"), bin_size: int = BIN) -> DataFrame:
+def number_islands(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",), bin_size: int = BIN) -> DataFrame:
     """Adds ``island``: its number along the key. A row opens one if it starts over ``gap`` behind all ends before it."""
-    keys, order = list(keys), list(order)
-    flagged = with_reach(df, keys, order, bin_size).withColumn("_new", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + gap), 1).otherwise(0)).drop("reach")
+    keys = list(keys)
+    flagged = starts(df, keys, bin_size).withColumn("_new", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + gap), 1).otherwise(0))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = flagged.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = flagged.join(bins, [*keys, "_bin"]).withColumn("island", (F.col("_before") + F.sum("_new").over(within)).cast("long"))
-    return numbered.drop("_new", "_before", "_bin")
+    within = Window.partitionBy(*keys, "_bin").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = flagged.join(bins, [*keys, "_bin"]).select(*keys, "start", (F.col("_before") + F.sum("_new").over(within)).cast("long").alias("island"))
+    # a start that many rows share is a skewed partition, which the planner splits
+    return df.join(numbered, [*keys, "start"]).select(*df.columns, "island")
 
 
 def islands(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -60,10 +66,12 @@ def islands(df: DataFrame, gap: int, keys: Sequence[str] = ("chrom",)) -> DataFr
 
 
 def containment(df: DataFrame, slop: int = 0, keys: Sequence[str] = ("chrom",)) -> DataFrame:
-    """Adds ``contained``: the row ends within an earlier, longer-reaching one (``slop`` positions may stick out)."""
-    longest_first = df.withColumn("_neg", -F.col("end"))
-    reached = with_reach(longest_first, list(keys), ["start", "_neg", "id"])
-    return reached.withColumn("contained", F.coalesce(F.col("end") <= F.col("reach") + slop, F.lit(False))).drop("reach", "_bin", "_neg")
+    """Adds ``contained``: the row ends within an earlier, longer-reaching one (``slop`` positions may stick out). Of one start the longest row is first, then the smallest id."""
+    keys = list(keys)
+    first = df.groupBy(*keys, "start").agg(F.min(F.struct(F.negative("end").alias("e"), "id"))["id"].alias("_first"))
+    met = df.join(starts(df, keys).select(*keys, "start", "top", "reach"), [*keys, "start"]).join(first, [*keys, "start"])
+    reach = F.when(F.col("id") == F.col("_first"), F.col("reach")).otherwise(F.greatest("reach", "top"))
+    return met.select(*df.columns, F.coalesce(F.col("end") <= reach + slop, F.lit(False)).alias("contained"))
 
 
 def depth(df: DataFrame, keys: Sequence[str] = ("chrom",), weight: Column | None = None, bin_size: int = BIN) -> DataFrame:
@@ -83,35 +91,56 @@ def depth(df: DataFrame, keys: Sequence[str] = ("chrom",), weight: Column | None
     return rows.where("_open > 0").drop("_open")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), bin_size: int = JOIN_BIN, how: Column | None = None, long_bins: int | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), bin_size: int = JOIN_BIN, how: Column | None = None, long_bins: int = 64) -> DataFrame:
     """Pairs of overlapping rows: an equi-join on key and bin of positions.
 
     ``left`` has ``start, end`` and ``right`` has ``start2, end2``. A pair is
     kept in the first bin that both reach, so none comes twice. ``how``
     replaces the overlap test by a stricter one. A bin that many rows share is
-    a skewed partition, which the planner splits. Where rows may cover whole
-    chromosomes, give ``long_bins``: rows over more bins than that are joined
-    by bins as many times as wide, so that none is copied more than a few times.
+    a skewed partition, which the planner splits. Rows over more than
+    ``long_bins`` bins meet others in bins ``long_bins`` ** 2 times as wide, so
+    that none is copied more than a few times: the bins of two short rows, of a
+    long left row and any right one, and of a short left row and a long right
+    one are of three kinds.
     """
-    if long_bins is not None:
-        wide = bin_size * long_bins
-        long = F.col("end") - F.col("start") >= wide
-        long2 = F.col("end2") - F.col("start2") >= wide
-        near = overlap_join(left.where(~long), right.where(~long2), keys, bin_size, how)
-        far = overlap_join(left.where(long), right, keys, wide * long_bins, how).unionByName(overlap_join(left.where(~long), right.where(long2), keys, wide * long_bins, how))
-        return near.unionByName(far)
-    cut = lambda df, s, e: df.withColumn("_first", F.floor(F.col(s) / bin_size)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor(F.col(e) / bin_size))))
-    a = cut(left.where("start <= end"), "start", "end").withColumnRenamed("_first", "_first_a")
-    b = cut(right.where("start2 <= end2"), "start2", "end2").withColumnRenamed("_first", "_first_b")
+    wide = bin_size * long_bins * long_bins
+    size = lambda kind: F.when(kind == 0, bin_size).otherwise(wide)
+
+    def cut(df: DataFrame, s: str, e: str, long_kinds: tuple[int, ...], short_kind: int) -> DataFrame:
+        def bins(kind: int, width: int) -> Column:
+            return F.transform(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)), lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("bin")))
+
+        long = F.concat(*[bins(k, wide) for k in long_kinds])
+        short = F.concat(bins(0, bin_size), bins(short_kind, wide))
+        keyed = df.where(F.col(s) <= F.col(e)).withColumn("_cut", F.explode(F.when(F.col(e) - F.col(s) >= bin_size * long_bins, long).otherwise(short)))
+        return keyed.withColumn("_kind", F.col("_cut.kind")).withColumn("_bin", F.col("_cut.bin")).drop("_cut")
+
+    a, b = cut(left, "start", "end", (1,), 2), cut(right, "start2", "end2", (1, 2), 1)
     test = overlaps(F.col("start"), F.col("end"), F.col("start2"), F.col("end2")) if how is None else how
-    met = a.join(b, [*keys, "_bin"]).where(F.col("_bin") == F.greatest("_first_a", "_first_b")).where(test)
-    return met.drop("_bin", "_first_a", "_first_b")
+    first = F.floor(F.greatest(F.col("start"), F.col("start2")) / size(F.col("_kind")))
+    return a.join(b, [*keys, "_kind", "_bin"]).where(F.col("_bin") == first).where(test).drop("_kind", "_bin")
 
 
 def overlap_count(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
-    """``id, n``: how many rows of ``right`` overlap each row of ``left`` (0 too)."""
-    met = overlap_join(left, right, keys).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return left.select("id").join(met, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    """``id, n``: how many rows of ``right`` overlap each row of ``left`` (0 too), without making the pairs.
+
+    Those that start at or before my end, less those that end before my start:
+    two running sums over one order of positions. Ties are dealt by id, so a
+    position that many rows share covers many partitions.
+    """
+    keys = list(keys)
+    fit = right.where("start2 <= end2")
+    event = lambda pos, rank, column: fit.groupBy(*keys, F.col(pos).cast("long").alias("_pos")).agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_pos", F.lit(rank).alias("_rank"), F.lit(None).cast(dict(left.dtypes)["id"]).alias("id"), *[(F.col("_n") if c == column else F.lit(0).cast("long")).alias(c) for c in ("_open", "_shut")], F.lit(0).alias("_sign"))
+    probe = lambda pos, sign: left.select(*keys, F.col(pos).cast("long").alias("_pos"), F.lit(1).alias("_rank"), "id", F.lit(0).cast("long").alias("_open"), F.lit(0).cast("long").alias("_shut"), F.lit(sign).alias("_sign"))
+    rows = event("start2", 0, "_open").unionByName(probe("end", 1)).unionByName(probe("start", -1)).unionByName(event("end2", 2, "_shut"))
+    summed = running_sums(rows, keys, ["_pos", "_rank", "id"], {"_opened": "_open", "_closed": "_shut"}).where("_sign <> 0")
+    n = F.sum(F.when(F.col("_sign") > 0, F.col("_opened")).otherwise(-F.col("_closed")))
+    return summed.groupBy("id").agg(n.cast("long").alias("n"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """``id`` of the rows of ``left`` that any row of ``right`` overlaps."""
+    return overlap_count(left, right, keys).where("n > 0").select("id")
 
 
 def nearest_upstream(left: DataFrame, right: DataFrame, distance: int, keys: Sequence[str] = ("chrom",), bin_size: int = JOIN_BIN) -> DataFrame:

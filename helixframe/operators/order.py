@@ -44,11 +44,21 @@ def _beside(rows: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str) -> DataFrame:
     """Adds the sum of ``value`` over the rows of the key before each row (0 for the first)."""
+    return running_sums(df, keys, order, {name: value})
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, str]) -> DataFrame:
+    """Adds, under each name, the sum of a column over the rows of the key before each row."""
     rows = _sorted(df, keys, order)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    parts = rows.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values.values())])
+    parts = parts.select(*keys, "_part", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_before{i}") for i in range(len(values))])
     within = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return _beside(rows.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))), parts, keys).withColumn(name, F.col("_before") + F.col("_own")).drop("_at", "_part", "_own", "_before")
+    own = rows.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_own{i}") for i, v in enumerate(values.values())])
+    out = _beside(own, parts, keys)
+    for i, name in enumerate(values):
+        out = out.withColumn(name, F.col(f"_before{i}") + F.col(f"_own{i}")).drop(f"_before{i}", f"_own{i}")
+    return out.drop("_at", "_part")
 
 
 def in_blocks(df: DataFrame, behind: int = 0, ahead: int = 0, place: str = "place", block: int = BLOCK) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.order import running_sums
+
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last in ``order``. An aggregate, so hot keys are combined before the shuffle."""
@@ -95,12 +97,8 @@ def value_counts(df: DataFrame, value: Column, weight: Column | None = None) ->
     """
     w = F.lit(1) if weight is None else weight
     sums = df.select(value.alias("v"), w.alias("w")).where("v is not null and w is not null").groupBy("v").agg(F.sum("w").alias("w"))
-    binned = sums.withColumn("_bin", F.floor(F.col("v") / 1024))
-    # few rows: one per range of values
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy("_bin").agg(F.sum("w").alias("s"), F.sum(F.col("v") * F.col("w")).alias("m")).select("_bin", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_m"))
-    upto = Window.partitionBy("_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return binned.join(bins, "_bin").select("v", "w", (F.col("_s") + F.sum("w").over(upto) - F.col("w")).alias("before"), (F.col("_m") + F.sum(F.col("v") * F.col("w")).over(upto)).alias("mass"))
+    rows = running_sums(sums.withColumn("_m", F.col("v") * F.col("w")), [], ["v"], {"before": "w", "_below": "_m"})
+    return rows.select("v", "w", "before", (F.col("_below") + F.col("_m")).alias("mass"))
 
 
 def weighted_summary(df: DataFrame, value: Column, weight: Column | None = None) -> DataFrame:

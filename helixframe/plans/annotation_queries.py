@@ -46,7 +46,7 @@ def reduce_references(spark, d):
     """References that any query overlaps: the denominator of a reduced sensitivity."""
     a = intervals(spark, d)
     q = a.where("strand <> 'signup'").select("chrom", F.col("start").alias("start2"), F.col("end").alias("end2"))
-    return iv.overlap_join(a.where("strand = 'signup'"), q).select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return iv.overlapping(a.where("strand = 'signup'"), q).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("cds_validity", """WITH d AS (SELECT doc_id, regexp_replace(translate(text, 'acgtnoiesr', 'ACGTNACGTA'), '[^ACGTN]', '', 'g') AS s FROM documents), c AS (SELECT doc_id, s, list_transform(range(1, length(s) - 1, 3), lambda i: substr(s, i, 3)) AS codons FROM d WHERE length(s) >= 6)
@@ -106,8 +106,8 @@ def priority_merge(spark, d):
     """Two prediction sets: the second counts only where the first has nothing."""
     a = intervals(spark, d)
     p, v = a.where("strand = 'purchase'"), a.where("strand = 'view'")
-    hit = iv.overlap_join(v, p.select("chrom", F.col("start").alias("start2"), F.col("end").alias("end2"))).select("id").distinct()
-    return p.select("id").unionByName(v.select("id").join(hit, "id", "left_anti"))
+    free = iv.overlap_count(v, p.select("chrom", F.col("start").alias("start2"), F.col("end").alias("end2"))).where("n = 0")
+    return p.select("id").unionByName(free.select("id"))
 
 
 @register("split_contigs", """WITH p AS (SELECT page_id, length(html) AS n FROM pages), o AS (SELECT page_id, n, sum(n + 100) OVER (PARTITION BY page_id % 5 ORDER BY page_id) - n - 100 AS before FROM p) SELECT page_id, page_id % 5 AS scaffold, CAST(before + 1 AS BIGINT) AS "start", CAST(before + n AS BIGINT) AS "end" FROM o""")

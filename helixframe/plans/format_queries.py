@@ -219,12 +219,12 @@ def collapsed_read_counts(spark, d):
     return n.agg(F.sum(F.regexp_extract("id", r"_x(\d+)$", 1).cast("long")).alias("reads"), F.count(F.lit(1)).alias("records"))
 
 
-@register("ranked_deflines", """WITH n AS (SELECT p_size AS k, CASE WHEN p_partkey % 3 = 0 THEN 'sp|' ELSE 'tr|' END || p_name || CASE WHEN p_partkey % 4 = 1 THEN ' hypothetical' ELSE '' END AS x FROM part) SELECT k, list(x ORDER BY CASE WHEN regexp_matches(x, '(?i)unknown|hypothetical|uncharacterized|predicted protein') THEN 1 ELSE 0 END, CASE WHEN x LIKE 'sp|%' THEN 0 ELSE 1 END, x) AS names FROM n GROUP BY k""")
+@register("ranked_deflines", """WITH n AS (SELECT p_size AS k, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'sp|' ELSE 'tr|' END || p_name || CASE WHEN p_partkey % 4 = 1 THEN ' hypothetical' ELSE '' END AS x FROM part) SELECT k, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN regexp_matches(x, '(?i)unknown|hypothetical|uncharacterized|predicted protein') THEN 1 ELSE 0 END, CASE WHEN x LIKE 'sp|%' THEN 0 ELSE 1 END, x, p_partkey) AS place, x AS name FROM n""")
 def ranked_deflines(spark, d):
     """Names of one record: reviewed ones first, uninformative ones last."""
     x = F.concat(F.when(F.col("p_partkey") % 3 == 0, "sp|").otherwise("tr|"), "p_name", F.when(F.col("p_partkey") % 4 == 1, " hypothetical").otherwise(""))
-    n = table(spark, d, "part").select(F.col("p_size").alias("k"), x.alias("x")).groupBy("k").agg(F.collect_list("x").alias("x"))
-    return n.select("k", flatfiles.rank_deflines(F.col("x")).alias("names"))
+    n = table(spark, d, "part").select(F.col("p_size").alias("k"), x.alias("name"), "p_partkey")
+    return number_rows(n, ["k"], [*flatfiles.defline_order(F.col("name")), "p_partkey"]).select("k", "place", "name")
 
 
 GENBANK = f"concat('LOCUS       ', {PART}, ' 120 bp\nDEFINITION  ', p_name, '\n            of ', p_type, '.\nACCESSION   ', {PART}, '\nSOURCE      x\n  ORGANISM  Genus species\nFEATURES             Location/Qualifiers\n     gene            ', p_size, '..', p_size + 99, '\n                     /gene=\"g', p_size, '\"\n     CDS             complement(join(', p_size, '..', p_size + 20, ',\n                     ', p_size + 40, '..', p_size + 99, '))\n                     /gene=\"g', p_size, '\"\n                     /product=\"the ', p_brand, '\n                     protein\"\nORIGIN\n        1 ', lower({BASES}), '\n//')"

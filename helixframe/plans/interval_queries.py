@@ -67,8 +67,10 @@ def overlap_within(spark, d):
 
 @register("opposite_strand_overlap", f"""WITH {IV} SELECT a.id, count(*) AS n FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.strand <> b.strand AND a."start" <= b."end" AND b."start" <= a."end" GROUP BY a.id""")
 def opposite_strand_overlap(spark, d):
+    """How many rows of another strand overlap each: all that do, less those of its own."""
     a, b = _pairs(spark, d)
-    return iv.overlap_join(a, b).where("strand <> strand2").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    own = iv.overlap_count(a, b.withColumnRenamed("strand2", "strand"), ["chrom", "strand"]).withColumnRenamed("n", "own")
+    return iv.overlap_count(a, b).join(own, "id").select("id", (F.col("n") - F.col("own")).alias("n")).where("n > 0")
 
 
 @register("overlap_count_per_feature", f"""WITH {IV} SELECT a.id, count(b.id) AS n FROM iv a LEFT JOIN (SELECT * FROM iv WHERE strand = 'purchase') b ON a.chrom = b.chrom AND a."start" <= b."end" AND b."start" <= a."end" GROUP BY a.id""")
@@ -80,14 +82,13 @@ def overlap_count_per_feature(spark, d):
 @register("overlap_semi_join", f"""WITH {IV} SELECT DISTINCT a.id FROM iv a WHERE strand <> 'click' AND EXISTS (SELECT 1 FROM iv b WHERE b.strand = 'click' AND a.chrom = b.chrom AND a."start" <= b."end" AND b."start" <= a."end")""")
 def overlap_semi_join(spark, d):
     a, b = _pairs(spark, d)
-    return iv.overlap_join(a.where("strand <> 'click'"), b.where("strand2 = 'click'")).select("id").distinct()
+    return iv.overlapping(a.where("strand <> 'click'"), b.where("strand2 = 'click'"))
 
 
 @register("overlap_anti_join", f"""WITH {IV} SELECT a.id FROM iv a WHERE strand <> 'click' AND NOT EXISTS (SELECT 1 FROM iv b WHERE b.strand = 'click' AND a.chrom = b.chrom AND a."start" <= b."end" AND b."start" <= a."end")""")
 def overlap_anti_join(spark, d):
     a, b = _pairs(spark, d)
-    own = a.where("strand <> 'click'")
-    return own.select("id").join(iv.overlap_join(own, b.where("strand2 = 'click'")).select("id").distinct(), "id", "left_anti")
+    return iv.overlap_count(a.where("strand <> 'click'"), b.where("strand2 = 'click'")).where("n = 0").select("id")
 
 
 @register("nearest_upstream", f"""WITH {IV} SELECT id, id2, distance FROM (

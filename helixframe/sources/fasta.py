@@ -27,11 +27,34 @@ def write_fasta(df: DataFrame, path: str, width: int = 60, **options) -> None:
     df.select(to_fasta(F.col("id"), F.col("description"), F.col("seq"), width).alias("value")).write.options(**options).text(path)
 
 
-def fetch(df: DataFrame, regions: DataFrame) -> DataFrame:
-    """Regions (``id, start, end`` from 1) cut out of the sequences; ends are held within them."""
-    met = regions.join(df.select("id", "seq"), "id")
-    lo, hi = F.greatest(F.lit(1), F.col("start")).cast("int"), F.least(F.length("seq"), F.col("end")).cast("int")
-    return met.select("id", "start", "end", F.when(hi >= lo, F.substring("seq", lo, hi - lo + 1)).otherwise("").alias("part"))
+#: Bases of a piece of a stored sequence.
+PIECE = 1 << 16
+
+
+def pieces(df: DataFrame, size: int = PIECE) -> DataFrame:
+    """``id, piece, seq``: sequences in pieces of so many bases, numbered from 0, as a table from which regions are fetched."""
+    n = F.greatest(F.ceil(F.length("seq") / size), F.lit(1))
+    cut = df.select("id", "seq", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("piece"))
+    return cut.select("id", "piece", F.substring(F.col("seq"), (F.col("piece") * size + 1).cast("int"), F.lit(size)).alias("seq"))
+
+
+def fetch(df: DataFrame, regions: DataFrame, size: int = PIECE) -> DataFrame:
+    """Regions (``id, start, end`` from 1) cut out of the sequences; ends are held within them. Regions of unknown sequences go."""
+    return fetch_pieces(pieces(df, size), regions, size)
+
+
+def fetch_pieces(stored: DataFrame, regions: DataFrame, size: int = PIECE) -> DataFrame:
+    """The same from ``pieces``: a region meets only the pieces that it reaches, so no row carries a whole chromosome."""
+    asked = regions.select("id", "start", "end").distinct()
+    low = F.greatest(F.lit(1).cast("long"), F.col("start"))
+    # pieces behind the sequence's end are not asked for
+    met = asked.join(stored.groupBy("id").agg(F.max("piece").alias("last")), "id")
+    first, last = F.floor((low - 1) / size), F.least(F.floor((F.col("end") - 1) / size), F.col("last"))
+    cut = met.select("id", "start", "end", F.explode_outer(F.when((F.col("end") >= low) & (last >= first), F.sequence(first, last))).alias("piece")).join(stored, ["id", "piece"], "left")
+    at = F.greatest(low - F.col("piece") * size, F.lit(1))
+    part = F.coalesce(F.substring(F.col("seq"), at.cast("int"), (F.least(F.col("end") - F.col("piece") * size, F.lit(size)) - at + 1).cast("int")), F.lit(""))
+    whole = cut.groupBy("id", "start", "end").agg(F.sort_array(F.collect_list(F.struct("piece", part.alias("part")))).alias("p"))
+    return regions.join(whole, ["id", "start", "end"]).select("id", "start", "end", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("part"))
 
 
 def sequence_lengths(df: DataFrame) -> DataFrame:

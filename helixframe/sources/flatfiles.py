@@ -91,7 +91,6 @@ def parse_vulgar(lines: DataFrame) -> DataFrame:
     return rows.select("query", "q_start", "q_end", "target", "t_start", "t_end", "strand", "score", walked.alias("exons"), matched.alias("matched"))
 
 
-def rank_deflines(names: Column, reviewed: str = "^sp\\|", plain: str = "(?i)unknown|hypothetical|uncharacterized|predicted protein") -> Column:
-    """Names of one sequence, the reviewed first and the uninformative last, else by name."""
-    keyed = F.transform(names, lambda x: F.struct(x.rlike(plain).cast("int").alias("u"), (~x.rlike(reviewed)).cast("int").alias("r"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda x: x["x"])
+def defline_order(name: Column, reviewed: str = "^sp\\|", plain: str = "(?i)unknown|hypothetical|uncharacterized|predicted protein") -> list[Column]:
+    """The order of a sequence's names (``order.number_rows``): the uninformative last, the reviewed first, else by name."""
+    return [name.rlike(plain).cast("int"), (~name.rlike(reviewed)).cast("int"), name]
