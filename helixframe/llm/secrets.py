@@ -8,9 +8,10 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.grammar import Automaton, learn
@@ -38,15 +39,47 @@ SHARE = 0.1
 FEWEST = 20
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the base rules, by start and kind; code points, end exclusive."""
+#: What a byte is: lower case 1, upper case 2, digit 4, another credential character 8, hexadecimal 16.
+_BYTES = np.zeros(256, np.uint8)
+for _c in range(128):
+    _k = chr(_c)
+    _BYTES[_c] = (1 if "a" <= _k <= "z" else 2 if "A" <= _k <= "Z" else 4 if "0" <= _k <= "9" else 8 if _k in "+/_.=-" else 0) | (16 if _k in "0123456789abcdef" else 0)
+
+
+def scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of at least ``LEAST`` credential characters of many texts at once: (text, start, end, look), in code points, and which texts may hold a hexadecimal secret."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+    begin = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
+    kind = _BYTES[data]
+
+    def runs(bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], (kind & bits) > 0, [False]]).astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        keep = end - start >= least
+        return start[keep], end[keep]
+
+    start, end = runs(15, LEAST)
+    found = np.bitwise_or.reduceat(kind, np.stack([start, end], axis=1).ravel())[::2] & 15 if len(start) else np.empty(0, np.uint8)
+    text = np.searchsorted(begin, start, side="right") - 1
+    hexed = np.zeros(len(texts), bool)
+    hexed[np.searchsorted(begin, runs(16, 32)[0], side="right") - 1] = True
+    if len(data) and data.max() >= 128:  # code points: bytes that do not continue one
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        return text, points[start] - points[begin[text]], points[end] - points[begin[text]], found, hexed
+    return text, start - begin[text], end - begin[text], found, hexed
+
+
+def base_spans(text: str, hexed: bool = True) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base rules, by start and kind; code points, end exclusive. ``hexed``: whether there may be hexadecimal ones."""
     out = []
     low = text.lower()
     if any(w in low for w in _WORDS):
         out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    if hexed:
+        out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(out)
 
 
@@ -105,13 +138,24 @@ class Scanner:
         return found
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
-        if not text:
-            return []
-        base = base_spans(text)
-        out = list(base)
-        if self.formats:
-            out += [(start, 3, end) for start, end in candidates(text, base) if self.likely(text[start:end])]
-        return sorted(out)
+        return self.all_spans([text])[0]
+
+    def all_spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        """Spans of each text. Only runs that look like a format are looked at one by one."""
+        known = [t or "" for t in texts]
+        text, start, end, kind, hexed = scan(known)
+        out = [base_spans(t, h) if t else [] for t, h in zip(known, hexed.tolist(), strict=True)]
+        if not self.formats:
+            return out
+        plain = np.array([not spans for spans in out], bool)
+        own = np.flatnonzero(np.isin(kind, list(self.formats)) & plain[text])
+        for d, spans in enumerate(out):
+            if spans:
+                out[d] = sorted(spans + [(s, 3, e) for s, e in candidates(known[d], spans) if self.likely(known[d][s:e])])
+        for d, s, e in zip(text[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True):
+            if self.likely(known[d][s:e]):
+                out[d].append((s, 3, e))
+        return out
 
 
 def listing(spans: list[tuple[int, int, int]]) -> str:
@@ -128,31 +172,45 @@ def _labelled(sample: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[int, list[tuple[int, str]]] = {}
-        held: set[str] = set()
+        seen: set[str] = set()
 
         def rows(found: list[tuple[int, str]]) -> pa.RecordBatch:
             kinds, values = [k for k, _ in found], [v for _, v in found]
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(map(look, values), pa.int32()), pa.array(values, pa.string()), pa.array(map(_place, values), pa.int64())], ["kind", "look", "value", "place"])
 
+        def offer(own: str, kind: int) -> None:
+            place, heap = _place(own), first.setdefault(kind, [])
+            if len(heap) < sample:
+                heapq.heappush(heap, (-place, own))
+            elif -place > heap[0][0]:
+                heapq.heappushpop(heap, (-place, own))
+
         for b in batches:
-            found = set()
-            for text in b.column(0):
-                text = text.as_py()
-                base = base_spans(text) if text else []
+            found: set[tuple[int, str]] = set()
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            text, start, end, kinds, hexed = scan(texts)
+            bare = np.ones(len(texts), bool)
+            others: dict[str, int] = {}
+            for d, (t, h) in enumerate(zip(texts, hexed.tolist(), strict=True)):
+                base = base_spans(t, h) if t else []
+                bare[d] = not base
                 for s, k, e in base:
-                    own = text[s:e]
+                    own = t[s:e]
                     own = _ASSIGN.fullmatch(own)[1] if k == 0 else own
                     if len(own) <= LONGEST:
                         found.add((k, own))
-                for s, e in candidates(text, base) if text else ():
-                    if e - s <= LONGEST and (own := text[s:e]) not in held:
-                        place, heap = _place(own), first.setdefault(look(own), [])
-                        if len(heap) < sample:
-                            heapq.heappush(heap, (-place, own))
-                            held.add(own)
-                        elif -place > heap[0][0]:
-                            held.discard(heapq.heappushpop(heap, (-place, own))[1])
-                            held.add(own)
+                if base:
+                    others |= {own: look(own) for s, e in candidates(t, base) if e - s <= LONGEST and (own := t[s:e])}
+            keep = np.flatnonzero(bare[text] & (end - start <= LONGEST))
+            others |= {texts[d][s:e]: k for d, s, e, k in zip(text[keep].tolist(), start[keep].tolist(), end[keep].tolist(), kinds[keep].tolist(), strict=True)}
+            # a run that was offered before is held, or was beaten for good
+            for own, k in others.items():
+                if own not in seen:
+                    offer(own, k)
+            if len(seen) > _MEMO:
+                seen.clear()
+                seen.update(own for heap in first.values() for _, own in heap)
+            seen.update(others)
             yield rows(sorted(found))
         yield rows([(3, own) for heap in first.values() for _, own in heap])
 
@@ -171,11 +229,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
     found = materialize(found, "labelled")
     formats: dict[int, list[tuple[Automaton, float]]] = {}
     ordinary: dict[int, tuple[Automaton, float]] = {}
-    number = sorted((r["look"], r["kind"], r["count"]) for r in found.groupBy("look", "kind").count().collect())
-    for own, kind, n in number:
+    number = {(r["look"], r["kind"]): r["count"] for r in found.groupBy("look", "kind").count().collect()}
+    place = F.row_number().over(Window.partitionBy("kind", "look").orderBy("place", "value"))
+    samples: dict[tuple[int, int], list] = {}
+    for r in found.withColumn("rank", place).where(F.col("rank") <= sample).orderBy("look", "kind", "rank").collect():  # so many of each kind and look
+        samples.setdefault((r.look, r.kind), []).append(r)
+    for (own, kind), n in sorted(number.items()):
         if kind < 3 and n < FEWEST or kind == 3 and own not in formats:
             continue
-        first = found.where((F.col("kind") == kind) & (F.col("look") == own)).orderBy("place", "value").limit(sample).collect()
+        first = samples[own, kind]
         automaton = learn([r.value for r in first], longest=LONGEST)
         if kind < 3:
             formats.setdefault(own, []).append((automaton, n))
@@ -202,8 +264,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"]
         for b in batches:
             count, digest, lists = [[], [], [], []], [], []
-            for text in b.column(1):
-                spans = scanner.spans(text.as_py())
+            for spans in scanner.all_spans(b.column(1).to_pylist()):
                 for k in range(4):
                     count[k].append(sum(1 for s in spans if s[1] == k))
                 digest.append(hashlib.sha256(listing([s for s in spans if s[1] < 3]).encode()).hexdigest())
@@ -215,14 +276,16 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: Callable[[str], str] = lambda kind: f"[{kind}]", sample: int = SAMPLE) -> DataFrame:
-    """The rows and columns of ``docs`` with each secret in ``text`` replaced by ``mask(kind)``; ``n_chars``, if there, follows."""
+    """The rows and columns of ``docs`` with each secret in ``text`` replaced by ``mask(kind)``; ``n_chars``, if there, follows.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, and very long texts are scanned whole.
+    """
     scanner = train(docs, sample)
     schema = docs.schema
     place = {c.lower(): i for i, c in enumerate(docs.columns)}
     at, chars = place["text"], place.get("n_chars")
 
-    def clean(text: str | None) -> str | None:
-        spans = scanner.spans(text)
+    def clean(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
         if not spans:
             return text
         out, done = [], 0
@@ -235,7 +298,8 @@ def redact(docs: DataFrame, mask: Callable[[str], str] = lambda kind: f"[{kind}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [clean(t.as_py()) for t in b.column(at)]
+            own = b.column(at).to_pylist()
+            texts = [clean(t, spans) for t, spans in zip(own, scanner.all_spans(own), strict=True)]
             columns = list(b.columns)
             columns[at] = pa.array(texts, b.column(at).type)
             if chars is not None:

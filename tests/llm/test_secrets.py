@@ -124,3 +124,18 @@ def test_learnt_spans_are_those_of_a_plain_scan(spark):
             if not any(s < m.end() and m.start() < e for s, _, e in brute(text)) and scanner.margin(m[0]) >= math.log(SHARE / (1 - SHARE)):
                 want.append(f"format:{m.start()}:{m.end()}")
         assert [x for x in r.spans.split(",") if x.startswith("format")] == want
+
+
+def test_runs_of_many_texts_at_once():
+    """Runs, looks and places of a batch are those of each text alone, in code points."""
+    import random
+
+    from helixframe.llm import secrets as S
+
+    rnd = random.Random(4)
+    texts = ["", "abcdefgh", "é" * 9 + "abcDEF12" + "日本 x", "a" * 32, "\n\nabcdefghij\n", "tail_-=+/.9"] + ["".join(rnd.choices("abcDEF019+/_é日 \n", k=rnd.randrange(60))) for _ in range(200)]
+    text, start, end, kind, hexed = S.scan(texts)
+    got = list(zip(text.tolist(), start.tolist(), end.tolist(), kind.tolist(), strict=True))
+    assert got == [(d, s, e, S.look(t[s:e])) for d, t in enumerate(texts) for s, e in S.candidates(t, [])]
+    assert hexed.tolist() == [bool(S._HEX.search(t)) for t in texts]
+    assert [len(x) for x in S.scan([])] == [0] * 5
