@@ -236,6 +236,20 @@ def cigar_blocks(pos: Column, cigar: Column) -> Column:
     return walked
 
 
+def aligned_blocks(pos: Column, cigar: Column) -> Column:
+    """Stretches without gaps: array of (r, q, n), first position, first base of the read from 1, and length."""
+    start = F.struct(pos.cast("long").alias("r"), F.lit(1).alias("q"), F.array().cast("array<struct<r:bigint,q:int,n:int>>").alias("out"))
+    return F.aggregate(
+        cigar_ops(cigar),
+        start,
+        lambda a, x: F.when(x["op"].isin("M", "=", "X"), F.struct((a["r"] + x["n"]).alias("r"), (a["q"] + x["n"]).alias("q"), F.concat(a["out"], F.array(F.struct(a["r"].alias("r"), a["q"].alias("q"), x["n"].alias("n")))).alias("out")))
+        .when(x["op"].isin("I", "S"), F.struct(a["r"].alias("r"), (a["q"] + x["n"]).alias("q"), a["out"].alias("out")))
+        .when(x["op"].isin("D", "N"), F.struct((a["r"] + x["n"]).alias("r"), a["q"].alias("q"), a["out"].alias("out")))
+        .otherwise(a),
+        lambda a: a["out"],
+    )
+
+
 def x31(s: Column) -> Column:
     """The hash h = 31 h + c over the code points, modulo 2^32."""
     return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % F.lit(1 << 32))

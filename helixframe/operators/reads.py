@@ -269,17 +269,7 @@ def collapse_reads(df: DataFrame) -> DataFrame:
 
 def pileup(df: DataFrame) -> DataFrame:
     """Bases by position from ``chrom, pos, cigar, seq``: ``chrom, pos, base, n``."""
-    ops = seq.cigar_ops(F.col("cigar"))
-    start = F.struct(F.col("pos").cast("long").alias("r"), F.lit(1).alias("q"), F.array().cast("array<struct<r:bigint,q:int,n:int>>").alias("out"))
-    walked = F.aggregate(
-        ops,
-        start,
-        lambda a, x: F.when(x["op"].isin("M", "=", "X"), F.struct((a["r"] + x["n"]).alias("r"), (a["q"] + x["n"]).alias("q"), F.concat(a["out"], F.array(F.struct(a["r"].alias("r"), a["q"].alias("q"), x["n"].alias("n")))).alias("out")))
-        .when(x["op"].isin("I", "S"), F.struct(a["r"].alias("r"), (a["q"] + x["n"]).alias("q"), a["out"].alias("out")))
-        .when(x["op"].isin("D", "N"), F.struct((a["r"] + x["n"]).alias("r"), a["q"].alias("q"), a["out"].alias("out")))
-        .otherwise(a),
-        lambda a: a["out"],
-    )
+    walked = seq.aligned_blocks(F.col("pos"), F.col("cigar"))
     block = df.select("chrom", "seq", F.explode(walked).alias("b"))
     at = block.select("chrom", "seq", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("i"))
     base = F.substring(F.col("seq"), F.col("b.q") + F.col("i"), F.lit(1))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq
-from helixframe.operators import extras, models, reads
+from helixframe.operators import extras, genotypes, models, reads
 from helixframe.operators import intervals as iv
 from helixframe.operators import transcripts as tx
 from helixframe.plans.alignment_queries import BLOCKS, SAM, sam
@@ -40,6 +40,24 @@ def called_genotypes(spark, d):
     return g.select("chrom", "pos", "genotype", F.round("quality", 6).alias("quality")).where("quality > 0")
 
 
+#: What the rows of a position tell of each base (s) and how many there are (c), then the cost of each genotype.
+_COSTS = " UNION ALL ".join(f"SELECT chrom, pos, depth, '{g}' AS genotype, {k} AS k, greatest(0, {' + '.join(f's{b}' for b in 'ACGT' if b not in g)}{'' if g[0] == g[1] else f' - 4.343::DOUBLE * (lgamma(c{g[0]} + c{g[1]} + 1) - lgamma(c{g[1]} + 1) - lgamma(c{g[0]} + 1) - ln(2) * (c{g[0]} + c{g[1]}))'}) AS cost FROM b" for k, g in enumerate(genotypes.GENOTYPES))
+
+
+@register("quality_genotypes", f"""WITH {SAM}, {BLOCKS}, p AS (SELECT rname, flag, mapq, b, q, seq, qual, unnest(range(len)) AS i FROM blocks),
+r AS (SELECT rname AS chrom, CAST(b + i AS BIGINT) AS pos, substr(seq, CAST(q + i AS BIGINT), 1) AS base, greatest(4, least(ascii(substr(qual, CAST(q + i AS BIGINT), 1)) - 33, mapq, 63)) AS e, (flag & 16) > 0 AS rev, row_number() OVER () AS id FROM p WHERE ascii(substr(qual, CAST(q + i AS BIGINT), 1)) - 33 >= 13),
+o AS (SELECT chrom, pos, base, e, count(*) OVER (PARTITION BY chrom, pos) AS n, row_number() OVER (PARTITION BY chrom, pos, base, rev ORDER BY e DESC, id) - 1 AS w, row_number() OVER (PARTITION BY chrom, pos, base ORDER BY e DESC, rev DESC, id) - 1 AS c FROM r WHERE base IN ('A', 'C', 'G', 'T')),
+x AS (SELECT *, list_transform(range(0, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(pow(10.0::DOUBLE, -e / 10.0::DOUBLE)) + (n - j) * ln(1 - pow(10.0::DOUBLE, -e / 10.0::DOUBLE)))) AS t FROM o),
+y AS (SELECT chrom, pos, n, base, (pow(0.83::DOUBLE, w) * 0.97::DOUBLE + 0.03::DOUBLE) * -10 * log10(list_sum(t[c + 2:]) / list_sum(t[c + 1:])) AS v FROM x),
+b AS (SELECT chrom, pos, any_value(n) AS depth, {", ".join(f"coalesce(sum(v) FILTER (base = '{z}'), 0) AS s{z}, count(*) FILTER (base = '{z}') AS c{z}" for z in "ACGT")} FROM y GROUP BY chrom, pos),
+l AS ({_COSTS}), k AS (SELECT chrom, pos, depth, genotype, cost, lead(cost) OVER o AS second, row_number() OVER o AS place FROM l WINDOW o AS (PARTITION BY chrom, pos ORDER BY round(cost, 7), k))
+SELECT chrom, pos, depth, genotype, round(second - cost, 4) AS quality FROM k WHERE place = 1""")
+def quality_genotypes(spark, d):
+    """Likeliest genotype of each position from base qualities and strands, with errors that depend on one another."""
+    rows = genotypes.quality_bases(sam(spark, d).withColumnRenamed("rname", "chrom"))
+    return genotypes.call_genotypes(rows).select("chrom", "pos", "depth", "genotype", F.round("quality", 4).alias("quality"))
+
+
 @register("edit_counts", f"""WITH p AS (SELECT p_partkey, {BASES} AS a, translate({BASES}, 'G', CASE WHEN p_size % 2 = 0 THEN 'T' ELSE 'G' END) AS b FROM part) SELECT p_partkey, CAST(len(list_filter(range(1, 25), lambda i: a[i] <> b[i])) AS BIGINT) AS edits FROM p""")
 def edit_counts(spark, d):
     """Edits of reads against their reference, counted anew."""
