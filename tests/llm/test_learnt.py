@@ -143,3 +143,34 @@ def test_kernel():
     model = fit_lang(rows, ridge=1e-6)
     assert model.predict(texts)[0] == ["en", "en", "fr", "fr"] and isinstance(model, Classifier)
     assert sum(len(g) for g in grams("abcd")) == 4 + 3 + 2 + 1
+
+
+def test_grams_stand_for_substrings():
+    """Every n-gram of the lower-case text, repeats included, has a bucket of its own kind: the same wherever it stands, and hardly ever another's."""
+    bucket = {}
+    for text in ["The cat sat on the mat", "le chat noir était là", "日本語の文章 です", "aaaa bbbb", "THE CAT!"]:
+        low = text.lower()
+        for n, found in enumerate(grams(text), 1):
+            own = [low[i : i + n] for i in range(len(low) - n + 1)]
+            assert len(own) == len(found)
+            for g, x in zip(own, found.tolist(), strict=True):
+                assert bucket.setdefault(g, x) == x
+    assert len(set(bucket.values())) > 0.98 * len(bucket)
+    assert [len(g) for g in grams("ab")] == [2, 1] and list(grams("")) == []
+
+
+def test_features_by_definition():
+    """Plain loops over an ASCII text."""
+    for text in ["The CAT sat,  sat on 12 mats.\n\nThe end!! -- --\nThe end!! -- --\n", "a", "x y x y x y\n", "!!!"]:
+        words, lines = text.split(), [x for x in text.split("\n") if x]
+        letters = max(1, sum(c.isalpha() for c in text))
+        symbol = [not c.isalnum() and not c.isspace() for c in text]
+        total = max(1, len(words))
+        often = {w: words.count(w) for w in words}
+        ends = {w[-1]: sum(v[-1] == w[-1] for v in words) for w in words if not w[-1].isalnum()}
+        want = [
+            math.log(1 + len(text)), sum(not c.isspace() for c in text) / total, sum(c.isupper() for c in text) / letters, sum(symbol) / len(text), sum(c.isdigit() for c in text) / len(text), sum(c.isspace() for c in text) / len(text),
+            sum(a and b for a, b in zip(symbol, symbol[1:], strict=False)) / total, sum(a == b for a, b in zip(words, words[1:], strict=False)) / total, math.log(max(1, len(often))) / math.log(total + 1), max(often.values(), default=0) / (total + 10),
+            1 - len(set(lines)) / max(1, len(lines)), math.log(1 + total / max(1, len(lines))), sum(not any(c.isalnum() for c in w) for w in words) / total, sum(len(w) <= 3 for w in words) / total, max(ends.values(), default=0) / (total + 5), sum(w[0].isupper() for w in words) / (total + 5),
+        ]
+        assert np.allclose(features(text), want), text
