@@ -230,20 +230,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scanner:
     formats: dict[int, list[tuple[Automaton, float]]] = {}
     ordinary: dict[int, tuple[Automaton, float]] = {}
     number = {(r["look"], r["kind"]): r["count"] for r in found.groupBy("look", "kind").count().collect()}
+    learnt = sorted({own for (own, kind), n in number.items() if kind < 3 and n >= FEWEST})
     place = F.row_number().over(Window.partitionBy("kind", "look").orderBy("place", "value"))
     samples: dict[tuple[int, int], list] = {}
-    for r in found.withColumn("rank", place).where(F.col("rank") <= sample).orderBy("look", "kind", "rank").collect():  # so many of each kind and look
-        samples.setdefault((r.look, r.kind), []).append(r)
+    first = found.where(F.col("look").isin(learnt)).withColumn("rank", place).where(F.col("rank") <= sample)
+    for r in first.orderBy("look", "kind", "rank").toLocalIterator():  # so many of each kind and look
+        samples.setdefault((r.look, r.kind), []).append((r.value, r.place))
     for (own, kind), n in sorted(number.items()):
         if kind < 3 and n < FEWEST or kind == 3 and own not in formats:
             continue
         first = samples[own, kind]
-        automaton = learn([r.value for r in first], longest=LONGEST)
+        automaton = learn([value for value, _ in first], longest=LONGEST)
         if kind < 3:
             formats.setdefault(own, []).append((automaton, n))
         else:
             # the sample holds all runs up to its last place
-            ordinary[own] = (automaton, n if n <= sample else (len(first) - 1) / (first[-1].place / 2**63))
+            ordinary[own] = (automaton, n if n <= sample else (len(first) - 1) / (first[-1][1] / 2**63))
     return Scanner(formats, ordinary)
 
 
