@@ -39,6 +39,8 @@ SHARE = 0.1
 FEWEST = 20
 
 
+#: Texts whose bytes are looked at together.
+AT_ONCE = 200
 #: What a byte is: lower case 1, upper case 2, digit 4, another credential character 8, hexadecimal 16.
 _BYTES = np.zeros(256, np.uint8)
 for _c in range(128):
@@ -142,6 +144,9 @@ class Scanner:
 
     def all_spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """Spans of each text. Only runs that look like a format are looked at one by one."""
+        return [spans for at in range(0, len(texts), AT_ONCE) for spans in self._spans_of(texts[at : at + AT_ONCE])]
+
+    def _spans_of(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         known = [t or "" for t in texts]
         text, start, end, kind, hexed = scan(known)
         out = [base_spans(t, h) if t else [] for t, h in zip(known, hexed.tolist(), strict=True)]
@@ -185,9 +190,7 @@ def _labelled(sample: int):
             elif -place > heap[0][0]:
                 heapq.heappushpop(heap, (-place, own))
 
-        for b in batches:
-            found: set[tuple[int, str]] = set()
-            texts = [t or "" for t in b.column(0).to_pylist()]
+        def learn_from(texts: list[str], found: set[tuple[int, str]]) -> None:
             text, start, end, kinds, hexed = scan(texts)
             bare = np.ones(len(texts), bool)
             others: dict[str, int] = {}
@@ -211,6 +214,11 @@ def _labelled(sample: int):
                 seen.clear()
                 seen.update(own for heap in first.values() for _, own in heap)
             seen.update(others)
+
+        for b in batches:
+            found: set[tuple[int, str]] = set()
+            for at in range(0, b.num_rows, AT_ONCE):
+                learn_from([t or "" for t in b.column(0).slice(at, AT_ONCE).to_pylist()], found)
             yield rows(sorted(found))
         yield rows([(3, own) for heap in first.values() for _, own in heap])
 
