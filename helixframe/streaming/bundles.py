@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 def point_bundles(df: DataFrame, gap: int, lateness: int | None = None) -> DataFrame:
     """``chrom, start, last, n`` of events ``chrom, pos`` that lie less than ``gap`` apart: session windows over positions as time.
 
+    Session windows that only touch are one, so theirs end a microsecond, the
+    least step of time, short of ``gap``.
     On a stream, ``lateness`` positions late events are waited for; a bundle
     comes out once the watermark has passed its end.
     """
     timed = df.withColumn("at", F.timestamp_seconds("pos"))
     if lateness is not None:
         timed = timed.withWatermark("at", f"{lateness} seconds")
-    g = timed.groupBy("chrom", F.session_window("at", f"{gap} seconds")).agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
+    g = timed.groupBy("chrom", F.session_window("at", f"{gap * 1_000_000 - 1} microseconds")).agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
     return g.select("chrom", "start", "last", "n")
 
 

@@ -197,6 +197,11 @@ def test_streams(spark, tmp_path):
     assert {r.chrom: r.n for r in spark.sql("select chrom, count(*) n from kept group by chrom").collect()} == {"a": 2, "b": 2}
 
 
+def test_events_just_a_gap_apart(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 49), ("a", 99), ("a", 149), ("b", 5), ("b", 5), ("b", 54), ("b", 105)], "chrom string, pos long")
+    assert {tuple(r) for r in point_bundles(df, 50).collect()} == {("a", 0, 49, 2), ("a", 99, 99, 1), ("a", 149, 149, 1), ("b", 5, 54, 3), ("b", 105, 105, 1)}
+
+
 def test_assembly(spark):
     from helixframe.operators.assembly import assemble, paths
 
