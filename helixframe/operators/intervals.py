@@ -91,6 +91,22 @@ def depth(df: DataFrame, keys: Sequence[str] = ("chrom",), weight: Column | None
     return rows.where("_open > 0").drop("_open")
 
 
+def deal(left: DataFrame, right: DataFrame, bin_size: int = JOIN_BIN, long_bins: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Both sides of ``overlap_join`` with ``_kind, _bin``, in which every pair that overlaps meets at least once."""
+    wide = bin_size * long_bins * long_bins
+
+    def cut(df: DataFrame, s: str, e: str, long_kinds: tuple[int, ...], short_kind: int) -> DataFrame:
+        def bins(kind: int, width: int) -> Column:
+            return F.transform(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)), lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("bin")))
+
+        long = F.concat(*[bins(k, wide) for k in long_kinds])
+        short = F.concat(bins(0, bin_size), bins(short_kind, wide))
+        keyed = df.where(F.col(s) <= F.col(e)).withColumn("_cut", F.explode(F.when(F.col(e) - F.col(s) >= bin_size * long_bins, long).otherwise(short)))
+        return keyed.withColumn("_kind", F.col("_cut.kind")).withColumn("_bin", F.col("_cut.bin")).drop("_cut")
+
+    return cut(left, "start", "end", (1,), 2), cut(right, "start2", "end2", (1, 2), 1)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chrom",), bin_size: int = JOIN_BIN, how: Column | None = None, long_bins: int = 64) -> DataFrame:
     """Pairs of overlapping rows: an equi-join on key and bin of positions.
 
@@ -103,21 +119,10 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chro
     long left row and any right one, and of a short left row and a long right
     one are of three kinds.
     """
-    wide = bin_size * long_bins * long_bins
-    size = lambda kind: F.when(kind == 0, bin_size).otherwise(wide)
-
-    def cut(df: DataFrame, s: str, e: str, long_kinds: tuple[int, ...], short_kind: int) -> DataFrame:
-        def bins(kind: int, width: int) -> Column:
-            return F.transform(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)), lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("bin")))
-
-        long = F.concat(*[bins(k, wide) for k in long_kinds])
-        short = F.concat(bins(0, bin_size), bins(short_kind, wide))
-        keyed = df.where(F.col(s) <= F.col(e)).withColumn("_cut", F.explode(F.when(F.col(e) - F.col(s) >= bin_size * long_bins, long).otherwise(short)))
-        return keyed.withColumn("_kind", F.col("_cut.kind")).withColumn("_bin", F.col("_cut.bin")).drop("_cut")
-
-    a, b = cut(left, "start", "end", (1,), 2), cut(right, "start2", "end2", (1, 2), 1)
+    a, b = deal(left, right, bin_size, long_bins)
+    size = F.when(F.col("_kind") == 0, bin_size).otherwise(bin_size * long_bins * long_bins)
     test = overlaps(F.col("start"), F.col("end"), F.col("start2"), F.col("end2")) if how is None else how
-    first = F.floor(F.greatest(F.col("start"), F.col("start2")) / size(F.col("_kind")))
+    first = F.floor(F.greatest(F.col("start"), F.col("start2")) / size)
     return a.join(b, [*keys, "_kind", "_bin"]).where(F.col("_bin") == first).where(test).drop("_kind", "_bin")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators import codes
 from helixframe.operators.graph import connected_components
-from helixframe.operators.intervals import islands, number_islands, overlap_join
+from helixframe.operators.intervals import deal, islands, number_islands, overlap_join
 from helixframe.storage import materialize
 
 #: A single exon sticks out of the exon that contains it by less than this; bases of an intron that count; a contained model's ends lie in introns by less than this.
@@ -104,26 +106,50 @@ def best_codes(query: DataFrame, reference: DataFrame, masked: DataFrame | None
     reference on its strand; r at least ``MASKED`` of it is masked (``masked``:
     ``tid, share``); u none. Ties go to the larger overlap, then the smallest ref.
     """
-    q = query.select("tid", "chrom", "strand", "exons", "start", "end")
-    r = reference.select(F.col("tid").alias("ref"), "chrom", F.col("strand").alias("strand2"), F.col("exons").alias("exons2"), F.col("start").alias("start2"), F.col("end").alias("end2"))
-    met = overlap_join(q, r).withColumn("ov", exon_overlap(F.col("exons"), F.col("exons2")))
-    crossing = F.exists(introns(F.col("exons")), lambda x: F.exists(introns(F.col("exons2")), lambda y: (x["start"] <= y["end"]) & (y["start"] <= x["end"])))
-    crossed = F.when(crossing, "s").when(F.col("ov") > 0, "x")
-    code = F.when(F.col("strand") == F.col("strand2"), class_code(F.col("exons"), F.col("exons2"), F.col("ov"))).otherwise(crossed)
-    pairs = met.select("tid", "ref", code.alias("code"), "ov")
-    # where a query on the strand would have to reach back to meet what it runs on from
-    back = q.withColumn("_at", F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start")))
+    lists = [F.transform("exons", lambda e: e["start"]).alias("starts"), F.transform("exons", lambda e: e["end"]).alias("ends")]
+    q = query.select("tid", "chrom", "strand", *lists, "start", "end")
+    r = reference.select(F.col("tid").alias("ref"), "chrom", "strand", *lists, F.col("start").alias("start2"), F.col("end").alias("end2"))
+    # where a query on the strand would have to reach back to meet what it runs on from: places and edges once each
     minus = F.col("strand") == "-"
-    back = back.select("tid", "chrom", "strand", "_at", F.when(minus, F.col("_at") + 1).otherwise(F.col("_at") - RUN_ON).alias("start"), F.when(minus, F.col("_at") + RUN_ON).otherwise(F.col("_at") - 1).alias("end"))
-    edge = F.when(F.col("strand2") == "-", F.col("start2")).otherwise(F.col("end2"))
-    ends = r.select("ref", "chrom", F.col("strand2").alias("strand"), edge.alias("start2"), edge.alias("end2"))
-    behind = overlap_join(back, ends, ["chrom", "strand"]).select("tid", "ref", F.lit("p").alias("code"), F.lit(0).cast("long").alias("ov"))
-    pairs = pairs.unionByName(behind)
+    placed = q.select("tid", "chrom", "strand", F.when(minus, F.col("end")).otherwise(F.col("start")).alias("_at"))
+    back = placed.select("chrom", "strand", "_at").distinct().select("*", F.when(minus, F.col("_at") + 1).otherwise(F.col("_at") - RUN_ON).alias("start"), F.when(minus, F.col("_at") + RUN_ON).otherwise(F.col("_at") - 1).alias("end"))
+    ends = r.groupBy("chrom", "strand", F.when(minus, F.col("start2")).otherwise(F.col("end2")).alias("start2")).agg(F.min("ref").alias("ref")).withColumn("end2", F.col("start2"))
+    behind = overlap_join(back, ends, ["chrom", "strand"]).groupBy("chrom", "strand", "_at").agg(F.min("ref").alias("ref"))
+    rank = lambda code: F.lit(RANK.index(code) + 1).cast("long").alias("rank")
+    none = F.lit(0).cast("long").alias("ov")
+    pairs = _closest(q, r).unionByName(placed.join(behind, ["chrom", "strand", "_at"]).select("tid", rank("p"), none, "ref"))
     if masked is not None:
-        pairs = pairs.unionByName(masked.where(F.col("share") >= MASKED).select("tid", F.lit(None).cast(r.schema["ref"].dataType).alias("ref"), F.lit("r").alias("code"), F.lit(0).cast("long").alias("ov")))
-    pairs = pairs.where("code is not null").withColumn("rank", F.expr(f"instr('{RANK}', code)"))
-    best = pairs.groupBy("tid").agg(F.min(F.struct("rank", (-F.col("ov")).alias("o"), "ref", "code")).alias("b"))
-    return query.select("tid").join(best, "tid", "left").select("tid", F.coalesce("b.code", F.lit("u")).alias("code"), F.col("b.ref").alias("ref"))
+        pairs = pairs.unionByName(masked.where(F.col("share") >= MASKED).select("tid", rank("r"), none, F.lit(None).cast(r.schema["ref"].dataType).alias("ref")))
+    best = pairs.groupBy("tid").agg(F.min(F.struct("rank", F.negative("ov").alias("o"), "ref")).alias("b"))
+    code = F.substring(F.lit(RANK), F.col("b.rank").cast("int"), F.lit(1))
+    return query.select("tid").join(best, "tid", "left").select("tid", F.coalesce(code, F.lit("u")).alias("code"), F.col("b.ref").alias("ref"))
+
+
+def _closest(q: DataFrame, r: DataFrame) -> DataFrame:
+    """``tid, rank, ov, ref``: the closest reference that each query overlaps, of each cell of places that it reaches.
+
+    Transcripts of a cell are dealt to parts of at most some ``codes.GROUP`` a
+    side, and a group is a part of the queries with one of the references, so a
+    place that many share is a grid of groups. No row is made for a pair.
+    """
+    cell = ["chrom", "_kind", "_bin"]
+    a, b = deal(q, r)
+    parts = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / codes.GROUP).alias(name))
+    sizes = materialize(parts(a, "_q").join(parts(b, "_r"), cell), "cells")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = a.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("tid"), "_q").alias("_i"), every("_r").alias("_j"), "tid", "strand", "starts", "ends")
+    b = b.join(sizes, cell).select(*cell, every("_q").alias("_i"), F.pmod(F.xxhash64("ref"), "_r").alias("_j"), "ref", "strand", "starts", "ends")
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"tid": left["tid"][:0], "rank": pa.array([], pa.int64()), "ov": pa.array([], pa.int64()), "ref": right["ref"][:0]})
+        tid, rank, ov, ref = codes.closest(left, right.rename_columns([c.removesuffix("2") for c in right.column_names]), RANK, EDGE, INTO_INTRON, OVERHANG)
+        return pa.table({"tid": tid, "rank": rank, "ov": ov, "ref": ref})
+
+    keys = [*cell, "_i", "_j"]
+    # both may come from one table: their columns are told apart by name
+    b = b.toDF(*[c if c == "ref" else f"{c}2" for c in b.columns])
+    return a.groupBy(*keys).cogroup(b.groupBy(*[f"{k}2" for k in keys])).applyInArrow(one, f"tid {dict(q.dtypes)['tid']}, rank long, ov long, ref {dict(r.dtypes)['ref']}")
 
 
 def loci(t: DataFrame) -> DataFrame:
