@@ -41,3 +41,14 @@ def test_cells_agree_with_pairs(spark, monkeypatch):
     got = {x.tid: (x.code, x.ref) for x in found.collect()}
     assert {t: (got[t], want[t]) for t in want if got[t] != want[t]} == {}
     assert len({code for code, _ in want.values()}) >= 7
+
+
+def test_no_row_is_made_for_a_pair(spark):
+    n = 6000
+    t = spark.range(n).select(F.col("id").alias("tid"), F.lit("c").alias("chrom"), F.lit("+").alias("strand"), F.array(F.struct(F.lit(1).cast("long").alias("start"), (F.col("id") % 90 + 100).alias("end"))).alias("exons"))
+    t = transcripts.with_range(t)
+    # all of one place: 9,000,000 pairs, each read where its group is
+    found = transcripts.best_codes(t.where("tid % 2 = 0"), t.where("tid % 2 = 1"))
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = found.groupBy("code").count().collect()
+    assert [(x.code, x["count"]) for x in got] == [("=", n // 2)]
