@@ -204,3 +204,12 @@ def test_targets_beside_one_pass(spark, bin_size):
     df = spark.createDataFrame(rows + [(None, 3, 2), ("0", None, 2), ("0", -4, 2)], "chrom string, pos long, kind int")
     got = targets.target_regions(df, ((0, 0, 0), (-2, 1, 2)), ((0, -5), (-1, 0)), bin_size)
     assert sorted((r.chrom, r.start, r.end) for r in got.collect()) == sorted(want)
+
+
+def test_target_bins_are_worked_on_in_batches(spark):
+    df = spark.range(40).selectExpr("cast(id % 20 as string) AS chrom", "id * 7 + 1 AS pos", "2 AS kind")
+    got = targets.target_regions(df, ((0, 0, 0), (-2, 1, 2)), ((0, -5), (-1, 0)), 8)
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    whole = targets.target_regions(df, ((0, 0, 0), (-2, 1, 2)), ((0, -5), (-1, 0)), 1 << 12)
+    assert got.collect() and {tuple(r) for r in got.collect()} == {tuple(r) for r in whole.collect()}
